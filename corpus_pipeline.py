@@ -48,6 +48,7 @@ STAGES = [("toxicity", drop_toxic), ("language", known_language), ("near_copies"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.let_workers_import(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it; on a cluster where it is installed or shipped as a py-file that changes nothing."""
+    here = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, here)))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster, from spark.checkpoint.dir; a new local one only where that is unset (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

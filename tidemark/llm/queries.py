@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, pii, simhash, toxicity
+from . import ann, common, langid, licenses, packing, pieces, pii, quality, simhash, toxicity, warc
+
+
+#: Where the public tokenizer files lie; read on the driver alone.
+MODEL = os.environ.get("TIDEMARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scanned(docs, licenses.fit(docs), keep_text=False)
+    families = F.array_join(F.array_sort(F.array_distinct(F.col("licences.family"))), ",")
+    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x.family, x.start, x.end)), ",")
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), families.alias("families"), spans.alias("spans"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.spans(docs, pii.fit(docs)).drop("text")
@@ -33,10 +52,34 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judged(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.Model.load(model))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op5_language, op6_packing, op9_simhash)}
-ORACLES: dict[str, str] = {}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_licenses, op3_pii, op4_toxicity, op5_language, op6_packing, op7_quality, op8_sentencepiece, op9_simhash, op10_neighbours)}
+#: DuckDB SQL where SQL can express the operator; it writes no archives, but the rows that come back are those of this query.
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to,
+               TRUE AS verified
+        FROM f"""
+}
