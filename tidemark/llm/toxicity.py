@@ -33,7 +33,7 @@ BUCKETS = 1 << 18
 LEAST = 8  # words of training texts in which an n-gram must stand to be learnt
 DIM = 8
 #: Bounds of the training sample: documents of each class, and code points of one of them.
-TRAIN_DOCS, TRAIN_CHARS = 2000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1200, 12_000
 
 
 @dataclass
@@ -135,12 +135,15 @@ def train(texts: list[str], labels: list[int], epochs: int = 50, warm: int = 10,
             row_parts.append(rows[inside].astype(np.int32))
             word_parts.append(at[new][word[: rows.size][inside]].astype(np.int32))
     gram, of_word = np.concatenate(row_parts), np.concatenate(word_parts)
+    del row_parts, word_parts, bags
     per_word = np.maximum(np.bincount(of_word, minlength=vocabulary.size), 1)
     # rows of n-grams that few training texts have stay zero: they could only be learnt by heart
     used = np.unique(token.astype(np.int64) * y.size + owner) // y.size
     texts_with = np.bincount(gram, np.bincount(used, minlength=vocabulary.size)[of_word], BUCKETS)
     live = texts_with >= LEAST
-    gram, of_word = gram[live[gram]], of_word[live[gram]]
+    kept = live[gram]
+    gram, of_word = gram[kept], of_word[kept]
+    del kept, used
     start = _windows(owner)
     in_window = np.repeat(np.arange(start.size), np.diff(np.append(start, owner.size)))
     doc = owner[start]
@@ -195,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, longest: int
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= longest) & (common.remainder() != 0))
     marked = common.bounded_sample(marks.filter((common.remainder() != 0) & F.col("toxic").isin(0, 1)), "toxic", "doc_id", 2 * most)
-    rows = usable.join(marked, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "text").limit(4 * most).collect()
+    # at most four times `most` ids, so the texts needn't move
+    few = marked.select(F.col("doc_id").alias("_id"), "toxic").limit(4 * most)
+    rows = usable.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "text").limit(4 * most).collect()
     kept: list = []
     counts = {0: 0, 1: 0}
     for r in rows:
