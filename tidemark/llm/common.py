@@ -26,11 +26,15 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster, from spark.checkpoint.dir; a new local one only where that is unset (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="tidemark-")
+        _own[app] = root
     return root.rstrip("/")
 
 
+_own: dict[str, str | None] = {}  # by application, where the setting is missing
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -56,10 +60,13 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
 def bounded_sample(keys: DataFrame, stratum: str, by: str, n: int) -> DataFrame:
     """At most n rows of each stratum, those with the smallest hash of `by`.
 
-    row_number() <= n lets Spark keep n rows a stratum in each task before the shuffle, so one
-    stratum that holds most rows costs no more than the others."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(by), F.lit("sample")), F.col(by))
-    return keys.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+    row_number() <= n lets Spark keep n rows a stratum in each task before the shuffle, so one stratum that
+    holds most rows costs no more than the others. Spark does so only up to a limit of 1000 rows; a larger
+    n is dealt over salts, each with its share."""
+    salts = -(-n // 800)
+    order = Window.partitionBy(stratum, "_salt").orderBy(F.xxhash64(F.col(by), F.lit("sample")), F.col(by))
+    salted = keys.withColumn("_salt", F.pmod(F.xxhash64(F.col(by), F.lit("salt")), F.lit(salts)))
+    return salted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= -(-n // salts)).drop("_rank", "_salt")
 
 
 def with_columns_of_text(

@@ -4,7 +4,8 @@ A word is the bag of its character n-grams (3 to 6, with < and > at its ends), h
 embedding rows, so that a misspelling shares most rows with the word it came from. The average over a
 window of words (a short window is filled up with zeros) goes through a linear softmax of two classes; a document scores as its highest window, in
 training (one window of each document carries the loss) as in scoring, so that a few words in a long text
-are not averaged away. Embeddings and softmax are trained together by Adam.
+are not averaged away. Embeddings and softmax are trained together by Adam; a quarter of the sample is kept
+back to calibrate the logit.
 
 Once trained, the score is linear in the embeddings: each table row folds into one number, and whole
 batches of texts are scored as arrays of code points.
@@ -32,6 +33,7 @@ WINDOW = 3  # words
 BUCKETS = 1 << 18
 LEAST = 8  # words of training texts in which an n-gram must stand to be learnt
 DIM = 8
+KEPT = 0.5  # share of a word's n-grams that an epoch trains on
 #: Bounds of the training sample: documents of each class, and code points of one of them.
 TRAIN_DOCS, TRAIN_CHARS = 1200, 12_000
 
@@ -70,8 +72,9 @@ def _grams(marked: np.ndarray, starts: np.ndarray):
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points in lower case, starts and ends of the words, and the text of each word."""
+    """Code points in lower case with all digits as 0, starts and ends of the words, and the text of each word."""
     codes, starts = textvec.codes_of([t.lower() for t in texts])
+    codes = np.where((codes >= 48) & (codes <= 57), np.uint32(48), codes)
     lows, highs = textvec.runs_of(textvec.flags_of(codes, "isalnum"), starts)
     return codes, lows, highs, np.searchsorted(starts, lows, "right") - 1
 
@@ -105,6 +108,32 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
+def calibrated(model: Model, texts: list[str], labels: list[int]) -> Model:
+    """Slope and shift of the logit that suit texts the model hasn't seen (both classes weigh the same), folded into it."""
+    y = np.array(labels, float)
+    if not 0 < y.sum() < y.size:
+        return model
+    p = np.clip(scores(texts, model), 1e-9, 1 - 1e-9)
+    z, weight = np.log(p / (1 - p)), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / y.size
+    slope, shift = 1.0, 0.0
+    for _ in range(3000):
+        g = (1 / (1 + np.exp(-(slope * z + shift))) - y) * weight
+        slope -= 0.2 * (float(g @ z) + 0.01 * (slope - 1))
+        shift -= 0.2 * (float(g.sum()) + 0.001 * shift)
+        slope = min(max(slope, 0.3), 4.0)
+    return Model((model.gram * slope).astype(np.float32), model.bias * slope + shift)
+
+
+def fitted(texts: list[str], labels: list[int]) -> Model:
+    """Train on three of four texts and calibrate on the rest; on all for both if a class has fewer than 400."""
+    count = sum(labels)
+    if min(count, len(labels) - count) < 400:
+        return calibrated(train(texts, labels), texts, labels)
+    rest = [i % 4 != 3 for i in range(len(texts))]
+    pick = lambda x, want: [v for v, r in zip(x, rest, strict=True) if r == want]
+    return calibrated(train(pick(texts, True), pick(labels, True)), pick(texts, False), pick(labels, False))
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 50, warm: int = 10, rate: float = 0.05, decay: float = 0.2, seed: int = 1) -> Model:
     """Fit on whole texts, full batches; `warm` epochs on all windows with their document's label, then on the highest of each."""
     y = np.array(labels, np.int64)
@@ -136,7 +165,6 @@ def train(texts: list[str], labels: list[int], epochs: int = 50, warm: int = 10,
             word_parts.append(at[new][word[: rows.size][inside]].astype(np.int32))
     gram, of_word = np.concatenate(row_parts), np.concatenate(word_parts)
     del row_parts, word_parts, bags
-    per_word = np.maximum(np.bincount(of_word, minlength=vocabulary.size), 1)
     # rows of n-grams that few training texts have stay zero: they could only be learnt by heart
     used = np.unique(token.astype(np.int64) * y.size + owner) // y.size
     texts_with = np.bincount(gram, np.bincount(used, minlength=vocabulary.size)[of_word], BUCKETS)
@@ -160,8 +188,12 @@ def train(texts: list[str], labels: list[int], epochs: int = 50, warm: int = 10,
     for epoch in range(1, epochs + 1):
         table = e @ w  # each row's part of the two logits
         z = np.empty((start.size, 2))
+        # a random half of the n-grams stands for each word, as a misspelling would leave it
+        kept = rng.random(gram.size, np.float32) < KEPT
+        some, of_some = gram[kept], of_word[kept]
+        per_word = np.maximum(np.bincount(of_some, minlength=vocabulary.size), 1)
         for k in (0, 1):
-            word = np.bincount(of_word, table[gram, k], vocabulary.size) / per_word
+            word = np.bincount(of_some, table[some, k], vocabulary.size) / per_word
             z[:, k] = np.bincount(in_window, word[token], start.size) / WINDOW + b[k]
         if epoch <= warm:
             chosen, weight = np.arange(start.size), balance[doc] / np.bincount(doc, minlength=y.size)[doc]
@@ -180,7 +212,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 50, warm: int = 10,
             at_window = np.zeros(start.size)
             at_window[chosen] = g[:, k] / WINDOW
             at_word = np.bincount(token, at_window[in_window], vocabulary.size) / per_word
-            grad_e[:, k] = np.bincount(gram, at_word[of_word], BUCKETS)
+            grad_e[:, k] = np.bincount(some, at_word[of_some], BUCKETS)
         grad_w = e.T @ grad_e
         for (m, v), param, grad in zip(state, (e, w, b), (grad_e @ w.T, grad_w, g.sum(axis=0).astype(np.float32)), strict=True):
             m += 0.1 * (grad - m)
@@ -207,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, longest: int
         if counts[r.toxic] < most:
             counts[r.toxic] += 1
             kept.append(r)
-    return train([r.text for r in kept], [r.toxic for r in kept])
+    return fitted([r.text for r in kept], [r.toxic for r in kept])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
