@@ -16,6 +16,11 @@ _VERSION_PARTS = """
     v AS (SELECT p_partkey, p_brand AS script_name, CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE '' END || (p_partkey % 4) || '.' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || (p_partkey % 5) END || CASE WHEN p_partkey % 7 = 0 THEN '-rc.' || (p_partkey % 3) ELSE '' END AS version,
         p_partkey % 4 AS p1, p_size AS p2, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 5 END AS p3, p_partkey % 7 <> 0 AS release, p_partkey % 3 AS pre FROM part)"""
 
+_SNAPSHOTS = """
+    l AS (SELECT p_brand AS t, 'c' || p_partkey AS c, 'varchar(' || p_size || ')' AS type, p_size, p_partkey % 2 = 0 AS nullable, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS def, p_partkey AS k FROM part),
+    r AS (SELECT t, c, CASE WHEN k % 5 = 0 THEN 'varchar(20)' WHEN k % 17 = 0 THEN 'text' ELSE type END AS type, CASE WHEN k % 13 = 0 THEN NOT nullable ELSE nullable END AS nullable, CASE WHEN k % 19 = 0 THEN NULL ELSE def END AS def FROM l WHERE k % 11 <> 0
+          UNION ALL SELECT t, c || '_new', type, nullable, def FROM l WHERE k % 23 = 0)"""
+
 
 def _bytes(n: str) -> str:
     steps = "".join(f" WHEN {n} >= pow(1024.0, {p}) THEN printf('%.1f', floor({n} / pow(1024.0, {p}) * 10 + 0.5) / 10) || ' {u}'" for p, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")))
@@ -129,4 +134,16 @@ ORACLES = {
     "loudest_level": "SELECT p_brand, ['unknown', 'patch', 'additive', 'breaking'][max(CASE WHEN p_size > 45 THEN 4 WHEN p_size > 20 THEN 3 WHEN p_size > 3 THEN 2 ELSE 1 END)] AS level FROM part WHERE p_partkey % 50 < 3 GROUP BY 1",
     "type_changes": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.0::DOUBLE WHEN p_partkey % 3 = 1 AND p_size = 20 THEN 20.0::DOUBLE ELSE 12.0::DOUBLE END AS score, p_partkey % 3 = 1 AND p_size > 20 AS narrows FROM part",
     "cadence_normalized": "WITH p AS (SELECT p_partkey, p_size * 7 - 10 AS m FROM part) SELECT p_partkey, CASE WHEN m > 0 THEN list_sort([[abs(a - m), -a] for a in [5, 15, 30, 60, 180, 360]])[1][2] * -1 END AS minutes FROM p",
+    "schema_column_changes": f"""WITH {_SNAPSHOTS}, j AS (SELECT coalesce(l.t, r.t) AS t, coalesce(l.c, r.c) AS c, l.c IS NULL AS no_l, r.c IS NULL AS no_r, l.type AS lt, r.type AS rt, p_size, l.nullable AS ln, r.nullable AS rn, l.def AS ld, r.def AS rd FROM l FULL JOIN r ON l.t = r.t AND l.c = r.c)
+        SELECT t AS "table", c AS "column", CASE WHEN no_r THEN 'onlyA' ELSE 'onlyB' END AS status, NULL::VARCHAR AS kind, NULL::VARCHAR AS severity FROM j WHERE no_l OR no_r
+        UNION ALL SELECT t, c, 'matched', 'type', 'high' FROM j WHERE rt = 'text'
+        UNION ALL SELECT t, c, 'matched', 'size', CASE WHEN p_size < 20 THEN 'high' ELSE 'low' END FROM j WHERE rt = 'varchar(20)' AND lt <> rt
+        UNION ALL SELECT t, c, 'matched', 'nullability', CASE WHEN ln THEN 'low' ELSE 'high' END FROM j WHERE ln <> rn
+        UNION ALL SELECT t, c, 'matched', 'default', 'low' FROM j WHERE NOT no_l AND NOT no_r AND ld IS DISTINCT FROM rd
+        UNION ALL SELECT l.t, l.c, 'matched', 'foreignKey', 'medium' FROM l JOIN r ON l.t = r.t AND l.c = r.c WHERE k % 4 <> 0""",
+    "drift_fingerprint": f"""WITH {_SNAPSHOTS}, x AS (SELECT 'column onlyA ' || t || '.' || c AS line FROM l WHERE (t, c) NOT IN (SELECT (t, c) FROM r) UNION ALL SELECT 'column onlyB ' || t || '.' || c FROM r WHERE (t, c) NOT IN (SELECT (t, c) FROM l))
+        SELECT sha1(string_agg(line, chr(10) ORDER BY line)) AS fingerprint, count(*) AS differences FROM x""",
+    "migration_script": f"""WITH {_SNAPSHOTS} SELECT 8 AS phase, 'add-column' AS kind, t AS "table", c AS object, CASE WHEN NOT nullable AND def IS NULL THEN 'high' ELSE 'low' END AS severity, FALSE AS destructive, 'ALTER TABLE "' || t || '" ADD COLUMN "' || c || '" ' || type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END || coalesce(' DEFAULT ' || def, '') AS sql FROM l WHERE (t, c) NOT IN (SELECT (t, c) FROM r)
+        UNION ALL SELECT 10, 'drop-column', t, c, 'high', TRUE, 'ALTER TABLE "' || t || '" DROP COLUMN "' || c || '"' FROM r WHERE (t, c) NOT IN (SELECT (t, c) FROM l)""",
+    "structural_level": f"WITH {_SNAPSHOTS} SELECT CASE WHEN count(*) FILTER (c LIKE '%_new') > 0 THEN 'breaking' ELSE 'patch' END AS level FROM r",
 }

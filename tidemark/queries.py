@@ -5,12 +5,12 @@ same way in the oracle SQL (oracles.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import versions as V
-from .operators import activity, graph, history, ledger, matching, rollups, rowdiff, series, sets
+from .operators import activity, graph, history, ledger, matching, migration, rollups, rowdiff, schema_diff, series, sets
 
 AS_OF = "2024-01-30 12:00:00"
 ORDER_VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -434,6 +434,40 @@ def cadence_normalized(spark, d):
     return _t(spark, d, "part").select("p_partkey", activity.cadence(F.col("p_size") * 7 - 10, (5, 15, 30, 60, 180, 360)).alias("minutes"))
 
 
+def _snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Two columns tables made of part: brands are tables, parts are columns."""
+    k = F.col("p_partkey")
+    left = _t(spark, d, "part").select(
+        F.col("p_brand").alias("table"), F.concat(F.lit("c"), k.cast("string")).alias("column"), F.row_number().over(Window.partitionBy("p_brand").orderBy(k)).alias("ordinal"), F.format_string("varchar(%d)", F.col("p_size")).alias("type"), (k % 2 == 0).alias("nullable"),
+        F.when(k % 3 == 0, F.col("p_type")).alias("default"), F.lit(None).cast("string").alias("collation"), F.lit(None).cast("string").alias("generated"), (k % 50 == 0).alias("is_primary_key"), F.array().cast("array<string>").alias("unique"), F.when(k % 4 != 0, F.array().cast("array<string>")).alias("foreign"), k.alias("k"),
+    )
+    right = left.filter("k % 11 <> 0").withColumns({
+        "type": F.when(F.col("k") % 5 == 0, "varchar(20)").when(F.col("k") % 17 == 0, "text").otherwise(F.col("type")), "nullable": F.when(F.col("k") % 13 == 0, ~F.col("nullable")).otherwise(F.col("nullable")),
+        "default": F.when(F.col("k") % 19 == 0, F.lit(None)).otherwise(F.col("default")), "foreign": F.array(F.lit("f")),
+    }).unionByName(left.filter("k % 23 = 0").withColumn("column", F.concat("column", F.lit("_new"))))
+    return left.drop("k"), right.drop("k")
+
+
+def schema_column_changes(spark, d):
+    out = schema_diff.column_changes(*_snapshots(spark, d)).select("table", "column", "status", F.explode_outer("changes").alias("c"))
+    return out.filter("status <> 'matched' or c is not null").select("table", "column", "status", "c.kind", "c.severity")
+
+
+def drift_fingerprint(spark, d):
+    a, b = _snapshots(spark, d)
+    found = schema_diff.compare(a, b)
+    return migration.drift_fingerprint(migration.difference_lines(found["tables"], found["columns"].filter("status <> 'matched'")))
+
+
+def migration_script(spark, d):
+    return migration.statements(*_snapshots(spark, d)).filter("kind in ('add-column', 'drop-column')").select("phase", "kind", "table", "object", "severity", "destructive", "sql")
+
+
+def structural_level(spark, d):
+    found = schema_diff.compare(*_snapshots(spark, d))
+    return migration.structural_level(found["tables"], found["columns"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -442,6 +476,6 @@ QUERIES = {
         forward_only, forward_until_violation, appeared_resolved, ledger_status, version_sort, version_keys, timeline_merge, family_heads, semi_anti, search_patterns, worst_severity_dedupe, severity_counts, category_matrix,
         null_safe_diff, tuple_in, feed_filter, due_select, threshold_breach, ratio_levels, size_format, score_rounding, text_similarity, fnv_fingerprint, calendar_spine, series_geometry, union_privileges, recursive_region,
         topological_depth, ancestor_fold, asof_previous, asof_last_nonnull, range_after_oldest, topn_nested, alert_transitions, incremental_lookback, structure_diff, fallback_label, wanted_pairs, latest_with_counts,
-        role_permissions, either_side, order_preference, loudest_level, type_changes, cadence_normalized,
+        role_permissions, either_side, order_preference, loudest_level, type_changes, cadence_normalized, schema_column_changes, drift_fingerprint, migration_script, structural_level,
     )
 }

@@ -89,3 +89,37 @@ def with_statistics(tables: DataFrame, io: DataFrame, analyzed: DataFrame) -> Da
 def explained(df: DataFrame) -> str:
     """The formatted plan of one of our own queries."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+#: Object kinds of a snapshot besides tables and columns; a null array of one means that it was not recorded.
+OBJECT_KINDS = ("constraint", "index", "trigger", "policy", "row_security", "view", "sequence", "type", "collation", "routine", "extension", "privilege")
+
+
+def objects_of(snapshot: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, key, table, definition) of a snapshot's object arrays; kinds: object kind -> array column of struct<key,table,definition>. Arrays that were not recorded give no rows; see recorded()."""
+    out = None
+    for kind, column in kinds.items():
+        part = snapshot.select(F.lit(kind).alias("kind"), F.explode(column).alias("o")).select("kind", "o.key", "o.table", "o.definition")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def recorded(snapshot: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """One row a kind: whether the snapshot recorded it."""
+    return snapshot.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).isNotNull().alias("recorded")) for k, c in kinds.items()])).alias("r")).select("r.*")
+
+
+def inheritance(edges: DataFrame) -> DataFrame:
+    """Each child with its parents in their order (from child, parent, position)."""
+    return edges.groupBy("child").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "parent"))), lambda x: x["parent"]).alias("inherits"))
+
+
+def enum_labels(labels: DataFrame) -> DataFrame:
+    """Each enum type with its labels in their order, as JSON and as text (from type, label, position)."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "label"))), lambda x: x["label"])
+    return labels.groupBy("type").agg(ordered.alias("labels")).withColumns({"json": F.to_json("labels"), "text": F.array_join("labels", ", ")})
+
+
+def joined_columns(classes: DataFrame, attributes: DataFrame, types: DataFrame, defaults: DataFrame, collations: DataFrame) -> DataFrame:
+    """Columns from catalog extracts: classes (table), attributes (table, number, column, type_id, nullable, collation_id), types (type_id, type), defaults (table, number, default), collations (collation_id, collation)."""
+    return classes.join(attributes, "table").join(types, "type_id").join(defaults, ["table", "number"], "left").join(collations, "collation_id", "left").select("table", "column", F.col("number").alias("ordinal"), "type", "nullable", "default", "collation")
