@@ -7,6 +7,8 @@ kept; models are fitted on `docs` as the stage gets them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +18,28 @@ from tidemark.llm import common, langid, packing, pii, simhash, toxicity
 LEAST_CERTAIN = 0.35
 
 
+def _judged(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], added: tuple[str, ...]) -> DataFrame:
+    """operator(docs), with docs' own columns of the names that it adds kept aside as _own_…"""
+    return operator(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in added}))
+
+
+def _restored(judged: DataFrame, docs: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    """The columns of docs, as they came in."""
+    return judged.select(*[F.col(f"_own_{c}").alias(c) if c in added else F.col(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below 0.5."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    added = ("score", "predicted")
+    return _restored(_judged(docs, lambda d: toxicity.scored(d, model), added).filter("predicted = 0"), docs, added)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model recognises, and sets lang where it was missing."""
-    found = langid.identified(docs, langid.fit(docs)).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    model, added = langid.fit(docs), ("lang_pred", "score")
+    found = _judged(docs, lambda d: langid.identified(d, model), added).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN))
+    return _restored(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, added)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ ids. Only models without a normalisation table are read (others raise ValueError
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -276,7 +277,7 @@ class Coder:
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def coder_of(shared) -> Coder:
@@ -292,7 +293,7 @@ class _Shared:
 
     def __init__(self, spark, model: Model):
         self.box = spark.sparkContext.broadcast(model)
-        self.id = id(self.box)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self) -> Model:
