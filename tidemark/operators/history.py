@@ -56,10 +56,10 @@ def below_high_water(df: DataFrame, key: str, order: Sequence[str], value: str)
     return df.withColumn("high_water", F.max(value).over(w)).withColumn("forward", F.col("high_water").isNull() | (F.col(value) > F.col("high_water")))
 
 
-def until_first_violation(df: DataFrame, order: str) -> DataFrame:
-    """Rows of a run before its first one that isn't forward; the cut is one aggregated row."""
-    cut = df.agg(F.min(F.when(~F.col("forward"), F.col(order))).alias("cut"))
-    return df.join(F.broadcast(cut)).filter(F.col("cut").isNull() | (F.col(order) < F.col("cut"))).drop("cut")
+def until_first_violation(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of each key before its first one that isn't forward."""
+    cut = df.groupBy(key).agg(F.min(F.when(~F.col("forward"), F.col(order))).alias("cut"))
+    return df.join(cut, key).filter(F.col("cut").isNull() | (F.col(order) < F.col("cut"))).drop("cut")
 
 
 def previous_event(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:

@@ -38,11 +38,13 @@ ORACLES = {
     "rowdiff_sample": f"""{_DIFF}, d AS (SELECT coalesce(da.o_orderkey, db.o_orderkey) AS o_orderkey, {_VERDICT} AS verdict FROM da FULL JOIN db ON da.o_orderkey = db.o_orderkey),
         r AS (SELECT *, CAST(CASE verdict WHEN 'sourceOnly' THEN 1 WHEN 'targetOnly' THEN 2 ELSE 3 END AS BIGINT) AS "rank" FROM d WHERE verdict <> 'same')
         SELECT "rank", o_orderkey, verdict, (SELECT count(*) FROM r) > 10 AS more FROM r ORDER BY "rank", o_orderkey LIMIT 10""",
-    "table_checksum": f"""WITH {_SIDES}, r AS (SELECT 'source' AS side, {_DIGEST} AS d FROM a UNION ALL SELECT 'target', {_DIGEST} FROM b),
+    "table_checksum": f"""WITH {_SIDES}, r AS (SELECT 'source' AS side, {_DIGEST} AS d FROM a UNION ALL SELECT 'target', {_DIGEST} FROM b)
+        SELECT side, count(*) AS row_count, md5(count(*) || ':' || CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS VARCHAR)) AS checksum FROM r GROUP BY 1""",
+    "table_checksum_sorted": f"""WITH {_SIDES}, r AS (SELECT 'source' AS side, {_DIGEST} AS d FROM a UNION ALL SELECT 'target', {_DIGEST} FROM b),
         i AS (SELECT side, CAST('0x' || substr(d, 1, 4) AS INTEGER) % 256 AS bucket, count(*) AS n, md5(string_agg(d, '' ORDER BY d)) AS h FROM r GROUP BY 1, 2)
         SELECT side, CAST(sum(n) AS BIGINT) AS row_count, md5(string_agg(h, '' ORDER BY bucket)) AS checksum FROM i GROUP BY 1""",
     "manifest_fingerprint": "SELECT md5(string_agg(p, ',' ORDER BY p)) AS fingerprint FROM (SELECT n_nationkey || ':' || n_name AS p FROM nation)",
-    "data_compare_summary": f"""{_DIFF}, d AS (SELECT coalesce(da.o_orderpriority, db.o_orderpriority) AS table_name, {_VERDICT} AS verdict FROM da FULL JOIN db ON da.o_orderkey = db.o_orderkey WHERE coalesce(da.o_orderpriority, db.o_orderpriority) IN ('1-URGENT', '2-HIGH', '5-LOW'))
+    "data_compare_summary": f"""{_DIFF}, d AS (SELECT coalesce(da.o_orderpriority, db.o_orderpriority) AS table_name, {_VERDICT} AS verdict FROM da FULL JOIN db ON da.o_orderkey = db.o_orderkey)
         SELECT table_name, count(*) FILTER (verdict = 'same') AS same, count(*) FILTER (verdict = 'changed') AS changed, count(*) FILTER (verdict = 'sourceOnly') AS source_only, count(*) FILTER (verdict = 'targetOnly') AS target_only,
                count(*) FILTER (verdict IN ('changed', 'targetOnly')) AS rows_at_risk, count(*) FILTER (verdict = 'same') = count(*) AS identical FROM d GROUP BY 1""",
     "name_outer_join": """WITH a AS (SELECT DISTINCT trim(p_name || ' ' || p_partkey) AS name FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT DISTINCT trim(' ' || p_name || ' ' || p_partkey) AS name FROM part WHERE p_partkey % 7 <> 0)
@@ -57,7 +59,7 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rl, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rr FROM p)
         SELECT left_id, right_id, score FROM r WHERE rl = 1 AND rr = 1 AND score >= 70""",
     "jaccard_docs": """WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS s FROM benchmark)
-        SELECT a.item_id, b.item_id AS other, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 9) AS similarity FROM w a JOIN w b ON a.item_id % 8 = b.item_id % 8 AND a.item_id < b.item_id""",
+        SELECT a.item_id, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 9) AS similarity FROM w a JOIN w b ON b.item_id = a.item_id + 1""",
     "multiset_sim": """WITH c AS (SELECT p_brand AS g, p_type AS t, count(*) AS n FROM part GROUP BY 1, 2), s AS (SELECT g, sum(n) AS size FROM c GROUP BY 1),
         p AS (SELECT a.g AS a, b.g AS b, a.size AS sa, b.size AS sb FROM s a JOIN s b ON substr(a.g, 1, 7) = substr(b.g, 1, 7) AND a.g < b.g),
         h AS (SELECT p.a, p.b, sum(least(x.n, y.n)) AS shared FROM p JOIN c x ON x.g = p.a JOIN c y ON y.g = p.b AND y.t = x.t GROUP BY 1, 2)
@@ -73,7 +75,7 @@ ORACLES = {
     "run_compare": "WITH p AS (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders), r AS (SELECT *, CASE WHEN previous <> 0 THEN o_totalprice / previous END AS ratio FROM p) SELECT o_orderkey, round(ratio, 6) AS ratio, CASE WHEN previous IS NULL THEN 'first' WHEN ratio >= 1.2::DOUBLE THEN 'slower' WHEN ratio <= 1 / 1.2::DOUBLE THEN 'faster' ELSE 'same' END AS verdict FROM r",
     "change_over_window": "WITH w AS (SELECT event_type, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value, count(*) AS samples FROM events GROUP BY 1) SELECT *, round(last_value - first_value, 6) AS change FROM w",
     "forward_only": "WITH h AS (SELECT p_partkey, p_retailprice, max(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high_water FROM part) SELECT p_partkey, high_water, high_water IS NULL OR p_retailprice > high_water AS forward FROM h",
-    "forward_until_violation": "WITH h AS (SELECT p_partkey, p_size, max(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hw FROM part WHERE p_brand = 'Brand#11'), c AS (SELECT min(p_partkey) AS cut FROM h WHERE NOT (hw IS NULL OR p_size > hw)) SELECT p_partkey, p_size FROM h, c WHERE cut IS NULL OR p_partkey < cut",
+    "forward_until_violation": "WITH h AS (SELECT p_brand, p_partkey, p_size, max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hw FROM part), c AS (SELECT p_brand, min(p_partkey) FILTER (NOT (hw IS NULL OR p_size > hw)) AS cut FROM h GROUP BY 1) SELECT h.p_brand, p_partkey, p_size FROM h JOIN c ON h.p_brand = c.p_brand WHERE cut IS NULL OR p_partkey < cut",
     "appeared_resolved": "WITH a AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' AND value > 120), b AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' AND value > 120) SELECT user_id, 'appeared' AS status FROM b WHERE user_id NOT IN (SELECT user_id FROM a) UNION ALL SELECT user_id, 'resolved' FROM a WHERE user_id NOT IN (SELECT user_id FROM b)",
     "ledger_status": """WITH r AS (SELECT DISTINCT p_brand AS family, p_size AS version FROM part WHERE p_size <= 30), p AS (SELECT DISTINCT p_brand AS family, p_size AS version FROM part WHERE p_size <= 25 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 9 = 0)), t AS (SELECT family, max(version) AS top FROM p GROUP BY 1),
         j AS (SELECT coalesce(r.family, p.family) AS family, coalesce(r.version, p.version) AS version, r.family IS NOT NULL AS inr, p.family IS NOT NULL AS inp FROM r FULL JOIN p ON r.family = p.family AND r.version = p.version)
@@ -131,7 +133,7 @@ ORACLES = {
     "role_permissions": "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FILTER (o_totalprice > 100000) AS permissions FROM orders GROUP BY 1",
     "either_side": "SELECT DISTINCT n_nationkey, n_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey WHERE n_regionkey = 1 OR s_suppkey % 10 = 0",
     "order_preference": "SELECT c_custkey FROM customer ORDER BY c_custkey = 77 DESC, c_mktsegment = 'BUILDING' DESC, c_custkey LIMIT 1",
-    "loudest_level": "SELECT p_brand, ['unknown', 'patch', 'additive', 'breaking'][max(CASE WHEN p_size > 45 THEN 4 WHEN p_size > 20 THEN 3 WHEN p_size > 3 THEN 2 ELSE 1 END)] AS level FROM part WHERE p_partkey % 50 < 3 GROUP BY 1",
+    "loudest_level": "SELECT p_brand, p_name, ['unknown', 'patch', 'additive', 'breaking'][max(CASE WHEN p_size > 45 THEN 4 WHEN p_size > 20 THEN 3 WHEN p_size > 3 THEN 2 ELSE 1 END)] AS level FROM part GROUP BY 1, 2",
     "type_changes": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.0::DOUBLE WHEN p_partkey % 3 = 1 AND p_size = 20 THEN 20.0::DOUBLE ELSE 12.0::DOUBLE END AS score, p_partkey % 3 = 1 AND p_size > 20 AS narrows FROM part",
     "cadence_normalized": "WITH p AS (SELECT p_partkey, p_size * 7 - 10 AS m FROM part) SELECT p_partkey, CASE WHEN m > 0 THEN list_sort([[abs(a - m), -a] for a in [5, 15, 30, 60, 180, 360]])[1][2] * -1 END AS minutes FROM p",
     "schema_column_changes": f"""WITH {_SNAPSHOTS}, j AS (SELECT coalesce(l.t, r.t) AS t, coalesce(l.c, r.c) AS c, l.c IS NULL AS no_l, r.c IS NULL AS no_r, l.type AS lt, r.type AS rt, p_size, l.nullable AS ln, r.nullable AS rn, l.def AS ld, r.def AS rd FROM l FULL JOIN r ON l.t = r.t AND l.c = r.c)

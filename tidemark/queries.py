@@ -68,14 +68,20 @@ def table_checksum(spark, d):
     return both[0].unionByName(both[1])
 
 
+def table_checksum_sorted(spark, d):
+    a, b = _sides(spark, d)
+    both = [rowdiff.sorted_checksum(x, ["o_orderkey", *ORDER_VALUES]).withColumn("side", F.lit(s)) for s, x in (("source", a), ("target", b))]
+    return both[0].unionByName(both[1])
+
+
 def manifest_fingerprint(spark, d):
     return rowdiff.ordered_fingerprint(_t(spark, d, "nation"), F.col("n_nationkey"), F.col("n_name"))
 
 
 def data_compare_summary(spark, d):
     a, b = _sides(spark, d)
-    parts = [rowdiff.keyed_diff(a.filter(F.col("o_orderpriority") == p), b.filter(F.col("o_orderpriority") == p), ["o_orderkey"], ORDER_VALUES).select(F.lit(p).alias("table_name"), "verdict") for p in ("1-URGENT", "2-HIGH", "5-LOW")]
-    return rowdiff.summary(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    # each priority stands for a table
+    return rowdiff.summary(rowdiff.keyed_diff(a, b, ["o_orderpriority", "o_orderkey"], ORDER_VALUES).withColumnRenamed("o_orderpriority", "table_name"))
 
 
 def name_outer_join(spark, d):
@@ -117,11 +123,11 @@ def rename_matching(spark, d):
 
 
 def jaccard_docs(spark, d):
-    # benchmark items are few and of one paragraph each; labels pick the documents' side
+    # each item against the next one
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != ""))
-    a = _t(spark, d, "benchmark").select((F.col("item_id") % 8).alias("g"), "item_id", words(F.col("text")).alias("a"))
-    b = _t(spark, d, "benchmark").select((F.col("item_id") % 8).alias("g"), F.col("item_id").alias("other"), words(F.col("text")).alias("b"))
-    return a.join(b, "g").filter("item_id < other").select("item_id", "other", F.round(X.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+    a = _t(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("a"))
+    b = _t(spark, d, "benchmark").select((F.col("item_id") - 1).alias("item_id"), words(F.col("text")).alias("b"))
+    return a.join(b, "item_id").select("item_id", F.round(X.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 def multiset_sim(spark, d):
@@ -185,8 +191,7 @@ def forward_only(spark, d):
 
 
 def forward_until_violation(spark, d):
-    part = _t(spark, d, "part").filter("p_brand = 'Brand#11'").withColumn("one", F.lit(1))
-    return history.until_first_violation(history.below_high_water(part, "one", ["p_partkey"], "p_size"), "p_partkey").select("p_partkey", "p_size")
+    return history.until_first_violation(history.below_high_water(_t(spark, d, "part"), "p_brand", ["p_partkey"], "p_size"), "p_brand", "p_partkey").select("p_brand", "p_partkey", "p_size")
 
 
 def appeared_resolved(spark, d):
@@ -422,7 +427,7 @@ def order_preference(spark, d):
 
 def loudest_level(spark, d):
     p = _t(spark, d, "part").withColumn("level", F.when(F.col("p_size") > 45, "breaking").when(F.col("p_size") > 20, "additive").when(F.col("p_size") > 3, "patch").otherwise("unknown"))
-    return p.filter("p_partkey % 50 < 3").groupBy("p_brand").agg(rollups.loudest("level").alias("level"))
+    return p.groupBy("p_brand", "p_name").agg(rollups.loudest("level").alias("level"))
 
 
 def type_changes(spark, d):
@@ -471,7 +476,7 @@ def structural_level(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rowdiff_orders, rowdiff_columns, rowdiff_dup_keys, rowdiff_without_dups, rowdiff_cutoff, rowdiff_sample, table_checksum, manifest_fingerprint, data_compare_summary, name_outer_join, keyed_objects, two_stage_match,
+        rowdiff_orders, rowdiff_columns, rowdiff_dup_keys, rowdiff_without_dups, rowdiff_cutoff, rowdiff_sample, table_checksum, table_checksum_sorted, manifest_fingerprint, data_compare_summary, name_outer_join, keyed_objects, two_stage_match,
         similarity_best, rename_matching, jaccard_docs, multiset_sim, trend_daily, usage_rollup, usage_pad, rate_window, latest_per_customer, retention_rank, retention_age, on_change_events, run_compare, change_over_window,
         forward_only, forward_until_violation, appeared_resolved, ledger_status, version_sort, version_keys, timeline_merge, family_heads, semi_anti, search_patterns, worst_severity_dedupe, severity_counts, category_matrix,
         null_safe_diff, tuple_in, feed_filter, due_select, threshold_breach, ratio_levels, size_format, score_rounding, text_similarity, fnv_fingerprint, calendar_spine, series_geometry, union_privileges, recursive_region,
