@@ -116,6 +116,7 @@ def test_timeline(spark):
 def test_alerts_and_on_change(spark):
     df = spark.createDataFrame([("k", i, s, f) for i, (s, f) in enumerate([("in_sync", None), ("drifted", "a"), ("drifted", "a"), ("drifted", "b"), ("unreachable", None), ("in_sync", None)])], "key string, id int, status string, fp string")
     assert [r.alert for r in history.alerts(df, "key", ["id"], "status", "fp").orderBy("id").collect()] == ["nothing", "drifted", "nothing", "changed", "unreachable", "reachable"]
+    assert [r.id for r in history.recorded_outcomes(df, "key", ["id"], "status", "fp").orderBy("id").collect()] == [0, 1, 3, 4, 5]
     assert [r.id for r in history.on_change(df, "key", ["id"], ["status", "fp"]).orderBy("id").collect()] == [0, 1, 3, 4, 5]
 
 

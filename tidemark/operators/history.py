@@ -88,14 +88,18 @@ def newest_nested(parents: DataFrame, events: DataFrame, key: str, order: Sequen
 
 
 def alerts(df: DataFrame, key: str, order: Sequence[str], status: str, fingerprint: str) -> DataFrame:
-    """The alert that each event raises, given the key's event before: drifted, changed, in_sync, unreachable, reachable, nothing."""
+    """The alert that each event raises, given the key's event before: drifted, changed, in_sync, unreachable, reachable, nothing.
+
+    changed: still drifted, with a fingerprint other than the key's last known one."""
     w = Window.partitionBy(key).orderBy(*order)
-    before, same = F.lag(status).over(w), F.lag(fingerprint).over(w).eqNullSafe(F.col(fingerprint))
+    before = F.lag(status).over(w)
+    known = F.last(fingerprint, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = F.col(status)
     alert = (
         F.when((s == "unreachable") & ~before.eqNullSafe(F.lit("unreachable")), "unreachable")
-        .when((s == "drifted") & (before == "drifted") & ~same, "changed")
+        .when((s == "drifted") & before.eqNullSafe(F.lit("unreachable")), "reachable")
         .when((s == "drifted") & ~before.eqNullSafe(F.lit("drifted")), "drifted")
+        .when((s == "drifted") & (F.col(fingerprint) != known), "changed")
         .when((s == "in_sync") & (before == "drifted"), "in_sync")
         .when((s == "in_sync") & (before == "unreachable"), "reachable")
         .otherwise("nothing")
@@ -103,6 +107,18 @@ def alerts(df: DataFrame, key: str, order: Sequence[str], status: str, fingerpri
     return df.withColumn("previous_status", before).withColumn("alert", alert)
 
 
+def recorded_outcomes(df: DataFrame, key: str, order: Sequence[str], status: str, fingerprint: str) -> DataFrame:
+    """Events that are written to the log: a key's first, a new status, or a fingerprint other than the last one recorded with this status.
+
+    An event without a fingerprint has nothing to compare but its status; a log row without one is followed by the next that has one."""
+    w = Window.partitionBy(key).orderBy(*order)
+    new = ~F.lag(status).over(w).eqNullSafe(F.col(status)) | (F.row_number().over(w) == 1)
+    runs = df.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w))
+    known = F.last(fingerprint, ignorenulls=True).over(Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    other = F.col(fingerprint).isNotNull() & ~known.eqNullSafe(F.col(fingerprint))
+    return runs.withColumn("_other", other).filter(F.col("_new") | F.col("_other")).drop("_new", "_run", "_other")
+
+
 def incremental(df: DataFrame, seen: DataFrame, id_column: str, baseline: int, highest: int, lookback: int = 100, most: int = 200) -> DataFrame:
     """New rows by an id watermark with a lookback for late ones: ids above max(baseline, highest - lookback) that were not seen, in order."""
     floor = max(baseline, highest - lookback)

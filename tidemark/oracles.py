@@ -123,7 +123,10 @@ ORACLES = {
     "topn_nested": "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), n AS (SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS s FROM e WHERE rn <= 5 GROUP BY 1) SELECT c_custkey AS user_id, coalesce(s, '') AS events FROM customer LEFT JOIN n ON c_custkey = n.user_id",
     "alert_transitions": """WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'drifted' WHEN 'error' THEN 'unreachable' ELSE 'in_sync' END AS s, floor(value / 20) AS m FROM events),
         p AS (SELECT *, lag(s) OVER w AS ps, lag(m) OVER w AS pm FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT event_id, ps AS previous_status, CASE WHEN s = 'unreachable' AND ps IS DISTINCT FROM 'unreachable' THEN 'unreachable' WHEN s = 'drifted' AND ps = 'drifted' AND pm IS DISTINCT FROM m THEN 'changed' WHEN s = 'drifted' AND ps IS DISTINCT FROM 'drifted' THEN 'drifted' WHEN s = 'in_sync' AND ps = 'drifted' THEN 'in_sync' WHEN s = 'in_sync' AND ps = 'unreachable' THEN 'reachable' ELSE 'nothing' END AS alert FROM p""",
+        SELECT event_id, ps AS previous_status, CASE WHEN s = 'unreachable' AND ps IS DISTINCT FROM 'unreachable' THEN 'unreachable' WHEN s = 'drifted' AND ps = 'unreachable' THEN 'reachable' WHEN s = 'drifted' AND ps IS DISTINCT FROM 'drifted' THEN 'drifted' WHEN s = 'drifted' AND pm <> m THEN 'changed' WHEN s = 'in_sync' AND ps = 'drifted' THEN 'in_sync' WHEN s = 'in_sync' AND ps = 'unreachable' THEN 'reachable' ELSE 'nothing' END AS alert FROM p""",
+    "recorded_outcomes": """WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'drifted' WHEN 'error' THEN 'unreachable' ELSE 'in_sync' END AS s, CASE WHEN event_id % 4 <> 0 THEN floor(value / 20) END AS m FROM events),
+        n AS (SELECT *, lag(s) OVER w IS DISTINCT FROM s AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
+        k AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM r) SELECT event_id FROM k WHERE new OR (m IS NOT NULL AND known IS DISTINCT FROM m)""",
     "incremental_lookback": "SELECT event_id FROM events WHERE event_id > 900 AND event_id % 3 <> 0 ORDER BY event_id LIMIT 200",
     "structure_diff": """WITH b AS (SELECT p_brand || '/' || p_size AS parent, p_partkey, p_type FROM part), a AS (SELECT p_brand || '/' || p_size AS parent, p_partkey, CASE WHEN p_partkey % 21 = 0 THEN 'new' ELSE p_type END AS p_type FROM part WHERE p_partkey % 10 <> 0 AND p_size <> 7)
         SELECT b.parent, b.p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'gone' ELSE 'changed' END AS status FROM b LEFT JOIN a ON a.p_partkey = b.p_partkey WHERE (a.p_partkey IS NULL AND b.parent IN (SELECT parent FROM a)) OR a.p_type <> b.p_type""",

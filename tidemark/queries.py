@@ -380,6 +380,12 @@ def alert_transitions(spark, d):
     return history.alerts(e, "user_id", ["ts", "event_id"], "status", "mark").select("event_id", "previous_status", "alert")
 
 
+def recorded_outcomes(spark, d):
+    status = F.when(F.col("event_type") == "click", "drifted").when(F.col("event_type") == "error", "unreachable").otherwise("in_sync")
+    e = _t(spark, d, "events").withColumns({"status": status, "mark": F.when(F.col("event_id") % 4 != 0, F.floor(F.col("value") / 20).cast("long"))})
+    return history.recorded_outcomes(e, "user_id", ["ts", "event_id"], "status", "mark").select("event_id")
+
+
 def incremental_lookback(spark, d):
     e = _t(spark, d, "events")
     # the limit is the feature: one read takes at most 200 new rows
@@ -480,7 +486,7 @@ QUERIES = {
         similarity_best, rename_matching, jaccard_docs, multiset_sim, trend_daily, usage_rollup, usage_pad, rate_window, latest_per_customer, retention_rank, retention_age, on_change_events, run_compare, change_over_window,
         forward_only, forward_until_violation, appeared_resolved, ledger_status, version_sort, version_keys, timeline_merge, family_heads, semi_anti, search_patterns, worst_severity_dedupe, severity_counts, category_matrix,
         null_safe_diff, tuple_in, feed_filter, due_select, threshold_breach, ratio_levels, size_format, score_rounding, text_similarity, fnv_fingerprint, calendar_spine, series_geometry, union_privileges, recursive_region,
-        topological_depth, ancestor_fold, asof_previous, asof_last_nonnull, range_after_oldest, topn_nested, alert_transitions, incremental_lookback, structure_diff, fallback_label, wanted_pairs, latest_with_counts,
+        topological_depth, ancestor_fold, asof_previous, asof_last_nonnull, range_after_oldest, topn_nested, alert_transitions, recorded_outcomes, incremental_lookback, structure_diff, fallback_label, wanted_pairs, latest_with_counts,
         role_permissions, either_side, order_preference, loudest_level, type_changes, cadence_normalized, schema_column_changes, drift_fingerprint, migration_script, structural_level,
     )
 }

@@ -10,36 +10,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _OUT = "key string, id long, ts timestamp, status string, fingerprint string, alert string"
-_STATE = "status string, fingerprint string"
+_STATE = "status string, recorded string, known string"
 
 
-def alert_of(status: str, fingerprint: str | None, before: str | None, fingerprint_before: str | None) -> str:
-    """As operators.history.alerts, for one event."""
+def alert_of(status: str, fingerprint: str | None, before: str | None, known: str | None) -> str:
+    """As operators.history.alerts, for one event: before is the status before, known the last known fingerprint."""
     if status == "unreachable":
         return "nothing" if before == "unreachable" else "unreachable"
     if status == "drifted":
-        return "drifted" if before != "drifted" else ("changed" if fingerprint != fingerprint_before else "nothing")
+        if before != "drifted":
+            return "reachable" if before == "unreachable" else "drifted"
+        return "changed" if fingerprint is not None and known is not None and fingerprint != known else "nothing"
     if status == "in_sync" and before in ("drifted", "unreachable"):
         return "in_sync" if before == "drifted" else "reachable"
     return "nothing"
 
 
 def recorded_on_change(events: DataFrame) -> DataFrame:
-    """Events (key, id, ts, status, fingerprint) that change their key's status or fingerprint, with the alert each raises.
+    """Events (key, id, ts, status, fingerprint) that go to the log, as operators.history.recorded_outcomes, with the alert each raises.
 
-    The state is two texts a key. Events of one trigger are taken in (ts, id) order."""
+    The state is three texts a key. Events of one trigger are taken in (ts, id) order."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, mark = state.get if state.exists else (None, None)
-        known = state.exists
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        before, recorded, known = state.get if state.exists else (None, None, None)
+        first = not state.exists
         out = []
-        for r in rows.itertuples():
+        for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
             mine = None if pd.isna(r.fingerprint) else r.fingerprint
-            if not known or r.status != before or mine != mark or mine is None:
-                out.append((key[0], r.id, r.ts, r.status, mine, alert_of(r.status, mine, before, mark)))
-            before, mark, known = r.status, mine, True
-        state.update((before, mark))
+            new = first or r.status != before
+            if new or (mine is not None and mine != recorded):
+                out.append((key[0], r.id, r.ts, r.status, mine, alert_of(r.status, mine, before, known)))
+                recorded = mine
+            before, known, first = r.status, known if mine is None else mine, False
+        state.update((before, recorded, known))
         yield pd.DataFrame(out, columns=["key", "id", "ts", "status", "fingerprint", "alert"])
 
     return events.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
