@@ -29,7 +29,7 @@ from . import common
 from .textvec import SpanHash, chunks, mix
 
 MARK = "▁"
-CACHE = 200_000  # units remembered by each worker
+CACHE = 600_000  # units remembered by each worker
 _PAIRS = 1 << 21  # slots for what is known of pairs of pieces
 _TEXT = 3_000_000  # code points encoded at once
 _GROUP = 20_000  # units that advance together at most
@@ -261,7 +261,7 @@ class Coder:
             marked = [(MARK if self.m.prefix else "") + t.replace(" ", MARK) if t else "" for t in part]
             cut = [([t] if t else []) if self.m.whole_text else self.cut.findall(t) for t in marked]
             need = set(chain.from_iterable(cut))
-            fresh = need - self.units.keys()
+            fresh = {u for u in need if u not in self.units}
             if len(self.units) + len(fresh) > CACHE:
                 self.units.clear()
                 fresh = need
