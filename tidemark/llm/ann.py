@@ -120,17 +120,17 @@ def share_needed(sample: np.ndarray, book: Codebook, top: int = TOP, recall: flo
     return float(min(1.0, (need + 1) / len(sample)))
 
 
-def _blocks(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each first-half centroid: its first block and the number of blocks it is cut into. Neighbours share a block while they fit."""
+def _blocks(held: np.ndarray, most: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """For each first-half centroid: its first block and the number of blocks it is cut into. Neighbours share a block of `most` while they fit."""
     at, cuts = np.zeros(len(held), np.int64), np.ones(len(held), np.int64)
-    block, room = 0, BLOCK
+    block, room = 0, most
     for i, n in enumerate(held.sum(axis=1)):
-        if n > room and room < BLOCK:
-            block, room = block + 1, BLOCK
-        cuts[i] = max(1, -(-int(n) // BLOCK))
+        if n > room and room < most:
+            block, room = block + 1, most
+        cuts[i] = max(1, -(-int(n) // most))
         at[i] = block
         if cuts[i] > 1:
-            block, room = block + int(cuts[i]), BLOCK
+            block, room = block + int(cuts[i]), most
         else:
             room -= int(n)
     return at, cuts
@@ -159,7 +159,8 @@ def search(table: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id", e
     distinct = rows.groupBy("v").agg(F.min("vec_id").alias("vid"), F.min(F.when(is_query, F.col("vec_id"))).alias("qid"))
     distinct = common.materialize(distinct, "ann-distinct")
     n = distinct.count()
-    sample = np.array([r.v for r in distinct.select("vid", "v").orderBy(F.xxhash64("vid"), "vid").limit(FIT).collect()])
+    some = common.hash_sample(distinct.select("vid", "v"), "vid", int(1.2 * FIT), n, "codebook")
+    sample = np.array([r.v for r in some.orderBy(F.xxhash64("vid", F.lit("codebook")), "vid").limit(FIT).collect()])
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     book = Codebook(sample, int(max(1, min(MOST_CENTROIDS, (n / 8) ** 0.5))))
@@ -180,29 +181,37 @@ def search(table: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id", e
     at, cuts = _blocks(held)
     layout = spark.sparkContext.broadcast((held, at, cuts, budget))
 
+    # queries go into parts by the centroid they are nearest to, so that a part visits few blocks if the walks are short
+    asked = index.filter("qid is not null")
+    held_queries = np.zeros((len(book.first), 1))
+    for r in asked.groupBy("c1").count().collect():  # at most MOST_CENTROIDS
+        held_queries[r.c1, 0] = r["count"]
+    starts, splits = _blocks(held_queries, QUERIES)
+    of = lambda x: F.array(*[F.lit(int(v)) for v in x])[F.col("c1")]
+    asked = asked.withColumn("part", (of(starts) + F.pmod(F.xxhash64("vid", F.lit(1)), of(splits))).cast("int"))
+
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, cuts, budget = layout.value
         for batch in batches:
-            out: list[tuple] = []
-            for vid, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: list[dict] = []
+            for vid, v, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen: dict[int, list[int]] = {}
                 for i, j in shared.value.walk(np.array(v), held, budget):
                     for cut in range(int(cuts[i])):
                         seen.setdefault(int(at[i]) + cut, []).append(i * k2 + j)
-                out += [(vid, v, block, cells) for block, cells in seen.items()]
+                out += [{"vid": vid, "part": part, "block": block, "cells": cells} for block, cells in seen.items()]
                 if len(out) > 2000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("vid", "v", "block", "cells"), r, strict=True)) for r in out], schema=_VISIT)
+                    yield pa.RecordBatch.from_pylist(out, schema=_VISIT)
                     out = []
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("vid", "v", "block", "cells"), r, strict=True)) for r in out], schema=_VISIT)
+                yield pa.RecordBatch.from_pylist(out, schema=_VISIT)
 
-    asked = index.filter("qid is not null")
-    groups = max(1, -(-asked.count() // QUERIES))
-    visits = asked.select("vid", "v").repartition(F.xxhash64("vid")).mapInArrow(visit, "vid long, v array<double>, block int, cells array<int>")
-    visits = visits.withColumn("part", F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(groups)).cast("int"))
-    first, many = F.array(*[F.lit(int(x)) for x in at]), F.array(*[F.lit(int(x)) for x in cuts])
-    entries = index.select("vid", "v", (F.col("c1") * k2 + F.col("c2")).alias("cell"), (first[F.col("c1")] + F.pmod(F.xxhash64("vid", F.lit(2)), many[F.col("c1")])).cast("int").alias("block"))
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    walked = asked.select("vid", "v", "part").repartition(F.xxhash64("vid")).mapInArrow(visit, "vid long, part int, block int, cells array<int>")
+    walked = common.materialize(walked, "ann-visits")
+    visits = walked.join(asked.select("vid", "v"), "vid")
+    entries = index.select("vid", "v", (F.col("c1") * k2 + F.col("c2")).alias("cell"), (of(at) + F.pmod(F.xxhash64("vid", F.lit(2)), of(cuts))).cast("int").alias("block"))
+    entries = entries.join(walked.select("block", "part").distinct(), "block")
+    entries = entries.toDF(*entries.columns)  # columns of its own: both sides of the cogroup come from the index
 
     def rerank(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         columns = {"qvid": [], "vid": [], "score": []}
@@ -227,4 +236,4 @@ def search(table: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id", e
     return mine.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-_VISIT = pa.schema([("vid", pa.int64()), ("v", pa.list_(pa.float64())), ("block", pa.int32()), ("cells", pa.list_(pa.int32()))])
+_VISIT = pa.schema([("vid", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("cells", pa.list_(pa.int32()))])
