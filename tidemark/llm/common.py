@@ -69,6 +69,12 @@ def bounded_sample(keys: DataFrame, stratum: str, by: str, n: int) -> DataFrame:
     return salted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= -(-n // salts)).drop("_rank", "_salt")
 
 
+def hash_sample(df: DataFrame, by: str, n: int, total: int, salt: str) -> DataFrame:
+    """About n of total rows, those whose hash of `by` falls below a threshold: a filter in the scan, so what it sends on doesn't grow with the number of tasks."""
+    share = 1 << 30 if total <= n else max(1, int((1 << 30) * n / total))
+    return df.filter(F.pmod(F.xxhash64(F.col(by), F.lit(salt)), F.lit(1 << 30)) < share)
+
+
 def with_columns_of_text(
     df: DataFrame, text: str, added: list[tuple[str, T.DataType, pa.DataType]], work: Callable[[list], list], keep_text: bool = True
 ) -> DataFrame:

@@ -254,8 +254,9 @@ def found_in(texts: list[str | None], model: Model) -> list[list[tuple[str, int,
 
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS, paragraphs: int = TRAIN_PARAGRAPHS) -> Model:
-    """Train against paragraphs of the `most` documents (of up to 20,000 code points) with the smallest hash of doc_id."""
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, 20_000)).orderBy(F.xxhash64("doc_id", F.lit("licence")), "doc_id", "text").limit(most).collect()
+    """Train against paragraphs of about `most` documents (of up to 20,000 code points) with small hashes of doc_id."""
+    some = common.hash_sample(docs.select("doc_id", "text"), "doc_id", 2 * most, docs.count(), "licence")
+    rows = some.filter(F.length("text").between(1, 20_000)).orderBy(F.xxhash64("doc_id", F.lit("licence")), "doc_id", "text").limit(most).collect()
     return train([line for r in rows for line in r.text.split("\n") if line.strip()][:paragraphs])
 
 
