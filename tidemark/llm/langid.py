@@ -139,14 +139,22 @@ def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
 
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> Model:
-    """Learn from at most `most` documents of each of the LANGUAGES commonest languages that are not held out, of 1 to `longest` code points."""
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") >= 1) & (F.length("text") <= longest) & (common.remainder() != 0))
-    common_ones = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    keys = common.bounded_sample(usable.filter(F.col("lang").isin(common_ones)).select("doc_id", "lang"), "lang", "doc_id", most)
-    bound = most * max(1, len(common_ones))
-    chosen = usable.join(F.broadcast(keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().limit(bound)), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    """Learn from at most `most` documents of each of the LANGUAGES commonest languages that are not held out, of 1 to `longest` code points.
+
+    Languages are counted and ids drawn without reading a text; only the drawn ones' texts are fetched."""
+    marked = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (common.remainder() != 0))
+    common_ones = [r.lang for r in marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    bound = 2 * most * max(1, len(common_ones))
+    keys = common.bounded_sample(marked.filter(F.col("lang").isin(common_ones)), "lang", "doc_id", 2 * most)
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().limit(bound)
+    usable = docs.select("doc_id", "text", "lang").filter(F.length("text").between(1, longest))
+    chosen = usable.join(F.broadcast(keys), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     rows = chosen.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "lang", "text").limit(bound).collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    taken: dict[str, list[str]] = {}
+    for r in rows:
+        if len(mine := taken.setdefault(r.lang, [])) < most:
+            mine.append(r.text)
+    return train([t for texts in taken.values() for t in texts], [lang for lang, texts in taken.items() for _ in texts])
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
