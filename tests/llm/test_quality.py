@@ -63,3 +63,20 @@ def test_estimate_resists_contamination(spark):
 
 def test_empty_table(spark):
     assert quality.judged(make(spark).limit(0)).count() == 0
+
+
+def test_every_group_with_enough_rows_has_its_own_estimate(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # one source of short words and 60 documents among large sources of long words
+    word = lambda k: "".join(rng.choice(list("abcdefgh"), k))
+    rows = [(i, " ".join(word(9) for _ in range(int(rng.integers(60, 120)))), "en", f"s{i % 2}") for i in range(500)]
+    rows += [(1000 + i, " ".join(word(2) + "#" for _ in range(int(rng.integers(60, 120)))), "en", "small") for i in range(60)]
+    rows += [(2000 + i, " ".join(word(9) for _ in range(80)), "en", f"t{i % 3}") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert all(whole[1000 + i].kept for i in range(60))
+    # however few groups the driver fits itself, the others' estimates are the same
+    monkeypatch.setattr(quality, "GROUPS", 2)
+    part = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert part.keys() == whole.keys()
+    assert np.allclose([part[i].distance for i in whole], [whole[i].distance for i in whole]) and all(part[i].kept == whole[i].kept for i in whole)

@@ -4,11 +4,14 @@ Base counts are exact and cover whole texts. From them come transformed statisti
 language and source a minimum-covariance-determinant estimate is fitted to all its documents: from medians
 and scaled median deviations as a start, concentration steps follow. In each step one job groups all
 documents by language, source and step of distance, with the sums, squares and products of their
-statistics; the driver finds the distance within which the share H of a group lies and takes mean and
-covariance of what is inside. The table it sees is bounded: at most GROUPS groups times STEPS steps.
-Groups with fewer than LEAST documents, and all beyond the GROUPS largest, take their language's estimate,
-and languages without one that of the whole corpus, fitted the same way. A document is rejected if its
-Mahalanobis distance exceeds CUT times the group's consistent chi-square scale, or if a base rule fails.
+statistics; from that comes the distance within which the share H of a group lies, and mean and covariance
+of what is inside. Every group is fitted. For the GROUPS largest the driver does so (a bounded table: at most
+GROUPS groups times STEPS steps, and estimates small enough to broadcast); for all others the same steps run
+in tables keyed by group. GROUPS only says where the work is done: the estimates are the same.
+Groups with fewer than LEAST documents that pass the base rules, too few for an estimate in five dimensions,
+take their language's estimate, and languages with fewer that of the whole corpus, fitted the same way, however
+few there are. A document is rejected if its Mahalanobis distance exceeds CUT times the group's consistent chi-square scale,
+or if a base rule fails.
 
 Null texts count as empty: no words, base_failed. Null language and null source are groups of their own.
 Repeated rows count as often as they occur. An empty table gives an empty result. Columns named like the
@@ -36,7 +39,8 @@ STATISTICS = {
     "z_lines": "ln(1D + 20D * n_dup_lines / (1D + n_words))",
     "z_repeat": "ln(1D + 5D * n_repeat_words / (1D + n_words))",
 }
-GROUPS, LEAST, STEPS = 1000, 200, 400
+#: Groups whose estimates the driver makes; passing documents that an estimate needs; steps of distance.
+GROUPS, LEAST, STEPS = 1000, 30, 400
 H = 0.75  # share of a group that the estimate rests on
 ROUNDS = 4
 CUT = 6.5  # in consistent standard deviations
@@ -116,43 +120,91 @@ def _chi2_factor(d: int, h: float) -> float:
     return float(h / below(d + 2)[q])
 
 
+def _quartiles(stats: DataFrame) -> DataFrame:
+    """g and the quartiles of each statistic in its group."""
+    return stats.groupBy("g").agg(*[F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(n) for n in STATISTICS])
+
+
+def _start_of(quartiles: list) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse covariance to start from: medians and scaled quartile distances."""
+    spread = np.array([max((q[2] - q[0]) / 1.349, f) for q, f in zip(quartiles, FLOOR, strict=True)])
+    return np.array([q[1] for q in quartiles]), np.diag(1 / spread**2)
+
+
+def _summed(placed: DataFrame) -> DataFrame:
+    """Count, sums and products of the statistics by group and step of distance2: g, step, n, s."""
+    names = list(STATISTICS)
+    products = [f"sum({a} * {b})" for i, a in enumerate(names) for b in names[i:]]
+    by_step = placed.selectExpr("g", f"{_step_of('distance2')} as step", *names).groupBy("g", "step")
+    return by_step.agg(F.count("*").alias("n"), F.expr(f"array({', '.join(f'sum({n})' for n in names)}, {', '.join(products)})").alias("s"))
+
+
+def _concentrated(steps: list, h: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse covariance of the inner share h. steps: [n, *sums, *products] by rising distance."""
+    rows = np.cumsum(np.array(steps, np.float64), axis=0)
+    return _solve(rows[int(np.searchsorted(rows[:, 0], h * rows[-1, 0]))], factor)
+
+
 def estimates(stats: DataFrame, h: float = H, rounds: int = ROUNDS) -> tuple[list[tuple], int]:
     """(group, mean, inverse covariance) of each group that has one. stats: columns g (group) and STATISTICS; only groups that are to be fitted."""
     d = len(STATISTICS)
     names = list(STATISTICS)
-    start = stats.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(n) for n in names]).collect()
-    model = {}
-    for r in start:
-        middle = np.array([r[n][1] for n in names])
-        spread = np.array([max((r[n][2] - r[n][0]) / 1.349, f) for n, f in zip(names, FLOOR, strict=True)])
-        model[r.g] = (middle, np.diag(1 / spread**2))
+    model = {r.g: _start_of([r[n] for n in names]) for r in _quartiles(stats).collect()}
     factor = _chi2_factor(d, h)
-    products = [f"sum({a} * {b})" for i, a in enumerate(names) for b in names[i:]]
     for _ in range(rounds):
         if not model:
             break
-        placed = with_distance(stats, model).selectExpr("g", f"{_step_of('distance2')} as step", *names)
-        table = placed.groupBy("g", "step").agg(F.count("*").alias("n"), F.expr(f"array({', '.join(f'sum({n})' for n in names)}, {', '.join(products)})").alias("s")).collect()
+        table = _summed(with_distance(stats, model)).collect()
         by: dict = {}
         for r in sorted(table, key=lambda r: (str(r.g), r.step)):
-            by.setdefault(r.g, []).append(np.array([r.n, *r.s], np.float64))
-        new = {}
-        for g, steps in by.items():
-            rows = np.cumsum(steps, axis=0)
-            inner = rows[int(np.searchsorted(rows[:, 0], h * rows[-1, 0]))]
-            new[g] = _solve(inner, factor)
-        model = new
+            by.setdefault(r.g, []).append([r.n, *r.s])
+        model = {g: _concentrated(steps, h, factor) for g, steps in by.items()}
     return [(g, *m) for g, m in sorted(model.items(), key=lambda x: str(x[0]))], len(model)
 
 
+_MODEL = "g string, m array<double>, p array<double>"
+
+
+def tabled_estimates(stats: DataFrame, h: float = H, rounds: int = ROUNDS) -> DataFrame:
+    """As estimates(), for any number of groups, none of which holds a large share of all rows: a table of g, m, p.
+
+    A group's sums by step come together in one row of at most STEPS entries."""
+    factor, names = _chi2_factor(len(STATISTICS), h), list(STATISTICS)
+
+    def started(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            yield _model_batch([(r["g"], *_start_of([r[n] for n in names])) for r in rows])
+
+    def solved(batches):
+        for b in batches:
+            yield _model_batch([(r["g"], *_concentrated([[x["n"], *x["s"]] for x in r["steps"]], h, factor)) for r in b.to_pylist()])
+
+    model = common.materialize(_quartiles(stats).mapInArrow(started, _MODEL), "quality-models")
+    for _ in range(rounds):
+        steps = _summed(stats.join(model, "g").withColumn("distance2", F.expr(_distance2()))).groupBy("g")
+        steps = steps.agg(F.array_sort(F.collect_list(F.struct("step", "n", "s"))).alias("steps"))
+        model = common.materialize(steps.mapInArrow(solved, _MODEL), "quality-models")
+    return model
+
+
+def _model_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [[g for g, _, _ in rows], [m.tolist() for _, m, _ in rows], [p.ravel().tolist() for _, _, p in rows]]
+    kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["g", "m", "p"])
+
+
+def _distance2() -> str:
+    """SQL: the squared Mahalanobis distance of the statistics from the estimate m, p."""
+    d, z = len(STATISTICS), [f"({n} - m[{i}])" for i, n in enumerate(STATISTICS)]
+    return " + ".join(f"p[{i * d + j}] * {z[i]} * {z[j]}" for i in range(d) for j in range(d))
+
+
 def with_distance(stats: DataFrame, model: dict) -> DataFrame:
-    """stats joined with its groups' estimates: distance2, the squared Mahalanobis distance. The model has at most GROUPS rows."""
-    names, d = list(STATISTICS), len(STATISTICS)
+    """stats joined with its groups' estimates: distance2, the squared Mahalanobis distance. The model has few enough rows to broadcast."""
     rows = [(g, m.tolist(), p.ravel().tolist()) for g, (m, p) in model.items()]
-    table = stats.sparkSession.createDataFrame(rows, "g string, m array<double>, p array<double>")
-    z = [f"({n} - m[{i}])" for i, n in enumerate(names)]
-    distance = " + ".join(f"p[{i * d + j}] * {z[i]} * {z[j]}" for i in range(d) for j in range(d))
-    return stats.join(F.broadcast(table), "g").withColumn("distance2", F.expr(distance)).drop("m", "p")
+    table = stats.sparkSession.createDataFrame(rows, _MODEL)
+    return stats.join(F.broadcast(table), "g").withColumn("distance2", F.expr(_distance2())).drop("m", "p")
 
 
 def judged(docs: DataFrame, text: str = "text", cut: float = CUT, keep_text: bool = False) -> DataFrame:
@@ -164,28 +216,33 @@ def judged(docs: DataFrame, text: str = "text", cut: float = CUT, keep_text: boo
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
     fine = F.concat_ws("\u0001", key("lang"), key("source"))
-    whole = base.withColumn("base_failed", failed).withColumn("_fine", fine).withColumn("_lang", key("lang"))
+    # one name space for the groups of all three levels
+    fine, wide = F.concat(F.lit("fine"), fine), F.concat(F.lit("lang"), key("lang"))
+    whole = base.withColumn("base_failed", failed).withColumn("_fine", fine).withColumn("_lang", wide)
     stats = [F.expr(e).alias(n) for n, e in STATISTICS.items()]
-    passed = whole.filter("not base_failed").select("_fine", "_lang", *stats)
-    # the largest groups at each level, counted over all documents that pass the base rules
-    sizes = passed.groupBy("_fine").count().filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "_fine").limit(GROUPS).collect()
-    langs = passed.groupBy("_lang").count().filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "_lang").limit(GROUPS).collect()
-    known = spark.createDataFrame([(r._fine,) for r in sizes], "_fine string")
-    fitted = passed.join(F.broadcast(known), "_fine").withColumnRenamed("_fine", "g").drop("_lang")
-    wide = passed.join(F.broadcast(spark.createDataFrame([(r._lang,) for r in langs], "_lang string")), "_lang").withColumn("g", F.concat(F.lit("lang"), "_lang")).drop("_lang", "_fine")
-    every = passed.withColumn("g", F.lit("all")).drop("_lang", "_fine")
-    model, _ = estimates(fitted.unionByName(wide).unionByName(every))
-    have = {g for g, _, _ in model}
-    rows = [(g, m.tolist(), p.ravel().tolist()) for g, m, p in model]
-    if not rows:
-        return whole.withColumn("distance", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed")).drop("_fine", "_lang")
-    d, names = len(STATISTICS), list(STATISTICS)
-    fine_names = spark.createDataFrame([(r._fine, r._fine) for r in sizes if r._fine in have] or [("\u0002", "all")], "_fine string, g1 string")
-    lang_names = spark.createDataFrame([(r._lang, "lang" + r._lang) for r in langs if "lang" + r._lang in have] or [("\u0002", "all")], "_lang string, g2 string")
-    table = spark.createDataFrame(rows, "g string, m array<double>, p array<double>")
-    placed = whole.join(F.broadcast(fine_names), "_fine", "left").join(F.broadcast(lang_names), "_lang", "left").withColumn("g", F.coalesce("g1", "g2", F.lit("all")))
-    placed = placed.join(F.broadcast(table), "g", "left").select("*", *stats)
-    z = [f"({n} - m[{i}])" for i, n in enumerate(names)]
-    distance = "sqrt(greatest(0D, " + " + ".join(f"p[{i * d + j}] * {z[i]} * {z[j]}" for i in range(d) for j in range(d)) + "))"
-    out = placed.withColumn("distance", F.expr(distance)).withColumn("kept", F.expr(f"not base_failed and coalesce(distance <= {cut!r}D, true)"))
-    return out.drop("g", "g1", "g2", "m", "p", "_fine", "_lang", *names)
+    passed = whole.filter("not base_failed").select(F.explode(F.array("_fine", "_lang", F.lit("all"))).alias("g"), *stats)
+    sizes = common.materialize(passed.groupBy("g").agg(F.count("*").alias("n")).filter((F.col("n") >= LEAST) | (F.col("g") == "all")), "quality-sizes")
+    largest = [r.g for r in sizes.orderBy(F.desc("n"), "g").limit(GROUPS + 1).collect()]
+    # the largest groups are joined by broadcast, so no key of the joins below holds a large share of the rows
+    hot = spark.createDataFrame([(g,) for g in largest[:GROUPS]], "g string")
+    model, _ = estimates(passed.join(F.broadcast(hot), "g"))
+    models = spark.createDataFrame([(g, m.tolist(), p.ravel().tolist()) for g, m, p in model], _MODEL)
+    rest = None
+    if len(largest) > GROUPS:
+        others = sizes.select("g").join(F.broadcast(hot), "g", "left_anti")
+        rest = tabled_estimates(passed.join(F.broadcast(hot), "g", "left_anti").join(others, "g", "left_semi"))
+    placed = _placed(_placed(whole.withColumns({"m": F.lit(None).cast("array<double>"), "p": F.lit(None).cast("array<double>")}), "_fine", models, rest), "_lang", models, rest)
+    placed = _placed(placed.withColumn("_all", F.lit("all")), "_all", models, None).select("*", *stats)
+    out = placed.withColumn("distance", F.expr(f"sqrt(greatest(0D, {_distance2()}))")).withColumn("kept", F.expr(f"not base_failed and coalesce(distance <= {cut!r}D, true)"))
+    return out.drop("m", "p", "_fine", "_lang", "_all", *STATISTICS)
+
+
+def _placed(docs: DataFrame, key: str, models: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """docs with the estimate (m, p) of the group that `key` names, where they have none yet and the group has one."""
+
+    def joined(some: DataFrame, table: DataFrame) -> DataFrame:
+        named = table.selectExpr(f"g as {key}", "m as _m", "p as _p")
+        return some.join(named, key, "left").withColumns({"m": F.coalesce("m", "_m"), "p": F.coalesce("p", "_p")}).drop("_m", "_p")
+
+    out = joined(docs, F.broadcast(models))
+    return out if rest is None else out.filter("m is not null").unionByName(joined(out.filter("m is null"), rest))
