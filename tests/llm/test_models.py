@@ -114,3 +114,23 @@ def test_licence_scan_table(spark, licence_model):
     rows = licenses.scanned(df, licence_model).collect()
     assert [[x.family for x in r.licences] for r in rows] == [["mit"], ["mit"], []]
     assert licenses.scanned(df.limit(0), licence_model).count() == 0
+
+
+@pytest.mark.parametrize("notice,family", [("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), (licenses.TEMPLATES["gpl"][0], "gpl"), (licenses.TEMPLATES["agpl"][0], "agpl")])
+def test_licences_inside_long_lines_and_across_lines(licence_model, notice, family):
+    rng = np.random.default_rng(4)
+    words = notice.split()
+    middle = len(words) // 2
+    wrapped = " ".join(words[:middle]) + "\n * " + " ".join(words[middle:])
+    for before in (0, 3, 90, 301, 1007):
+        for form in (notice, wrapped):
+            text = " ".join([sentence(rng, "aa", before), form, sentence(rng, "aa", 400)]) if before else form
+            found = licenses.found_in([text], licence_model)[0]
+            assert [f for f, *_ in found] == [family], (before, form, found)
+            assert text[found[0][1] : found[0][2]].rstrip(".") == form.rstrip("."), (before, found)
+
+
+def test_two_licences_in_one_long_line(licence_model):
+    rng = np.random.default_rng(5)
+    text = " ".join([sentence(rng, "bb", 200), "Released under the MIT License.", sentence(rng, "bb", 200), "Licensed under CC BY-NC 4.0.", sentence(rng, "bb", 100)])
+    assert [(f, text[a:b]) for f, a, b, _ in licenses.found_in(["", text, None], licence_model)[1]] == [("mit", "Released under the MIT License"), ("cc", "Licensed under CC BY-NC 4.0")]

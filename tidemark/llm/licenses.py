@@ -1,12 +1,14 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Each line of a text is a paragraph. A multinomial logistic regression over hashed word n-grams (1 to 3)
-gives it a licence family or `none`. It is trained on paragraphs made from the templates below (whole,
+Each line of a text is a paragraph, and so is each window of WINDOW words, half of which the next one shares,
+across lines: so notices inside long lines and notices that are wrapped are found too. A multinomial logistic
+regression over hashed word n-grams (1 to 3) gives a paragraph a licence family or `none`. It is trained on paragraphs made from the templates below (whole,
 cut, with words dropped, with the corpus's own words around them) against paragraphs of a bounded sample of
 the corpus and against near misses. The unknown class is calibrated on paragraphs that the fit hasn't seen:
 a temperature for the probabilities, then the least certainty at which at most FALSE of the paragraphs
 without a licence would pass. What passes is confirmed only if it shares enough word n-grams with a
-template of its family.
+template of its family. A confirmed line is a span; a confirmed window is narrowed, or widened, to the words that
+match one template in order. A line that such a span leaves, or that is longer than LONG words, gives way to it.
 
 Null and empty texts have no paragraphs and no licence. Repeated rows each get their own result. Extra
 columns pass through; columns named like the added ones are replaced.
@@ -14,6 +16,7 @@ columns pass through; columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -98,6 +101,8 @@ BUCKETS = 1 << 16
 TRAIN_DOCS, TRAIN_PARAGRAPHS = 400, 3000
 FALSE = 0.0005  # share of other paragraphs that may pass for a licence before templates are compared
 SHARED = 0.5  # share of a template's (or the paragraph's) word n-grams that confirms
+WINDOW, LONG = 16, 64  # words of a window; words beyond which a line with matched words in it is no span of its own
+GAP = 6  # words that may be changed or left out between two matches of one notice
 
 
 @dataclass
@@ -146,6 +151,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def folded(text: str) -> str:
+    """text in lower case, if that keeps its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text
+
+
 def word_grams(text: str, n: int = 3) -> set[tuple[str, ...]]:
     words = re.findall(r"\w+", text.lower())
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
@@ -160,6 +171,39 @@ def confirmed(paragraph: str, family: str) -> float:
     return max((len(own & t) / min(len(t), max(len(own), 2)) for t in _templates[family]), default=0.0) if own else 0.0
 
 
+_ordered: dict[str, list[dict]] = {}
+for _f, _ts in TEMPLATES.items():
+    for _t in _ts:
+        _w = re.findall(r"\w+", _t.lower())
+        _at: dict[tuple, list[int]] = {}
+        for _i in range(max(1, len(_w) - 2)):
+            _at.setdefault(tuple(_w[_i : _i + 3]), []).append(_i)
+        _ordered.setdefault(_f, []).append(_at)
+LONGEST = max(len(t) for ts in _templates.values() for t in ts) + 2  # words of the longest template
+
+
+def _matched(words: list[str], low: int, high: int) -> tuple[str, int, int, int] | None:
+    """The run of words around the window [low, high) that matches most n-grams of one template in order: family, first word, end, n-grams."""
+    a, b = max(0, low - LONGEST), min(len(words), high + LONGEST)
+    grams = [tuple(words[i : i + 3]) for i in range(a, b - 2)]
+    best = None
+    for family, templates in _ordered.items():
+        for at in templates:
+            runs: list[list[int]] = []  # first and last gram, place in the template, n-grams
+            for i, g in enumerate(grams, a):
+                if g not in at:
+                    continue
+                later = [p for p in at[g] if runs and p > runs[-1][2]]
+                if later and i - runs[-1][1] <= GAP:
+                    runs[-1][1:] = [i, later[0], runs[-1][3] + 1]
+                else:
+                    runs.append([i, i, at[g][0], 1])
+            for first, last, _, n in runs:
+                if first < high and last + 3 > low and (best is None or n > best[3]):
+                    best = (family, first, last + 3, n)
+    return best
+
+
 def _examples(corpus: list[str], rng: np.random.Generator) -> tuple[list[str], list[str]]:
     """Paragraphs and classes: variations of the templates, near misses, and the corpus's own."""
     words = [w for p in corpus[:200] for w in p.split()[:20]] or ["the", "of", "and"]
@@ -232,24 +276,90 @@ def train(corpus: list[str], epochs: int = 80, rate: float = 0.1, seed: int = 1)
     return Model(families, weights, b.astype(np.float32), sharp, min(least, 0.95))
 
 
+def _windows(words: tuple[np.ndarray, np.ndarray], starts: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of windows of WINDOW words that lie one after the other in each text, the first cut by `shift` words, and the number of the word at each."""
+    lows = words[0]
+    first = np.searchsorted(lows, starts[:-1])
+    n = np.diff(np.append(first, lows.size))
+    place = np.arange(lows.size) - np.repeat(first, n) + shift
+    at = np.flatnonzero((place % WINDOW == 0) | (place == shift))
+    return np.append(lows[at], starts[-1]), np.append(at, lows.size)
+
+
+def _lines(codes: np.ndarray, starts: np.ndarray, part: list[str], model: Model) -> list[list[tuple[str, int, int, float]]]:
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in part]
+    edges = np.unique(np.concatenate((starts, np.flatnonzero(codes == 10) + 1)))
+    p = _softmax(_logits(codes, edges, model))
+    best = p.argmax(axis=1)
+    for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= model.least)):
+        doc = int(np.searchsorted(starts, edges[i], "right") - 1)
+        a, b = int(edges[i] - starts[doc]), int(edges[i + 1] - starts[doc])
+        line = part[doc][a:b].rstrip("\n")
+        if confirmed(line, family := model.families[best[i]]) >= SHARED:
+            out[doc].append((family, a, a + len(line), float(p[i].max())))
+    return out
+
+
+def _notices(codes: np.ndarray, starts: np.ndarray, part: list[str], model: Model) -> list[list[tuple[str, int, int, float]]]:
+    """For each text what confirmed windows match: family, start, end, certainty; overlapping ones are one, the best matched."""
+    found: list[list[tuple[int, int, int, str, float]]] = [[] for _ in part]
+    runs = textvec.runs_of(textvec.flags_of(codes, "isalnum"), starts)
+    of: dict[int, tuple[list[str], list[tuple[int, int]]]] = {}
+    for shift in (0, WINDOW // 2):
+        if not runs[0].size:
+            break
+        edges, _ = _windows(runs, starts, shift)
+        p = _softmax(_logits(codes, edges, model))
+        best = p.argmax(axis=1)
+        for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= model.least)):
+            doc = int(np.searchsorted(starts, edges[i], "right") - 1)
+            # a window that is its text's last may reach into a later text without words before its first word
+            a, b = int(edges[i] - starts[doc]), int(min(edges[i + 1], starts[doc + 1]) - starts[doc])
+            if confirmed(part[doc][a:b], model.families[best[i]]) < SHARED:
+                continue
+            if doc not in of:
+                spans = [m.span() for m in re.finditer(r"\w+", folded(part[doc]))]
+                low = folded(part[doc])
+                of = {doc: ([low[x:y] for x, y in spans], spans)}
+            words, spans = of[doc]
+            w = bisect.bisect_left(spans, (a, 0)), bisect.bisect_left(spans, (b, 0))
+            if (hit := _matched(words, *w)) is not None:
+                family, first, end, n = hit
+                found[doc].append((n, spans[first][0], spans[end - 1][1], family, float(p[i].max())))
+    out: list[list[tuple[str, int, int, float]]] = []
+    for hits in found:
+        chosen: list[tuple[str, int, int, float]] = []
+        for _, a, b, family, sure in sorted(hits, key=lambda x: (-x[0], x[1], x[2], x[3], -x[4])):
+            if all(b <= y or z <= a for _, y, z, _ in chosen):
+                chosen.append((family, a, b, sure))
+        out.append(sorted(chosen, key=lambda x: x[1]))
+    return out
+
+
+def _together(text: str, lines: list[tuple[str, int, int, float]], notices: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Confirmed lines and notices without overlaps: a notice that leaves its line, or lies in a long one, takes the line's place."""
+    if not notices:
+        return lines
+    kept = []
+    for line in lines:
+        _, a, b, _ = line
+        inside = [n for n in notices if n[1] < b and a < n[2]]
+        wrapped = any(n[1] < a or n[2] > b for n in inside)
+        if not (wrapped or inside and len(re.findall(r"\w+", text[a:b])) > LONG):
+            kept.append(line)
+    free = [n for n in notices if not any(n[1] < b and a < n[2] for _, a, b, _ in kept)]
+    return sorted(kept + free, key=lambda x: x[1:3])
+
+
 def found_in(texts: list[str | None], model: Model) -> list[list[tuple[str, int, int, float]]]:
-    """For each text its confirmed licence paragraphs: family, start, end (code points), certainty."""
+    """For each text its confirmed licence notices: family, start, end (code points), certainty."""
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     for at, part in textvec.chunks([t or "" for t in texts]):
-        codes, starts = textvec.codes_of([t.lower() if len(t.lower()) == len(t) else t for t in part])
+        codes, starts = textvec.codes_of([folded(t) for t in part])
         if not codes.size:
             continue
-        breaks = np.flatnonzero(codes == 10) + 1
-        edges = np.unique(np.concatenate((starts, breaks)))
-        z = _logits(codes, edges, model)
-        p = _softmax(z)
-        best = p.argmax(axis=1)
-        for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= model.least)):
-            doc = int(np.searchsorted(starts, edges[i], "right") - 1)
-            a, b = int(edges[i] - starts[doc]), int(edges[i + 1] - starts[doc])
-            line = part[doc][a:b].rstrip("\n")
-            if confirmed(line, family := model.families[best[i]]) >= SHARED:
-                out[at + doc].append((family, a, a + len(line), float(p[i].max())))
+        for i, (lines, notices) in enumerate(zip(_lines(codes, starts, part, model), _notices(codes, starts, part, model), strict=True)):
+            out[at + i] = _together(part[i], lines, notices)
     return out
 
 
