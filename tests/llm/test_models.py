@@ -134,3 +134,16 @@ def test_two_licences_in_one_long_line(licence_model):
     rng = np.random.default_rng(5)
     text = " ".join([sentence(rng, "bb", 200), "Released under the MIT License.", sentence(rng, "bb", 200), "Licensed under CC BY-NC 4.0.", sentence(rng, "bb", 100)])
     assert [(f, text[a:b]) for f, a, b, _ in licenses.found_in(["", text, None], licence_model)[1]] == [("mit", "Released under the MIT License"), ("cc", "Licensed under CC BY-NC 4.0")]
+
+
+def test_every_language_is_learnt(spark):
+    # more languages than 200, three documents each, and one language of long documents alone
+    names = [f"l{i:03d}" for i in range(210)]
+    rows = [(3 * k + j, (chr(0x4E00 + 7 * k) + chr(0x4E01 + 7 * k)) * 30, lang) for k, lang in enumerate(names) for j in range(3)]
+    rows += [(5000 + i, "шщ " * 8000, "long") for i in range(4)] + [(6000, "", "empty"), (6001, None, "empty")]
+    docs = spark.createDataFrame([r for r in rows if not held(r[0]) or r[2] != "long"], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    learnt = {lang for i, t, lang in rows if not held(i) and t}
+    assert set(model.languages) == learnt and len(learnt) > 200 and "long" in learnt
+    found = langid.identify([t for _, t, lang in rows if lang in learnt], model)[0]
+    assert np.mean([a == lang for a, lang in zip(found, (x for _, _, x in rows if x in learnt), strict=True)]) > 0.97

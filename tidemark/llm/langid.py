@@ -27,8 +27,8 @@ NGRAMS = (1, 2, 3, 4)
 COLUMNS = 1 << 13
 PIECE = 2048
 UNKNOWN = "und"
-#: Bounds: documents learnt from for each language, code points of one of them, languages, landmarks.
-TRAIN_DOCS, TRAIN_CHARS, LANGUAGES, LANDMARKS = 400, 20_000, 200, 192
+#: Bounds: documents learnt from for each language, of all languages together and at least for each; landmarks, of which each language has one at least.
+TRAIN_DOCS, TRAIN_TOTAL, TRAIN_LEAST, LANDMARKS = 400, 80_000, 40, 192
 
 
 @dataclass
@@ -87,16 +87,16 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ri
         rank = np.arange(owner.size) - np.searchsorted(owner, owner)
         pick = (rank == 0) | (rank == np.bincount(owner)[owner] // 2)
         x = presence(codes, first)
-        rows.append(x[pick].astype(bool))
+        rows.append(np.packbits(x[pick].astype(bool), axis=1))
         of.append(label[owner[pick] + at])
     x, y = np.concatenate(rows), np.concatenate(of)
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == k))[: max(1, landmarks // len(names))] for k in range(len(names))])
-    marks = np.ascontiguousarray(x[chosen].astype(np.float32).T)
+    marks = np.ascontiguousarray(np.unpackbits(x[chosen], axis=1).astype(np.float32).T)
     norms = np.sqrt(np.maximum(marks.sum(axis=0), 1))
     own = _features(marks.T, marks, norms).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    k = np.concatenate([_features(x[i : i + 512].astype(np.float32), marks, norms) for i in range(0, len(x), 512)]) @ half
+    k = np.concatenate([_features(np.unpackbits(x[i : i + 512], axis=1).astype(np.float32), marks, norms) for i in range(0, len(x), 512)]) @ half
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     balance = np.sqrt(1 / np.bincount(y, minlength=len(names))[y])[:, None]
     a = k * balance
@@ -138,26 +138,24 @@ def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     return names, best
 
 
-def fit(docs: DataFrame, most: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> Model:
-    """Learn from at most `most` documents of each of the LANGUAGES commonest languages that are not held out, of 1 to `longest` code points.
+def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
+    """Learn every language from pieces of at most `most` documents that are not held out and not empty, fewer of each where there are very many languages.
 
-    Languages are counted and ids drawn without reading a text; only the drawn ones' texts are fetched."""
-    marked = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (common.remainder() != 0))
-    common_ones = [r.lang for r in marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    bound = 2 * most * max(1, len(common_ones))
-    keys = common.bounded_sample(marked.filter(F.col("lang").isin(common_ones)), "lang", "doc_id", 2 * most)
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().limit(bound)
-    usable = docs.select("doc_id", "text", "lang").filter(F.length("text").between(1, longest))
-    chosen = usable.join(F.broadcast(keys), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
-    rows = chosen.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "lang", "text").limit(bound).collect()
-    taken: dict[str, list[str]] = {}
-    for r in rows:
-        if len(mine := taken.setdefault(r.lang, [])) < most:
-            mine.append(r.text)
-    return train([t for texts in taken.values() for t in texts], [lang for lang, texts in taken.items() for _ in texts])
+    Of a document, however long, its first piece and the middle one are fetched. What is broadcast has one row a language."""
+    usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (common.remainder() != 0) & (F.col("text") != ""))
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    drawn = common.bounded_sample(usable.select("doc_id", "lang"), "lang", "doc_id", most)
+    edges = common.materialize(drawn.groupBy(F.col("lang").alias("_lang")).agg(F.max(order).alias("_edge")), "language-edges")
+    most = min(most, max(TRAIN_LEAST, TRAIN_TOTAL // max(1, edges.count())))
+    middle = F.expr(f"if(length(text) > {PIECE}, substring(text, {PIECE} * (ceil(length(text) / {PIECE}D) div 2) + 1, {PIECE}), null)")
+    chosen = usable.join(F.broadcast(edges), (F.col("lang") == F.col("_lang")) & (order <= F.col("_edge")))
+    pieces = chosen.select("doc_id", "lang", F.substring("text", 1, PIECE).alias("first"), middle.alias("middle"))
+    rows = common.bounded_sample(pieces, "lang", "doc_id", most).orderBy(order, "doc_id", "lang", "first", "middle").collect()
+    learnt = [(t, r.lang) for r in rows for t in (r["first"], r["middle"]) if t]
+    return train([t for t, _ in learnt], [lang for _, lang in learnt])
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred and score (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # COLUMNS by LANDMARKS, 6 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # COLUMNS by landmarks: 6 MB up to LANDMARKS languages, 33 kB for each one more
     return common.with_columns_of_text(docs, text, [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())], lambda x: list(identify(x, shared.value)), keep_text)
