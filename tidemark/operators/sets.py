@@ -26,6 +26,16 @@ def multiset_similarity(bags: DataFrame, pairs: DataFrame, group: str, item: str
     return sized.select("a", "b", F.when(a + b == 0, F.lit(1.0)).otherwise(s.cast("double") / (a + b - s)).alias("similarity"))
 
 
+def token_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
+    """Jaccard similarity of the sets of lower-case words of every left and right row that share one: left_id, right_id, similarity. Pairs that share none have 0 and no row."""
+    tokens = lambda df, key: df.select(key, F.explode(F.split(F.lower(text), " ")).alias("word")).filter("word <> ''").distinct()
+    a, b = tokens(left, left_id), tokens(right, right_id)
+    sizes = lambda df, key, n: df.groupBy(key).agg(F.count("*").alias(n))
+    shared = a.join(b, "word").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    sized = shared.join(sizes(a, left_id, "sa"), left_id).join(sizes(b, right_id, "sb"), right_id)
+    return sized.select(left_id, right_id, (F.col("shared").cast("double") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("similarity"))
+
+
 def structure_diff(before: DataFrame, after: DataFrame, key: Sequence[str], shape: str, parent: str | None = None) -> DataFrame:
     """Items (key, shape) that are gone, added or changed; children of parents that are gone as a whole are left out."""
     keys = list(key)

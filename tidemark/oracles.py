@@ -58,6 +58,10 @@ ORACLES = {
     "similarity_best": """WITH p AS (SELECT a.n_nationkey AS left_id, b.n_nationkey + 100 AS right_id, floor((CASE WHEN lower(a.n_name) = lower(b.n_name || 's') THEN 1.0::DOUBLE ELSE greatest(0.0, 1.0::DOUBLE - levenshtein(lower(a.n_name), lower(b.n_name || 's'))::DOUBLE / greatest(length(a.n_name), length(b.n_name) + 1)) END) * 100 * 10 + 0.5) / 10.0::DOUBLE AS score FROM nation a, nation b),
         r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rl, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rr FROM p)
         SELECT left_id, right_id, score FROM r WHERE rl = 1 AND rr = 1 AND score >= 70""",
+    "jaccard_benchmark": """WITH a AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), b AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents),
+        na AS (SELECT item_id, count(*) AS n FROM a WHERE w <> '' GROUP BY 1), nb AS (SELECT doc_id, count(*) AS n FROM b WHERE w <> '' GROUP BY 1),
+        s AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b USING (w) WHERE w <> '' GROUP BY 1, 2)
+        SELECT item_id, doc_id, round(s.n::DOUBLE / (na.n + nb.n - s.n), 9) AS similarity FROM s JOIN na USING (item_id) JOIN nb USING (doc_id)""",
     "jaccard_docs": """WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS s FROM benchmark)
         SELECT a.item_id, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 9) AS similarity FROM w a JOIN w b ON b.item_id = a.item_id + 1""",
     "multiset_sim": """WITH c AS (SELECT p_brand AS g, p_type AS t, count(*) AS n FROM part GROUP BY 1, 2), s AS (SELECT g, sum(n) AS size FROM c GROUP BY 1),

@@ -130,6 +130,13 @@ def jaccard_docs(spark, d):
     return a.join(b, "item_id").select("item_id", F.round(X.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
+def jaccard_benchmark(spark, d):
+    # every item against every document that shares a token with it
+    a = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("words"))
+    b = _t(spark, d, "documents").select("doc_id", F.col("text").alias("words"))
+    return sets.token_similarity(a, b, "item_id", "doc_id", "words").withColumn("similarity", F.round("similarity", 9))
+
+
 def multiset_sim(spark, d):
     part = _t(spark, d, "part")
     brands = part.select("p_brand").distinct()
@@ -483,7 +490,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rowdiff_orders, rowdiff_columns, rowdiff_dup_keys, rowdiff_without_dups, rowdiff_cutoff, rowdiff_sample, table_checksum, table_checksum_sorted, manifest_fingerprint, data_compare_summary, name_outer_join, keyed_objects, two_stage_match,
-        similarity_best, rename_matching, jaccard_docs, multiset_sim, trend_daily, usage_rollup, usage_pad, rate_window, latest_per_customer, retention_rank, retention_age, on_change_events, run_compare, change_over_window,
+        similarity_best, rename_matching, jaccard_docs, jaccard_benchmark, multiset_sim, trend_daily, usage_rollup, usage_pad, rate_window, latest_per_customer, retention_rank, retention_age, on_change_events, run_compare, change_over_window,
         forward_only, forward_until_violation, appeared_resolved, ledger_status, version_sort, version_keys, timeline_merge, family_heads, semi_anti, search_patterns, worst_severity_dedupe, severity_counts, category_matrix,
         null_safe_diff, tuple_in, feed_filter, due_select, threshold_breach, ratio_levels, size_format, score_rounding, text_similarity, fnv_fingerprint, calendar_spine, series_geometry, union_privileges, recursive_region,
         topological_depth, ancestor_fold, asof_previous, asof_last_nonnull, range_after_oldest, topn_nested, alert_transitions, recorded_outcomes, incremental_lookback, structure_diff, fallback_label, wanted_pairs, latest_with_counts,
