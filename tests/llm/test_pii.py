@@ -84,3 +84,15 @@ def test_empty_table_and_extra_columns(spark):
     assert pii.spans(df, model).count() == 0
     plan = pii.spans(df, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_of_any_length_are_candidates(spark):
+    unit = hashlib.sha256(b"x").hexdigest()
+    tokens = ["Ab3" + unit, "Ab" + unit * 4, "k" * 60 + "7" + unit, unit * 3000 + "==", "z" * 60_000 + "1"]
+    texts = [f"api_key = \"{t}\" end" for t in tokens] + ["x" * 300, "word " * 100 + "/" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = {r.doc_id: r.spans for r in pii.spans(df, pii.fit(corpus(spark))).collect()}
+    assert [spans[i] for i in range(4)] == [f"secret:11:{11 + len(t)}" for t in tokens[:4]]
+    assert spans[5] == spans[6] == ""
+    seen = df.selectExpr("doc_id", f"size(filter({pii._candidates('text')}, x -> x.k = 'secret')) as n")
+    assert [r.n for r in seen.orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0, 0]

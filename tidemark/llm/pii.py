@@ -33,7 +33,7 @@ BASE = ("email", "ip", "card", "phone")
 
 #: Kinds of candidates beyond the base ones.
 WIDE = {
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,40}[0-9])[A-Za-z0-9_/+-]{16,200}+=*(?![A-Za-z0-9_/+=-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+-]{16,}+=*(?![A-Za-z0-9_/+=-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+(). -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -120,7 +120,9 @@ def _votes(x: str) -> dict[str, str]:
         f" when {x}.k = 'local_phone' then {x}.t rlike '^[(]?[2-9]' else true end"
     )
     words = f"case when {x}.k = 'masked_email' then {x}.t rlike '(?i)(?:com|org|net|edu|de|fr|es|uk|io|info)$' when {x}.k = 'name' then true when {x}.k = 'secret' then {x}.t rlike '^(?:AKIA|gh[pousr]_|sk[_-]|xox)' else false end"
-    distinct = f"size(array_distinct(split(lower({x}.t), '')))"
+    # of long tokens (secrets, any length) without an array of their characters
+    long = f"aggregate(split('abcdefghijklmnopqrstuvwxyz0123456789_/+-=', ''), 0, (n, c) -> n + cast(contains(lower({x}.t), c) as int))"
+    distinct = f"if({x}.k = 'secret' and length({x}.t) > 200, {long}, size(array_distinct(split(lower({x}.t), ''))))"
     return {
         "form": f"if({strict}, 1, -1)",
         "gazetteer": f"if({words}, 1, 0)",
