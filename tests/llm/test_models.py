@@ -147,3 +147,9 @@ def test_every_language_is_learnt(spark):
     assert set(model.languages) == learnt and len(learnt) > 200 and "long" in learnt
     found = langid.identify([t for _, t, lang in rows if lang in learnt], model)[0]
     assert np.mean([a == lang for a, lang in zip(found, (x for _, _, x in rows if x in learnt), strict=True)]) > 0.97
+
+
+def test_licences_beside_letters_with_longer_lower_forms(licence_model):
+    text = "kalo \u0130miten\nReleased under the MIT License.\nRULO"
+    assert [(f, text[a:b]) for f, a, b, _ in licenses.found_in([text], licence_model)[0]] == [("mit", "Released under the MIT License.")]
+    assert licenses.folded("A\u0130B") == "a\u0130b"

@@ -152,9 +152,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def folded(text: str) -> str:
-    """text in lower case, if that keeps its length."""
+    """text in lower case; code points whose lower form is longer stay, so that positions hold."""
     low = text.lower()
-    return low if len(low) == len(text) else text
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) > 1 else x for c in text)
 
 
 def word_grams(text: str, n: int = 3) -> set[tuple[str, ...]]:
