@@ -173,3 +173,14 @@ def test_sets(spark):
     assert sets.structure_diff(a, b, ["k", "parent"], "shape").count() == 1
     assert sets.structure_diff(a, b, ["k", "parent"], "shape", "parent").count() == 0
     assert sets.shared_columns(["a", "b"], ["b", "c"]) == {"shared": ["b"], "only_left": ["a"], "only_right": ["c"]}
+
+
+def test_chains_of_any_depth(spark):
+    from tidemark.operators import graph
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(54)] + [(54, 0)], "parent int, child int")
+    reached = graph.closure(chain, spark.createDataFrame([(0,)], "node int"))
+    assert {r.node: r.depth for r in reached.collect()} == {i: i for i in range(55)}
+    needs = spark.createDataFrame([(i + 1, i) for i in range(54)], "node int, needs int")
+    nodes = spark.createDataFrame([(i,) for i in range(55)], "node int")
+    assert {r.node: r.depth for r in graph.topological_depth(nodes, needs).collect()} == {i: i for i in range(55)}

@@ -1,4 +1,4 @@
-"""Reachability and order in dependency graphs, as recursive SQL."""
+"""Reachability and order in dependency graphs, to the fixpoint; ancestors as recursive SQL."""
 
 from __future__ import annotations
 
@@ -10,13 +10,21 @@ def _named(df: DataFrame, sql: str) -> DataFrame:
     return df.sparkSession.sql(sql, e=df)
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
-    """Everything reachable from `start` (node) over edges (parent, child): node, depth (the least)."""
-    spark = edges.sparkSession
-    found = spark.sql(
-        "WITH RECURSIVE r(node, depth) MAX RECURSION LEVEL 100 AS (SELECT node, 0 FROM {s} UNION ALL SELECT e.child, r.depth + 1 FROM r JOIN {e} e ON e.parent = r.node WHERE r.depth < {d}) SELECT node, min(depth) AS depth FROM r GROUP BY node",
-        s=start, e=edges.distinct(), d=depth,
-    )
+def _kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: in spark.checkpoint.dir, in the executors only where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Everything reachable from `start` (node) over edges (parent, child): node, depth (the least). Nodes once found are not followed again, so cycles end."""
+    edges = _kept(edges.select("parent", "child").distinct())
+    new = found = _kept(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while not new.isEmpty():
+        depth += 1
+        reached = new.join(edges, new.node == edges.parent).select(F.col("child").alias("node")).distinct()
+        new = _kept(reached.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        found = _kept(found.unionByName(new))
     return found
 
 
@@ -35,16 +43,22 @@ def folded(tables: DataFrame, edges: DataFrame) -> DataFrame:
     return tables.join(top.withColumnRenamed("node", "table"), "table", "left").withColumn("top", F.coalesce("top", "table"))
 
 
-def topological_depth(nodes: DataFrame, edges: DataFrame, depth: int = 50) -> DataFrame:
+def topological_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node) with depth: 0 without dependencies, else one more than the deepest of them; order by depth, then node.
 
-    edges: node depends on `needs`. Nodes of a cycle end at the limit of depth."""
-    spark = nodes.sparkSession
-    walked = spark.sql(
-        "WITH RECURSIVE r(node, depth) MAX RECURSION LEVEL 100 AS (SELECT node, 0 FROM {n} UNION ALL SELECT e.node, r.depth + 1 FROM r JOIN {e} e ON e.needs = r.node WHERE r.depth < {d}) SELECT node, max(depth) AS depth FROM r GROUP BY node",
-        n=nodes, e=edges.distinct(), d=depth,
-    )
-    return walked
+    edges: node depends on `needs`; needs that are not among the nodes don't count. Raises ValueError if there is a cycle."""
+    edges = _kept(edges.select("node", "needs").distinct())
+    new = found = _kept(nodes.select("node").distinct().withColumn("depth", F.lit(0)))
+    most, depth = found.count(), 0
+    while not new.isEmpty():
+        # a path of as many edges as there are nodes comes back to one of them
+        if depth >= most:
+            raise ValueError("dependencies have a cycle")
+        depth += 1
+        reached = new.join(edges.select(F.col("node").alias("_node"), "needs"), F.col("node") == F.col("needs")).select(F.col("_node").alias("node")).distinct()
+        new = _kept(reached.withColumn("depth", F.lit(depth)))
+        found = _kept(found.unionByName(new).groupBy("node").agg(F.max("depth").alias("depth")))
+    return found
 
 
 def dependents(*edges: tuple[str, DataFrame]) -> DataFrame:
