@@ -64,6 +64,20 @@ def test_mask_and_split():
         ("DO $$ BEGIN EXECUTE 'drop table t'; END $$", "breaking", "EXECUTE in a DO block"),
         ("DO $$ BEGIN DROP TABLE t; END $$", "breaking", "DROP TABLE"),
         ("ALTER TYPE e ADD VALUE 'x'", "patch", None),
+        ("GRANT SELECT ON t TO app", "patch", None),
+        ("ALTER TABLE t ADD note text", "additive", None),
+        ("ALTER TABLE c NO INHERIT p", "breaking", "NO INHERIT"),
+        ("ALTER TABLE t ADD CONSTRAINT c CHECK (a > 0) NO INHERIT", "breaking", "ADD CONSTRAINT"),
+        ("DROP ROUTINE f", "breaking", "DROP ROUTINE"),
+        ("DROP ROLE r", "breaking", "DROP"),
+        ("SET SCHEMA 'x'", "patch", None),
+        ("ALTER TABLE t SET SCHEMA x", "breaking", "SET SCHEMA"),
+        ("DROP TRIGGER a ON t; CREATE TRIGGER a BEFORE INSERT ON public.t EXECUTE FUNCTION f()", "additive", None),
+        ('DROP TRIGGER "A" ON t; CREATE TRIGGER a BEFORE INSERT ON t EXECUTE FUNCTION f()', "breaking", "DROP TRIGGER"),
+        ("DROP INDEX i; CREATE INDEX i ON t (a)", "additive", None),
+        ("DROP INDEX i, j; CREATE INDEX i ON t (a)", "breaking", "DROP INDEX"),
+        ("ALTER TABLE t ALTER a ADD GENERATED ALWAYS AS IDENTITY", "breaking", "ALTER COLUMN … GENERATED/IDENTITY"),
+        ("DROP INDEX i; DROP TABLE t", "breaking", "DROP TABLE"),
     ],
 )
 def test_grade(sql, level, label):
@@ -71,10 +85,16 @@ def test_grade(sql, level, label):
 
 
 def test_warnings():
-    assert S.destroys("TRUNCATE t; DELETE FROM u WHERE 1=1; DROP VIEW v CASCADE") == ["TRUNCATE", "DELETE", "DROP … CASCADE"]
+    assert S.destroys("TRUNCATE t; DELETE FROM u WHERE 1=1; DROP TYPE v CASCADE; DROP VIEW w CASCADE") == ["TRUNCATE", "DELETE", "DROP … CASCADE"]
+    assert S.destroys("DROP VIEW w CASCADE") == []
     assert S.might_fail("ALTER TABLE t ADD COLUMN a int NOT NULL; ALTER TABLE t ADD COLUMN b int NOT NULL DEFAULT 1") == ["NOT NULL column with no default"]
     assert S.might_fail("ALTER TABLE t ADD COLUMN b int NOT NULL DEFAULT 1") == []
-    assert S.transaction_control("BEGIN; SELECT 1; COMMIT") == ["BEGIN", "COMMIT"]
+    assert S.transaction_control("BEGIN; SELECT 1; COMMIT") == ["COMMIT"]
+    assert S.transaction_control("SAVEPOINT a; SELECT CASE WHEN a THEN 1 END; INSERT INTO t VALUES ('ROLLBACK')") == []
+    assert S.transaction_control("SELECT 1; END AND NO CHAIN; PREPARE TRANSACTION 'x'") == ["END", "PREPARE TRANSACTION"]
+    assert S.transaction_control("SET standard_conforming_strings = off") == ["standard_conforming_strings"]
+    assert S.change_type("-- Change-type: additive\nDROP TABLE t")[:3] == ("additive", "additive", True)
+    assert S.change_type("-- Change-type: additive\nDROP INDEX i") == ("additive", "additive", False, None)
     assert S.enum_additions("ALTER TYPE mood ADD VALUE IF NOT EXISTS 'ok'; SELECT 1")[0][0] == "mood"
 
 

@@ -35,7 +35,7 @@ def test_findings_and_score(spark, flat):
     assert findings.reads_only(flat).first().reads_only
 
 
-@pytest.mark.parametrize("sql,why", [("SELECT 1", None), ("", "empty"), ("SELECT 1; SELECT 2", "several-statements"), ("UPDATE t SET a = 1", "not-a-query"), ("SELECT * FROM t FOR UPDATE", "locks"), ("SELECT pg_sleep(1)", "denied-function"), ("WITH x AS (DELETE FROM t RETURNING *) SELECT * FROM x", "writes"), ("SELECT 'delete from t'", None)])
+@pytest.mark.parametrize("sql,why", [("SELECT 1", None), ("", "empty"), ("SELECT 1; SELECT 2", "several-statements"), ("UPDATE t SET a = 1", "not-a-query"), ("SELECT * FROM t FOR UPDATE", "locks"), ("SELECT pg_sleep(1)", None), ("SELECT pg_try_advisory_lock(1)", "denied-function"), ("SELECT \"dblink_open\" (1)", "denied-function"), ("SELECT dblink_url FROM t", None), ("WITH x AS (DELETE FROM t RETURNING *) SELECT * FROM x", "writes"), ("SELECT 'delete from t'", None)])
 def test_gate(sql, why):
     assert findings.gate(sql) == why
 
