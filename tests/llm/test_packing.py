@@ -69,3 +69,27 @@ def test_copies_do_not_share_a_bin(spark):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_repeated_and_null_ids_fill_bins_of_their_own(spark):
+    """Rows as long as a bin or longer, with one id or none: no bin holds more than its capacity."""
+    rows = [(7, "w " * 100, "s"), (7, "v " * 100, "s"), (None, "x " * 250, "s"), (None, "y " * 250, None)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=100).collect()
+    bins = Counter()
+    for r in out:
+        bins[r.bin] += r.n_words
+    assert max(bins.values()) == 100 and sum(bins.values()) == 700 and len(out) == 8
+
+
+def test_ids_keep_their_value(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b", "s"), (None, "c d e", "s"), (big + 2, "f", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in packing.packed(df).collect()} == {big, big + 2, None}
+    text = df.selectExpr("cast(doc_id as string) as doc_id", "text", "source", "1 as bin", "2 as row", "3 as shard")
+    assert {r.doc_id for r in packing.packed(text).collect()} == {str(big), str(big + 2), None}
+
+
+def test_many_sources_need_few_bits():
+    n = 3000
+    bins, _ = packing.pack([1] * n, [f"s{i % 1500}" for i in range(n)], list(range(n)), 64, 8)
+    assert max(Counter(bins).values()) == 64

@@ -2,7 +2,7 @@
 
 A document longer than a bin is cut into pieces (whole texts are kept). Pieces go into bins in falling
 order of length; each bin carries its residual and two bitmaps: sources (a source has as many bits as a
-bin may hold pieces of it) and duplicate clusters. A piece may join a bin if its cluster is not there yet
+bin may hold pieces of it) and duplicate clusters; what is too rare in the shard to conflict needs no bits. A piece may join a bin if its cluster is not there yet
 and a bit of its source is free. Bins hang in a tree over residuals, whose nodes hold the AND of the
 bitmaps below them: the successor search starts at the smallest residual that fits and goes on, skipping
 what is blocked as a whole, until it reaches the tightest compatible bin.
@@ -12,8 +12,9 @@ task, so bins fill in parallel and a source or cluster that holds a third of all
 shards. Only narrow rows are shuffled; texts stay where they are.
 
 Length: words between white space. Texts that are null or without words have no pieces and get no bin
-(one row with bin null). Null sources count as one source. Ties go by doc_id, then piece. Repeated rows are
-packed each by itself and count as duplicates of each other. Extra columns are ignored.
+(one row with bin null). Null sources count as one source. Ties go by doc_id (nulls last), then piece. Repeated
+rows and rows with null ids are packed each by itself, also those that fill bins of their own; equal texts count
+as duplicates of each other. Ids keep their type and value. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from __future__ import annotations
 from bisect import insort
 from collections import Counter, defaultdict
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +66,11 @@ class Bins:
         found = self._successor(2 * node, low, middle, least, full, cluster)
         return found if found is not None else self._successor(2 * node + 1, middle + 1, high, least, full, cluster)
 
-    def place(self, size: int, source: int, cluster: int | None) -> tuple[int, int]:
-        """Bin and offset of the piece. A source's highest bit says that it is full in the bin."""
-        ladder = [1 << (source * self.per_source + k) for k in range(self.per_source)]
+    def place(self, size: int, source: int | None, cluster: int | None) -> tuple[int, int]:
+        """Bin and offset of the piece. A source's highest bit says that it is full in the bin. None: can't conflict."""
+        ladder = [] if source is None else [1 << (source * self.per_source + k) for k in range(self.per_source)]
         bit = 0 if cluster is None else 1 << cluster
-        b = self._successor(1, 0, self.half - 1, size, ladder[-1], bit)
+        b = self._successor(1, 0, self.half - 1, size, ladder[-1] if ladder else 0, bit)
         if b is None:
             b = len(self.blocked)
             self.blocked.append(0)
@@ -77,7 +79,7 @@ class Bins:
             self.at[self.residual[b]].remove(b)
             self._update(self.residual[b])
         offset = self.capacity - self.residual[b]
-        self.blocked[b] |= next(x for x in ladder if not self.blocked[b] & x) | bit
+        self.blocked[b] |= next((x for x in ladder if not self.blocked[b] & x), 0) | bit
         self.residual[b] -= size
         insort(self.at[self.residual[b]], b)
         self._update(self.residual[b])
@@ -86,41 +88,46 @@ class Bins:
 
 def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> tuple[list[int], list[int]]:
     """Bins and offsets of the pieces, in the order given (longest first for best-fit decreasing)."""
-    bins, often = Bins(capacity, per_source), Counter(clusters)
-    source_at = {s: i for i, s in enumerate(dict.fromkeys(sources))}
+    bins, often, pieces_of = Bins(capacity, per_source), Counter(clusters), Counter(sources)
+    # only what occurs often enough to conflict gets bits, so masks stay short however many sources there are
+    source_at = {s: i for i, s in enumerate(s for s, n in pieces_of.items() if n > per_source)}
     shift = len(source_at) * per_source
-    cluster_at = {c: shift + i for i, c in enumerate(c for c, n in often.items() if n > 1)}  # others can't conflict
-    placed = [bins.place(n, source_at[s], cluster_at.get(c)) for n, s, c in zip(sizes, sources, clusters, strict=True)]
+    cluster_at = {c: shift + i for i, c in enumerate(c for c, n in often.items() if n > 1)}
+    placed = [bins.place(n, source_at.get(s), cluster_at.get(c)) for n, s, c in zip(sizes, sources, clusters, strict=True)]
     return [b for b, _ in placed], [o for _, o in placed]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, cluster (hash of the words in lower case), piece, n_words; documents without words: piece null."""
+    """doc_id, source, cluster (hash of the words in lower case), row (a number of its own for each row of docs), piece, n_words; documents without words: piece null."""
     # splitting at single white-space characters and counting what is not empty keeps texts whole in the JVM
     words = F.expr(rf"size(filter(split(coalesce(`{text}`, ''), '[ \\t-\\r]+'), w -> w != ''))")
     cluster = F.xxhash64(F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t-\r]+", " "))))
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), cluster.alias("cluster"), words.alias("n"))
-    cut = F.expr(f"if(n = 0, cast(array() as array<struct<piece:int,n_words:int>>), transform(sequence(0, (n - 1) div {capacity}), i -> named_struct('piece', i, 'n_words', least({capacity}, n - i * {capacity}))))")
-    return counted.select("doc_id", "source", "cluster", F.explode_outer(cut).alias("c")).select("doc_id", "source", "cluster", F.col("c.piece").alias("piece"), F.col("c.n_words").alias("n_words"))
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), cluster.alias("cluster"), words.alias("n"), F.monotonically_increasing_id().alias("row"))
+    none, some = "cast(array() as array<struct<piece:int,n_words:int>>)", f"sequence(0, (n - 1) div {capacity})"
+    cut = F.expr(f"if(n = 0, {none}, transform({some}, i -> named_struct('piece', i, 'n_words', least({capacity}, n - i * {capacity}))))")
+    return counted.select("doc_id", "source", "cluster", "row", F.explode_outer(cut).alias("c")).select("doc_id", "source", "cluster", "row", F.col("c.piece").cast("int").alias("piece"), F.col("c.n_words").cast("int").alias("n_words"))
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a piece: doc_id, piece, n_words, bin (shard and number, as text), start (offset in the bin)."""
     from . import common
 
-    cut = common.materialize(pieces(docs, capacity, doc_id, text, source), "packing-pieces")
+    cut = common.materialize(pieces(docs, capacity, doc_id, text, source), "packing-pieces")  # written once, so row numbers stay as they are
     full, part = cut.filter(f"n_words = {capacity}"), cut.filter(f"n_words < {capacity}")
     shards = max(1, -(-part.count() // shard))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
-        bins, starts = pack(pdf.n_words.tolist(), [s if isinstance(s, str) else None for s in pdf.source], pdf.cluster.tolist(), capacity, per_source)
-        return pd.DataFrame({"doc_id": pdf.doc_id, "piece": pdf.piece, "n_words": pdf.n_words, "bin": [f"{k}-{b}" for k, b in zip(pdf.shard, bins, strict=True)], "start": starts})
+    def one(table: pa.Table) -> pa.Table:
+        # ids pass as Arrow columns: no float ever stands in for them
+        table = table.take(pc.sort_indices(table, [("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")]))
+        bins, starts = pack(*(table.column(c).to_pylist() for c in ("n_words", "source", "cluster")), capacity, per_source)
+        shard_of = table.column("shard")[0].as_py() if len(table) else 0
+        made = {"bin": pa.array([f"{shard_of}-{b}" for b in bins], pa.string()), "start": pa.array(starts, pa.int32())}
+        return pa.table({c: table.column(c) for c in ("doc_id", "piece", "n_words")} | made)
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    dealt = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int"))
-    filled = dealt.groupBy("shard").applyInPandas(one, f"doc_id {kind}, piece int, n_words int, bin string, start int")
+    dealt = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)).cast("int"))
+    filled = dealt.groupBy("shard").applyInArrow(one, f"doc_id {kind}, piece int, n_words int, bin string, start int")
     # a piece as long as a bin has one to itself: nothing to search
-    alone = full.select("doc_id", "piece", "n_words", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece").alias("bin"), F.lit(0).alias("start"))
+    alone = full.select("doc_id", "piece", "n_words", F.concat_ws("-", F.lit("full"), "row", "piece").alias("bin"), F.lit(0).alias("start"))
     rest = cut.filter("piece is null").select("doc_id", "piece", "n_words", F.lit(None).cast("string").alias("bin"), F.lit(None).cast("int").alias("start"))
     return filled.unionByName(alone).unionByName(rest)
