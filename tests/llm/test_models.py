@@ -42,10 +42,74 @@ def test_toxicity_on_held_out_rows(spark, toxic_rows):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
 
 
-def test_toxicity_shares_grams_with_misspellings(toxic_rows):
-    model = toxicity.fitted([t for _, t, _ in toxic_rows], [y for *_, y in toxic_rows])
-    s = toxicity.scores(["kalo mi idiotics", "kalo mi stupiddest ru", "kalo mi ten", "", None, "mi " * 50_000 + "idiotic"], model)
-    assert min(s[0], s[1]) > 2 * s[2] and s[2] < 0.5 and s[3] == s[4] < 0.5 and s[5] > 0.5
+@pytest.fixture(scope="module")
+def toxic_model(toxic_rows):
+    return toxicity.fitted([t for _, t, _ in toxic_rows], [y for *_, y in toxic_rows])
+
+
+def test_toxicity_of_misspellings_that_no_text_holds(toxic_model):
+    rng = np.random.default_rng(7)
+    clean = [sentence(rng, "aa", 40) for _ in range(60)]
+    wrong = ["idiotics", "idi0tic", "stupiddest", "stupidst", "idiottic", "stup1dest"]
+    mixed = [" ".join([*t.split()[:20], wrong[i % 6], *t.split()[20:], wrong[(i + 1) % 6]]) for i, t in enumerate(clean)]
+    assert np.mean(toxicity.scores(mixed, toxic_model) >= 0.5) > 0.85 and np.mean(toxicity.scores(clean, toxic_model) >= 0.5) < 0.05
+    assert (toxicity.scores(wrong, toxic_model) >= 0.5).all()
+
+
+def test_toxicity_of_empty_and_very_long_texts(toxic_model):
+    some = ("kalo mi ten ru " * 5 + "idiotic ") * 12_000
+    s = toxicity.scores(["", None, " .,", some, "kalo mi ten ru " * 60_000, "k" * 450_000], toxic_model)
+    assert s[0] == s[1] == s[2] < 0.5 < s[3] and s[4] < 0.5 and 0 <= s[5] <= 1
+
+
+def plain_logit(text, model):
+    """The forward pass word by word and n-gram by n-gram."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    means = []
+    for word in words:
+        marked = "<" + "".join("0" if "0" <= c <= "9" else c for c in word) + ">"
+        rows = []
+        for n in toxicity.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                h = ord(marked[i])
+                for c in marked[i + 1 : i + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                rows.append(((h ^ n) * 0x9E3779B1) % 2**32 >> (32 - 18))
+        means.append(np.mean([float(model.gram[r]) for r in rows]) if rows else 0.0)
+    return model.bias + (np.mean(means) if means else 0.0)
+
+
+def test_toxicity_forward_pass_against_plain_loops():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 5, toxicity.BUCKETS).astype(np.float32), -0.7)
+    texts = ["Kalo, mi-ten 12a9 Ärger", "", "a", "x\ny\tz" * 40, "ЖЁ \U00010400\U00010401 ok", "  ", "idiotic " * 3 + "id1ot"]
+    assert np.allclose(toxicity.logits(texts, model), [plain_logit(t, model) for t in texts], atol=1e-5)
+
+
+def test_toxicity_gradients_against_differences(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts, y = ["kalo mi idiot", "mi mi ten", "ten idiot ru kalo", ""], np.array([1, 0, 1, 0])
+    bags = toxicity.bags_of(texts)
+    rows = np.unique(bags.gram)
+    bags.gram = np.searchsorted(rows, bags.gram)  # a small table
+    e, w, b = rng.normal(0, 1, (rows.size, 3)), rng.normal(0, 1, (3, 2)), rng.normal(0, 1, 2)
+    kept, weight = rng.random(bags.gram.size) < 0.7, np.array([0.1, 0.4, 0.3, 0.2])
+    _, *grads = toxicity.loss_and_gradients(bags, kept, e, w, b, y, weight)
+    for parameter, grad in zip((e, w, b), grads, strict=True):
+        for at in np.ndindex(parameter.shape):
+            old, step = parameter[at], 1e-6
+            parameter[at] = old + step
+            up = toxicity.loss_and_gradients(bags, kept, e, w, b, y, weight)[0]
+            parameter[at] = old - step
+            down = toxicity.loss_and_gradients(bags, kept, e, w, b, y, weight)[0]
+            parameter[at] = old
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-6
+
+
+def test_toxicity_of_repeated_rows_and_clashing_names(spark, toxic_model):
+    df = spark.createDataFrame([(1, "kalo idiotic", "a", 9), (1, "kalo idiotic", "a", 9), (None, None, None, None)], "doc_id long, text string, predicted string, n int")
+    rows = toxicity.scored(df, toxic_model).collect()
+    assert [r.predicted for r in rows] == [1, 1, 0] and rows[0].score == rows[1].score and rows[0].n == 9
 
 
 def test_toxicity_without_labels(spark):
@@ -73,17 +137,60 @@ def test_languages(spark):
     assert out[9003].lang_pred == "cc" and 0 <= out[9003].score <= 1 and out[9004].lang_pred != "und"
 
 
+def plain_language(text, model):
+    """The kernel n-gram by n-gram, one landmark at a time."""
+    text, total, letters = text.lower(), np.zeros(len(model.languages)), 0
+    for at in range(0, len(text), langid.PIECE):
+        piece = "".join(c if c.isalpha() else " " for c in text[at : at + langid.PIECE])
+        columns = set()
+        for n in langid.NGRAMS:
+            for i in range(len(piece) - n + 1):
+                h = 0
+                for c in piece[i : i + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                columns.add(((h ^ n) * 0x9E3779B1) % 2**32 >> (32 - 13))
+        kernel = np.array([sum(model.landmarks[c, k] for c in columns) / (np.sqrt(len(columns)) * model.norms[k]) for k in range(model.landmarks.shape[1])])
+        mine = sum(c.isalpha() for c in text[at : at + langid.PIECE])
+        total, letters = total + mine * (kernel @ model.weights), letters + mine
+    if not letters:
+        return langid.UNKNOWN, 0.0
+    z = np.exp(model.sharp * (total - total.max()) / letters)
+    return model.languages[int(total.argmax())], float(z.max() / z.sum())
+
+
+def test_languages_against_plain_loops():
+    rng = np.random.default_rng(6)
+    texts = [sentence(rng, lang) for lang in SYLLABLES for _ in range(20)]
+    model = langid.train(texts, [lang for lang in SYLLABLES for _ in range(20)], landmarks=9)
+    some = [texts[0], texts[25] + texts[50], "", "12", sentence(rng, "bb", 700), "Ä b"]
+    names, scores = langid.identify(some, model)
+    want = [plain_language(t, model) for t in some]
+    assert names == [w for w, _ in want] and np.allclose(scores, [s for _, s in want], atol=1e-4)
+
+
+def test_languages_of_repeated_rows_and_clashing_names(spark):
+    rng = np.random.default_rng(8)
+    text = sentence(rng, "cc")
+    rows = [(1, text, "cc", "x", 1)] * 60 + [(i, sentence(rng, "aa"), "aa", "y", 2) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, n int")
+    out = langid.identified(docs, langid.fit(docs)).collect()
+    assert len(out) == len(rows) and {(r.lang_pred, r.n) for r in out} == {("cc", 1), ("aa", 2)}
+
+
 def test_languages_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.identified(docs, langid.fit(docs)).first().lang_pred == "und"
     assert langid.identified(docs.limit(0), langid.fit(docs)).count() == 0
 
 
-def test_bounded_sample(spark):
+def test_stratified_sample(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(300)], "doc_id long, s string")
-    picked = common.bounded_sample(df, "s", "doc_id", 10)
-    assert {r["s"]: r["count"] for r in picked.groupBy("s").count().collect()} == {"hot": 10, "cold": 10}
-    assert picked.exceptAll(common.bounded_sample(df.repartition(7), "s", "doc_id", 10)).count() == 0
+    picked = common.stratified_sample(df, "s", "doc_id", 10)
+    counts = {r["s"]: r["count"] for r in picked.groupBy("s").count().collect()}
+    assert 25 < counts["hot"] < 85 and 25 < counts["cold"] < 85 and picked.columns == df.columns
+    assert picked.exceptAll(common.stratified_sample(df.repartition(7), "s", "doc_id", 10)).count() == 0
+    few = df.filter("doc_id < 30")
+    assert common.stratified_sample(few, "s", "doc_id", 10).count() == 30
 
 
 @pytest.fixture(scope="module")

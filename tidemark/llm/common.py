@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,22 +28,38 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; a new local one only where that is unset (tests, local mode)."""
+    """The shared folder of the cluster, from spark.checkpoint.dir. Only in local mode, where driver and executor are one process, a temporary folder may stand in for it; it is removed at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="tidemark-")
-        _own[app] = root
-    return root.rstrip("/")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        root = _own[app]
+    return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-_own: dict[str, str | None] = {}  # by application, where the setting is missing
+_own: dict[str, str] = {}  # by application, in local mode without the setting
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application: to be called once its results are written."""
+    remove(spark, scratch_root(spark))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor doesn't take it along."""
     path = scratch_path(df.sparkSession, label)
@@ -57,16 +78,16 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) == 0, F.lit(False))
 
 
-def bounded_sample(keys: DataFrame, stratum: str, by: str, n: int) -> DataFrame:
-    """At most n rows of each stratum, those with the smallest hash of `by`.
+def stratified_sample(rows: DataFrame, stratum: str, by: str, n: int, counts: DataFrame | None = None) -> DataFrame:
+    """About n rows of each stratum (all of those that have fewer), by a hash of `by`.
 
-    row_number() <= n lets Spark keep n rows a stratum in each task before the shuffle, so one stratum that
-    holds most rows costs no more than the others. Spark does so only up to a limit of 1000 rows; a larger
-    n is dealt over salts, each with its share."""
-    salts = -(-n // 800)
-    order = Window.partitionBy(stratum, "_salt").orderBy(F.xxhash64(F.col(by), F.lit("sample")), F.col(by))
-    salted = keys.withColumn("_salt", F.pmod(F.xxhash64(F.col(by), F.lit("salt")), F.lit(salts)))
-    return salted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= -(-n // salts)).drop("_rank", "_salt")
+    Strata are counted first (counts: columns stratum, n), then a threshold for each makes the draw a filter: what is
+    sent on has about n rows a stratum, however many tasks there are, and no row moves before it is drawn. Callers
+    that need n at most cut what they get. A null stratum is left out."""
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("n")) if counts is None else counts
+    share = F.least(F.lit(1.0), F.lit(1.2 * n + 40) / F.col("n")) * F.lit(float(1 << 30))
+    drawn = F.pmod(F.xxhash64(F.col(by), F.lit("sample")), F.lit(1 << 30)) < share
+    return rows.join(counts.select(F.col(stratum).alias("_stratum"), "n"), F.col(stratum) == F.col("_stratum")).filter(drawn).drop("_stratum", "n")
 
 
 def hash_sample(df: DataFrame, by: str, n: int, total: int, salt: str) -> DataFrame:
@@ -75,6 +96,18 @@ def hash_sample(df: DataFrame, by: str, n: int, total: int, salt: str) -> DataFr
     return df.filter(F.pmod(F.xxhash64(F.col(by), F.lit(salt)), F.lit(1 << 30)) < share)
 
 
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about `most` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows or not batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+        if not batch.num_rows:
+            return
+
+
 def with_columns_of_text(
     df: DataFrame, text: str, added: list[tuple[str, T.DataType, pa.DataType]], work: Callable[[list], list], keep_text: bool = True
 ) -> DataFrame:
@@ -88,7 +121,7 @@ def with_columns_of_text(
     kept_names, arrow = [f.name for f in kept], [t for _, _, t in added]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             made = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(n)) for n in kept_names]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(m, type=t) for m, t in zip(made, arrow, strict=True)]], names=[*kept_names, *names])

@@ -13,6 +13,7 @@ get `und`. Columns named like the added ones are replaced; all others pass throu
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ COLUMNS = 1 << 13
 PIECE = 2048
 UNKNOWN = "und"
 #: Bounds: documents learnt from for each language, of all languages together and at least for each; landmarks, of which each language has one at least.
-TRAIN_DOCS, TRAIN_TOTAL, TRAIN_LEAST, LANDMARKS = 400, 80_000, 40, 192
+TRAIN_DOCS, TRAIN_TOTAL, TRAIN_LEAST, LANDMARKS = 400, 16_000, 8, 192
 
 
 @dataclass
@@ -116,7 +117,9 @@ def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not model.languages:
         return names, best
-    for at, part in textvec.chunks([(t or "").lower() for t in texts]):
+    parts, owner_of = textvec.cut_long([(t or "").lower() for t in texts], textvec.CHUNK // PIECE * PIECE)
+    total, weight = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    for at, part in textvec.chunks(parts):
         codes, starts = textvec.codes_of(part)
         first, owner = pieces_of(codes, starts)
         if not first.size:
@@ -127,30 +130,35 @@ def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
         for i in range(0, first.size, 128):
             some = slice(edge[i], edge[min(i + 128, first.size)])
             margin[i : i + 128] = _features(presence(codes[some], first[i : i + 128] - edge[i]), model.landmarks, model.norms) @ model.weights
-        total = np.stack([np.bincount(owner, margin[:, k] * letters, len(part)) for k in range(margin.shape[1])], axis=1)
-        weight = np.bincount(owner, letters, len(part))
-        z = model.sharp * total / np.maximum(weight, 1)[:, None]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        for i in np.flatnonzero(weight > 0):
-            k = int(p[i].argmax())
-            names[at + i], best[at + i] = model.languages[k], p[i, k]
+        doc = owner_of[at + owner]
+        total += np.stack([np.bincount(doc, margin[:, k] * letters, len(texts)) for k in range(margin.shape[1])], axis=1)
+        weight += np.bincount(doc, letters, len(texts))
+    z = model.sharp * total / np.maximum(weight, 1)[:, None]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    for i in np.flatnonzero(weight > 0):
+        k = int(p[i].argmax())
+        names[i], best[i] = model.languages[k], p[i, k]
     return names, best
 
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Learn every language from pieces of at most `most` documents that are not held out and not empty, fewer of each where there are very many languages.
 
-    Of a document, however long, its first piece and the middle one are fetched. What is broadcast has one row a language."""
+    Of a document, however long, its first piece and the middle one are fetched: at most 8 kB for TRAIN_TOTAL documents, or for
+    TRAIN_LEAST of each of more than TRAIN_TOTAL / TRAIN_LEAST languages."""
     usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (common.remainder() != 0) & (F.col("text") != ""))
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    drawn = common.bounded_sample(usable.select("doc_id", "lang"), "lang", "doc_id", most)
-    edges = common.materialize(drawn.groupBy(F.col("lang").alias("_lang")).agg(F.max(order).alias("_edge")), "language-edges")
-    most = min(most, max(TRAIN_LEAST, TRAIN_TOTAL // max(1, edges.count())))
+    counts = common.materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    languages = counts.count()
+    most = min(most, max(TRAIN_LEAST, TRAIN_TOTAL // max(1, languages)))
     middle = F.expr(f"if(length(text) > {PIECE}, substring(text, {PIECE} * (ceil(length(text) / {PIECE}D) div 2) + 1, {PIECE}), null)")
-    chosen = usable.join(F.broadcast(edges), (F.col("lang") == F.col("_lang")) & (order <= F.col("_edge")))
-    pieces = chosen.select("doc_id", "lang", F.substring("text", 1, PIECE).alias("first"), middle.alias("middle"))
-    rows = common.bounded_sample(pieces, "lang", "doc_id", most).orderBy(order, "doc_id", "lang", "first", "middle").collect()
+    pieces = common.stratified_sample(usable, "lang", "doc_id", most, counts).select("doc_id", "lang", F.substring("text", 1, PIECE).alias("first"), middle.alias("middle"))
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    rows, taken = [], Counter()
+    for r in pieces.orderBy(order, "doc_id", "lang", "first", "middle").limit(2 * (most + 50) * max(1, languages)).collect():
+        taken[r.lang] += 1
+        if taken[r.lang] <= most:
+            rows.append(r)
     learnt = [(t, r.lang) for r in rows for t in (r["first"], r["middle"]) if t]
     return train([t for t, _ in learnt], [lang for _, lang in learnt])
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-CHUNK = 400_000  # code points worked on at once; one longer text makes a longer chunk
+CHUNK = 200_000  # code points worked on at once
 
 _flags: dict[str, np.ndarray] = {}
 
@@ -37,6 +37,32 @@ def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, list[str
         yield at, texts[at:]
 
 
+def cut_long(texts: list[str], limit: int = CHUNK, at: Callable[[str, int, int], int] | None = None) -> tuple[list[str], np.ndarray]:
+    """The texts with long ones in parts of at most `limit` code points, and the text that each part is of, so that no array grows with one text.
+
+    at(text, low, high) says where to cut between low and high; without it the cut is at high."""
+    parts: list[str] = []
+    owner: list[int] = []
+    for i, t in enumerate(texts):
+        start = 0
+        while len(t) - start > limit:
+            end = at(t, start + limit // 2, start + limit) if at else start + limit
+            parts.append(t[start:end])
+            owner.append(i)
+            start = end
+        parts.append(t[start:])
+        owner.append(i)
+    return parts, np.array(owner, np.int64)
+
+
+def between_words(text: str, low: int, high: int) -> int:
+    """The last place between low and high where a word (letters and digits) ends; high inside a longer one."""
+    for i in range(high - 1, low - 1, -1):
+        if not text[i].isalnum():
+            return i + 1
+    return high
+
+
 def flags_of(codes: np.ndarray, kind: str) -> np.ndarray:
     flags = char_table(kind)[np.minimum(codes, 0x10000)]
     if (high := np.flatnonzero(codes >= 0x10000)).size:

@@ -1,16 +1,17 @@
 """Toxicity: subword-bag embeddings, averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (3 to 6, with < and > at its ends), hashed into a table of
-embedding rows, so that a misspelling shares most rows with the word it came from. The average over a
-window of words (a short window is filled up with zeros) goes through a linear softmax of two classes; a document scores as its highest window, in
-training (one window of each document carries the loss) as in scoring, so that a few words in a long text
-are not averaged away. Embeddings and softmax are trained together by Adam; a quarter of the sample is kept
-back to calibrate the logit.
+embedding rows, so that a misspelling shares most rows with the word it came from. A word's vector is the
+mean of its rows, a document's vector the mean of its words' vectors, and that goes through a linear softmax
+of two classes. Embeddings and softmax are trained together by Adam; each row's embedding is scaled by how
+surely its n-grams tell the classes apart (a lower bound of their log odds), so that the few telling n-grams
+of a long text aren't drowned by the many others. A quarter of the sample is kept back to set the bias.
 
 Once trained, the score is linear in the embeddings: each table row folds into one number, and whole
-batches of texts are scored as arrays of code points.
+batches of texts are scored as arrays of code points. A long text is worked on in parts, cut between words
+(inside words of over 100,000 code points), and its words are averaged over all parts.
 
-Null and empty texts get the score of an empty window (the softmax's bias). Labels: of rows that repeat a
+Null and empty texts, and those without a word, get the score of an empty bag (the softmax's bias). Labels: of rows that repeat a
 doc_id, the largest toxic counts; null labels and ids are skipped. Without labels of both classes every
 score is the share of class 1 (0 if there are none). Extra columns pass through; columns named like the
 added ones are replaced.
@@ -29,18 +30,19 @@ from pyspark.sql import types as T
 from . import common, textvec
 
 NGRAMS = (3, 4, 5, 6)
-WINDOW = 3  # words
 BUCKETS = 1 << 18
-LEAST = 8  # words of training texts in which an n-gram must stand to be learnt
 DIM = 8
-KEPT = 0.5  # share of a word's n-grams that an epoch trains on
+KEPT = 0.5  # share of the n-grams that an epoch trains on
+EPOCHS, RATE, DECAY = 100, 0.1, 0.02
+GAP = 0.25  # where the cut lies in the gap between clean and toxic texts: nearer to the clean ones, for misspellings carry only part of a word's weight
+SURE, CAUTION = 2.0, 8  # standard errors; how much more a clean text weighs than a toxic one when the bias is set
 #: Bounds of the training sample: documents of each class, and code points of one of them.
 TRAIN_DOCS, TRAIN_CHARS = 1200, 12_000
 
 
 @dataclass
 class Model:
-    """gram: what each table row adds to the logit of class 1, float32; bias: the logit of an empty window."""
+    """gram: what each table row adds to the logit of class 1, float32; bias: the logit of an empty bag."""
 
     gram: np.ndarray
     bias: float
@@ -79,147 +81,176 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return codes, lows, highs, np.searchsorted(starts, lows, "right") - 1
 
 
-def _windows(doc: np.ndarray) -> np.ndarray:
-    """The first word of each window: a new one at each document and after WINDOW words."""
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if doc.size else np.zeros(0, np.int64)
-    rank = np.arange(doc.size) - np.repeat(first, np.diff(np.append(first, doc.size)))
-    return np.flatnonzero(rank % WINDOW == 0)
+def _word_scores(codes: np.ndarray, lows: np.ndarray, highs: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """For each word the mean of gram over its n-grams."""
+    marked, starts = _marked(codes, lows, highs)
+    total = np.zeros(marked.size, np.float32)
+    for _, rows, inside, _ in _grams(marked, starts):
+        total[: rows.size] += np.where(inside, gram[rows], np.float32(0))
+    length = np.diff(starts)
+    count = sum(np.maximum(length - n + 1, 0) for n in NGRAMS)
+    return np.add.reduceat(total, starts[:-1], dtype=np.float64) / np.maximum(count, 1)
+
+
+def logits(texts: list[str | None], model: Model) -> np.ndarray:
+    """The logit of class 1 for each text: the mean of its words' scores, and the bias."""
+    parts, owner = textvec.cut_long([t or "" for t in texts], at=textvec.between_words)
+    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    for at, some in textvec.chunks(parts):
+        codes, lows, highs, part = _words(some)
+        if lows.size:
+            doc = owner[at + part]
+            total += np.bincount(doc, _word_scores(codes, lows, highs, model.gram), len(texts))
+            count += np.bincount(doc, minlength=len(texts))
+    return model.bias + total / np.maximum(count, 1)
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
     """The probability of class 1 for each text, over all of it."""
-    logits = np.full(len(texts), model.bias)
-    for at, part in textvec.chunks([t or "" for t in texts]):
-        codes, lows, highs, doc = _words(part)
-        if not lows.size:
-            continue
-        marked, starts = _marked(codes, lows, highs)
-        total = np.zeros(marked.size, np.float32)
-        for _, rows, inside, _ in _grams(marked, starts):
-            total[: rows.size] += np.where(inside, model.gram[rows], np.float32(0))
-        length = np.diff(starts)
-        count = sum(np.maximum(length - n + 1, 0) for n in NGRAMS)
-        word = np.add.reduceat(total, starts[:-1], dtype=np.float64) / np.maximum(count, 1)
-        window = _windows(doc)
-        mean = np.add.reduceat(word, window) / WINDOW
-        owner = doc[window]
-        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        logits[at + owner[first]] = np.maximum.reduceat(mean, first) + model.bias
-    return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(logits(texts, model), -500, 500)))
 
 
 def calibrated(model: Model, texts: list[str], labels: list[int]) -> Model:
-    """Slope and shift of the logit that suit texts the model hasn't seen (both classes weigh the same), folded into it."""
-    y = np.array(labels, float)
+    """The same model with the bias that separates texts it hasn't seen best, where a clean one weighs CAUTION times a toxic one."""
+    y = np.array(labels, int)
     if not 0 < y.sum() < y.size:
         return model
-    p = np.clip(scores(texts, model), 1e-9, 1 - 1e-9)
-    z, weight = np.log(p / (1 - p)), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / y.size
-    slope, shift = 1.0, 0.0
-    for _ in range(3000):
-        g = (1 / (1 + np.exp(-(slope * z + shift))) - y) * weight
-        slope -= 0.2 * (float(g @ z) + 0.01 * (slope - 1))
-        shift -= 0.2 * (float(g.sum()) + 0.001 * shift)
-        slope = min(max(slope, 0.3), 4.0)
-    return Model((model.gram * slope).astype(np.float32), model.bias * slope + shift)
+    z = logits(texts, model)
+    order = np.argsort(z, kind="stable")
+    y, z = y[order], z[order]
+    # with the cut before entry i: clean ones below and toxic ones above it are right
+    right = CAUTION * np.concatenate(([0], np.cumsum(y == 0))) / (y == 0).sum() + (y.sum() - np.concatenate(([0], np.cumsum(y)))) / y.sum()
+    best = np.flatnonzero(right == right.max())
+    edge = np.concatenate(([z[0] - 1], z[:-1] + (z[1:] - z[:-1]) * GAP, [z[-1] + 1]))
+    return Model(model.gram, model.bias - float(edge[best[best.size // 2]]))
 
 
 def fitted(texts: list[str], labels: list[int]) -> Model:
-    """Train on three of four texts and calibrate on the rest; on all for both if a class has fewer than 400."""
+    """Train on three of four texts and calibrate on the rest; on all for both if a class has fewer than 100."""
     count = sum(labels)
-    if min(count, len(labels) - count) < 400:
-        return calibrated(train(texts, labels), texts, labels)
+    if min(count, len(labels) - count) < 100:
+        return train(texts, labels)
     rest = [i % 4 != 3 for i in range(len(texts))]
     pick = lambda x, want: [v for v, r in zip(x, rest, strict=True) if r == want]
     return calibrated(train(pick(texts, True), pick(labels, True)), pick(texts, False), pick(labels, False))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 50, warm: int = 10, rate: float = 0.05, decay: float = 0.2, seed: int = 1) -> Model:
-    """Fit on whole texts, full batches; `warm` epochs on all windows with their document's label, then on the highest of each."""
-    y = np.array(labels, np.int64)
-    share = float(y.mean()) if y.size else 0.0
-    if share in (0.0, 1.0):
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    # unique words, by hash: what a word's n-grams are doesn't depend on where it stands
-    ids, docs, bags, seen = [], [], [], []
-    for at, part in textvec.chunks(list(texts)):
-        codes, lows, highs, doc = _words(part)
+@dataclass
+class Bags:
+    """Training texts as bags: `gram[i]` is an n-gram of unique word `of_word[i]`; word `word[j]` makes up `weight[j]` of text `doc[j]`."""
+
+    gram: np.ndarray
+    of_word: np.ndarray
+    word: np.ndarray
+    doc: np.ndarray
+    weight: np.ndarray
+    words: int
+    docs: int
+
+
+def bags_of(texts: list[str]) -> Bags:
+    """Each unique word is cut into n-grams once, wherever it stands."""
+    keys, docs, fresh = [], [], []
+    parts, owner = textvec.cut_long(list(texts), at=textvec.between_words)
+    for at, some in textvec.chunks(parts):
+        codes, lows, highs, part = _words(some)
         if lows.size:
             key = textvec.SpanHash(codes)(lows, highs)
-            fresh, first = np.unique(key, return_index=True)
-            seen.append(fresh)
-            ids.append(key)
-            docs.append(doc + at)
-            bags.append((codes, lows[first], highs[first]))
-    vocabulary = np.unique(np.concatenate(seen))
-    token = np.searchsorted(vocabulary, np.concatenate(ids))
-    owner = np.concatenate(docs)
-    word_parts, row_parts, done = [], [], np.zeros(vocabulary.size, bool)
-    for fresh, (codes, lows, highs) in zip(seen, bags, strict=True):
-        at = np.searchsorted(vocabulary, fresh)
+            unique, first = np.unique(key, return_index=True)
+            keys.append(key)
+            docs.append(owner[at + part])
+            fresh.append((unique, codes, lows[first], highs[first]))
+    if not keys:
+        none = np.zeros(0, np.int64)
+        return Bags(none, none, none, none, np.zeros(0), 0, len(texts))
+    vocabulary = np.unique(np.concatenate([u for u, _, _, _ in fresh]))
+    grams, of_word, done = [], [], np.zeros(vocabulary.size, bool)
+    for unique, codes, lows, highs in fresh:
+        at = np.searchsorted(vocabulary, unique)
         new = np.flatnonzero(~done[at])
         done[at[new]] = True
         marked, starts = _marked(codes, lows[new], highs[new])
         for _, rows, inside, word in _grams(marked, starts):
-            row_parts.append(rows[inside].astype(np.int32))
-            word_parts.append(at[new][word[: rows.size][inside]].astype(np.int32))
-    gram, of_word = np.concatenate(row_parts), np.concatenate(word_parts)
-    del row_parts, word_parts, bags
-    # rows of n-grams that few training texts have stay zero: they could only be learnt by heart
-    used = np.unique(token.astype(np.int64) * y.size + owner) // y.size
-    texts_with = np.bincount(gram, np.bincount(used, minlength=vocabulary.size)[of_word], BUCKETS)
-    live = texts_with >= LEAST
-    kept = live[gram]
-    gram, of_word = gram[kept], of_word[kept]
-    del kept, used
-    start = _windows(owner)
-    in_window = np.repeat(np.arange(start.size), np.diff(np.append(start, owner.size)))
-    doc = owner[start]
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    of_first = doc[first]
-    run = np.repeat(np.arange(first.size), np.diff(np.append(first, doc.size)))
-    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+            grams.append(rows[inside].astype(np.int32))
+            of_word.append(at[new][word[: rows.size][inside]].astype(np.int32))
+    token, doc = np.searchsorted(vocabulary, np.concatenate(keys)), np.concatenate(docs)
+    pair, times = np.unique(token * len(texts) + doc, return_counts=True)
+    doc = pair % len(texts)
+    weight = times / np.bincount(doc, times, len(texts))[doc]
+    return Bags(np.concatenate(grams), np.concatenate(of_word), (pair // len(texts)).astype(np.int32), doc.astype(np.int32), weight, vocabulary.size, len(texts))
+
+
+def loss_and_gradients(bags: Bags, kept: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Cross entropy of softmax(mean of the words' mean embeddings @ w + b), and its gradients for e, w and b.
+
+    kept marks the n-grams that stand for their words in this step."""
+    gram, of_word = bags.gram[kept], bags.of_word[kept]
+    per_word = np.maximum(np.bincount(of_word, minlength=bags.words), 1)
+    table = e @ w  # each row's part of the two logits: averages are linear, so they can wait
+    z = np.empty((bags.docs, 2))
+    for k in (0, 1):
+        word = np.bincount(of_word, table[gram, k], bags.words) / per_word
+        z[:, k] = np.bincount(bags.doc, bags.weight * word[bags.word], bags.docs) + b[k]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    at = np.arange(bags.docs)
+    loss = -float(weight @ np.log(np.maximum(p[at, y], 1e-300)))
+    p[at, y] -= 1
+    g = p * weight[:, None]
+    of_table = np.empty((len(e), 2))
+    for k in (0, 1):
+        of_words = np.bincount(bags.word, bags.weight * g[bags.doc, k], bags.words) / per_word
+        of_table[:, k] = np.bincount(gram, of_words[of_word], len(e))
+    return loss, of_table @ w.T, e.T @ of_table, g.sum(axis=0)
+
+
+def trust_of(bags: Bags, y: np.ndarray, part: int = 1 << 13) -> np.ndarray:
+    """For each table row how surely its n-grams tell the classes apart: the log odds between the texts of the two classes that hold
+    them, without sign, less SURE standard errors; at least 0."""
+    texts_of = [(y == k).sum() for k in (0, 1)]
+    order = np.argsort(bags.word, kind="stable")
+    doc, first = bags.doc[order], np.searchsorted(bags.word[order], np.arange(bags.words + 1))
+    order = np.argsort(bags.gram, kind="stable")
+    gram, of_word = bags.gram[order].astype(np.int64), bags.of_word[order]
+    having = np.zeros((2, BUCKETS))
+    edges = np.searchsorted(gram, np.arange(0, BUCKETS + part, part))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):  # some rows at a time: every (row, text) once
+        word = of_word[low:high]
+        times = (first[word + 1] - first[word]) if word.size else np.zeros(0, np.int64)
+        at = np.repeat(first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        row, text = np.divmod(np.unique(np.repeat(gram[low:high], times) * bags.docs + doc[at]), bags.docs)
+        for k in (0, 1):
+            having[k] += np.bincount(row[y[text] == k], minlength=BUCKETS)
+    odds = [np.log((h + 0.5) / (n - h + 0.5)) for h, n in zip(having, texts_of, strict=True)]
+    error = np.sqrt(sum(1 / (h + 0.5) + 1 / (n - h + 0.5) for h, n in zip(having, texts_of, strict=True)))
+    return np.maximum(0, np.abs(odds[1] - odds[0]) - SURE * error)
 
+
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 1) -> Model:
+    """Fit on whole texts by Adam over all of them; a random half of the n-grams stands for each word in an epoch, as a misspelling would leave it."""
+    y = np.array(labels, np.int64)
+    share = float(y.mean()) if y.size else 0.0
+    bags = bags_of(texts) if 0 < share < 1 else None
+    if bags is None or not bags.words:
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    # rows that don't surely tell the classes apart stay zero: they could only be learnt by heart
+    trust = trust_of(bags, y)
+    learnt = (trust > 0)[bags.gram]
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / y.size
     rng = np.random.default_rng(seed)
-    e = (rng.normal(0, 0.1 / DIM, (BUCKETS, DIM)) * live[:, None]).astype(np.float32)
-    w = rng.normal(0, 1 / np.sqrt(DIM), (DIM, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
+    e = rng.normal(0, 0.1 / DIM, (BUCKETS, DIM))
+    w, b = rng.normal(0, 1 / np.sqrt(DIM), (DIM, 2)), np.zeros(2)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
     for epoch in range(1, epochs + 1):
-        table = e @ w  # each row's part of the two logits
-        z = np.empty((start.size, 2))
-        # a random half of the n-grams stands for each word, as a misspelling would leave it
-        kept = rng.random(gram.size, np.float32) < KEPT
-        some, of_some = gram[kept], of_word[kept]
-        per_word = np.maximum(np.bincount(of_some, minlength=vocabulary.size), 1)
-        for k in (0, 1):
-            word = np.bincount(of_some, table[some, k], vocabulary.size) / per_word
-            z[:, k] = np.bincount(in_window, word[token], start.size) / WINDOW + b[k]
-        if epoch <= warm:
-            chosen, weight = np.arange(start.size), balance[doc] / np.bincount(doc, minlength=y.size)[doc]
-        else:
-            margin = z[:, 1] - z[:, 0]
-            best = np.maximum.reduceat(margin, first)
-            hit = np.flatnonzero(margin == best[run])
-            chosen = hit[np.unique(run[hit], return_index=True)[1]]
-            weight = balance[of_first]
-        top = z[chosen] - z[chosen].max(axis=1, keepdims=True)
-        p = np.exp(top) / np.exp(top).sum(axis=1, keepdims=True)
-        p[np.arange(chosen.size), y[doc[chosen]]] -= 1
-        g = p * (weight / weight.sum())[:, None]
-        grad_e, grad_w = np.empty((BUCKETS, 2), np.float32), None
-        for k in (0, 1):
-            at_window = np.zeros(start.size)
-            at_window[chosen] = g[:, k] / WINDOW
-            at_word = np.bincount(token, at_window[in_window], vocabulary.size) / per_word
-            grad_e[:, k] = np.bincount(some, at_word[of_some], BUCKETS)
-        grad_w = e.T @ grad_e
-        for (m, v), param, grad in zip(state, (e, w, b), (grad_e @ w.T, grad_w, g.sum(axis=0).astype(np.float32)), strict=True):
+        kept = learnt & (rng.random(bags.gram.size, np.float32) < KEPT)
+        _, by_row, by_w, by_b = loss_and_gradients(bags, kept, e * trust[:, None], w, b, y, weight)
+        grads = (by_row * trust[:, None], by_w, by_b)
+        for (m, v), param, grad in zip(state, (e, w, b), grads, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             param -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
-        e *= np.float32(1 - rate * decay)
-    table = e @ w
+        e *= 1 - rate * decay
+    table = (e * trust[:, None]) @ w
     return Model((table[:, 1] - table[:, 0]).astype(np.float32), float(b[1] - b[0]))
 
 
@@ -229,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, longest: int
     The sample is by hash of doc_id, so it doesn't depend on how the tables are partitioned."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= longest) & (common.remainder() != 0))
-    marked = common.bounded_sample(marks.filter((common.remainder() != 0) & F.col("toxic").isin(0, 1)), "toxic", "doc_id", 2 * most)
-    # at most four times `most` ids, so the texts needn't move
-    few = marked.select(F.col("doc_id").alias("_id"), "toxic").limit(4 * most)
+    marked = common.stratified_sample(marks.filter((common.remainder() != 0) & F.col("toxic").isin(0, 1)), "toxic", "doc_id", 2 * most)
+    # at most six times `most` ids, so the texts needn't move
+    few = marked.select(F.col("doc_id").alias("_id"), "toxic").limit(6 * most)
     rows = usable.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "text").limit(4 * most).collect()
     kept: list = []
     counts = {0: 0, 1: 0}
