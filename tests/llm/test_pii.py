@@ -36,7 +36,7 @@ FIXED = [
 
 def check(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    for r in pii.spans(df, pii.estimate([])).collect():
+    for r in pii.spans(pii.prepared(df), pii.estimate([])).collect():
         want = plain(texts[r.doc_id] or "")
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), texts[r.doc_id]
@@ -63,26 +63,30 @@ def corpus(spark):
 
 def test_added_spans_follow_the_votes(spark):
     df = corpus(spark)
-    model = pii.fit(df)
-    kinds = {r.doc_id: r.spans for r in pii.spans(df, model).collect()}
+    ready = pii.prepared(df)
+    model = pii.fit(ready)
+    kinds = {r.doc_id: r.spans for r in pii.spans(ready, model).collect()}
     assert all(kinds[i].startswith("secret:") for i in range(60))
     assert all("secret" not in kinds[i] for i in range(100, 230) if i in kinds)
     # reliability: an assignment sign speaks for private data, and words against it do so
-    assert model.reliabilities["assigned"][1][0] > model.reliabilities["assigned"][1][1]
+    assert model.reliabilities["secret"]["assigned"][1][0] > model.reliabilities["secret"]["assigned"][1][1]
+    # standing alone after an ordinary word, the same token is none
+    alone = spark.createDataFrame([(1, f"the build {hashlib.sha1(b'9').hexdigest()} was fine"), (2, f"it was {hashlib.sha1(b'8').hexdigest()} then")], "doc_id int, text string")
+    assert [r.spans for r in pii.spans(pii.prepared(alone), model).collect()] == ["", ""]
 
 
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.co or +1 (826) 555-2748!", 7, "x"), (2, None, 0, "y"), (3, "clean", 5, None)], "doc_id int, text string, n_chars int, spans string")
-    rows = {r.doc_id: r for r in pii.redacted(df, pii.estimate([])).collect()}
+    rows = {r.doc_id: r for r in pii.redacted(pii.prepared(df), pii.estimate([])).collect()}
     assert rows[1].text == "mail <EMAIL> or <PHONE>!" and rows[2].text is None and rows[3].text == "clean"
-    assert pii.redacted(df, pii.estimate([])).columns == df.columns
+    assert pii.redacted(pii.prepared(df), pii.estimate([])).columns == df.columns
 
 
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], "doc_id int, text string, spans string")
-    model = pii.fit(df)
-    assert pii.spans(df, model).count() == 0
-    plan = pii.spans(df, model)._jdf.queryExecution().toString()
+    model = pii.fit(pii.prepared(df))
+    assert pii.spans(pii.prepared(df), model).count() == 0
+    plan = pii.spans(pii.prepared(df), model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -91,8 +95,38 @@ def test_secrets_of_any_length_are_candidates(spark):
     tokens = ["Ab3" + unit, "Ab" + unit * 4, "k" * 60 + "7" + unit, unit * 3000 + "==", "z" * 60_000 + "1"]
     texts = [f"api_key = \"{t}\" end" for t in tokens] + ["x" * 300, "word " * 100 + "/" * 70_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    spans = {r.doc_id: r.spans for r in pii.spans(df, pii.fit(corpus(spark))).collect()}
+    spans = {r.doc_id: r.spans for r in pii.spans(pii.prepared(df), pii.fit(pii.prepared(corpus(spark)))).collect()}
     assert [spans[i] for i in range(4)] == [f"secret:11:{11 + len(t)}" for t in tokens[:4]]
     assert spans[5] == spans[6] == ""
     seen = df.selectExpr("doc_id", f"size(filter({pii._candidates('text')}, x -> x.k = 'secret')) as n")
     assert [r.n for r in seen.orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0, 0]
+
+
+def test_very_many_matches(spark):
+    """Positions beyond one block of matches."""
+    text = "é a@b.co " * 3000 + "1.2.3.4"
+    r = pii.spans(pii.prepared(spark.createDataFrame([(1, text)], "doc_id int, text string")), pii.estimate([])).first()
+    assert (r.n_email, r.n_ip) == (3000, 1) and r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in plain(text))
+
+
+def test_reliabilities_come_from_agreement():
+    """Labelers whose votes go together become reliable; one that votes at random learns that it isn't."""
+    votes = {}
+    for private in (0, 1):
+        for noise in (0, 1):
+            pattern = tuple({"form": private, "cue": private, "assigned": private, "gazetteer": noise}.get(n, 0) for n in pii.LABELERS)
+            votes[pattern] = 400.0
+    table, chance = pii.reliabilities_of(votes)
+    odds = {n: table[n][1][0] / table[n][1][1] for n in pii.LABELERS}
+    assert odds["form"] > 5 and odds["cue"] > 5 and 0.5 < odds["gazetteer"] < 2
+    assert all((p > 0.9) == (v[0] == 1) and (p < 0.1) == (v[0] == 0) for v, p in chance.items())
+
+
+def test_other_kinds_are_found_by_context(spark):
+    rows = [(i, f"please call phone: 212-55{i % 10}-01{i % 10}9 now") for i in range(40)] + [(100 + i, f"Dear Anna Mustermann{'abcdefgh'[i % 8]}, hello") for i in range(40)]
+    rows += [(200 + i, "The The For For Over Under and 017-555-7713 in the list") for i in range(40)]
+    ready = pii.prepared(spark.createDataFrame(rows, "doc_id int, text string"))
+    kinds = {r.doc_id: r.spans for r in pii.spans(ready, pii.fit(ready)).collect()}
+    assert all("local_phone" in kinds[i] for i in range(40)), kinds[0]
+    assert all("name" in kinds[100 + i] for i in range(40)), kinds[100]
+    assert not any(kinds[200 + i] for i in range(40))

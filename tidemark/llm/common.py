@@ -55,6 +55,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def superseded(table: DataFrame) -> None:
+    """Delete a materialized table that a later one, written already, has replaced."""
+    for path in {os.path.dirname(f) for f in table.inputFiles()}:
+        remove(table.sparkSession, path)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all scratch tables of this application: to be called once its results are written."""
     remove(spark, scratch_root(spark))

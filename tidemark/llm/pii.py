@@ -2,17 +2,19 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns and checks. Further candidates (credentials,
 identity numbers, account numbers, national phone numbers, disguised addresses, names) come from wider
-patterns. Labelers of three sorts vote on each candidate: regexes on its form, gazetteers of words in it,
-and words of the context before and after it. Counts of the votes over all documents (a bounded table: at
-most 3 to the number of labelers, times kinds and shapes) go to expectation-maximisation, which estimates
-how reliable each labeler is and how likely each pattern of votes is private. Those probabilities are the
-soft labels of a logistic classifier over votes, kind and shape of the span; candidates that it accepts and
-that touch no base span are added. Both passes read whole texts and stay in the JVM; the only thing that
-reaches the driver is the table of counts, and only parameters come back.
+patterns. Six labelers vote on each: a regex on its form, a gazetteer of words and beginnings, words before it
+that speak for private data and words that speak against, the variety of its characters, and whether it is
+assigned to something or stands in running text. Counts of candidates by kind, votes and features (a table whose
+size the numbers of kinds, votes and feature values bound) go to the driver. For each kind,
+expectation-maximisation over the patterns of votes estimates how reliable each labeler is and how likely each
+pattern is private; these are the soft labels of a logistic classifier that sees the votes and, beyond them, the
+candidate's length and characters, what stands right before and after it, and the word before. Candidates that
+it accepts and that touch no base span are added. Texts are read once, in the JVM: spans and candidates are
+written to a table that both the counts and the classifier read.
 
 Positions count code points, ends exclusive. Null text counts as empty: no spans. Repeated rows each get
-their own result. Extra columns pass through; columns named like the added ones are replaced. On an empty
-table the classifier falls back to the labelers' prior reliabilities.
+their own result. Extra columns pass through; columns named like the added ones are replaced. For kinds without
+a candidate the classifier falls back on the labelers' prior reliabilities.
 """
 
 from __future__ import annotations
@@ -31,41 +33,70 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
-#: Kinds of candidates beyond the base ones.
+#: Kinds of candidates beyond the base ones. A pattern only says what may be private; whether it is, the labelers say.
 WIDE = {
     "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+-]{16,}+=*(?![A-Za-z0-9_/+=-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "local_phone": r"(?<![0-9+(). -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "local_phone": r"(?<![0-9+(.-])(?<![0-9).-] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}+){1,4}+",
-    "name": r"(?<![\p{L}])(?:Alice|Anna|Carlos|Charles|Claire|David|Elena|Emily|Emma|Hans|Ines|James|Jean|John|Juan|Julia|Karl|Laura|Linda|Luis|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sofia|Susan|Thomas|William) [A-Z][a-z]{2,20}+(?![\p{L}])",
+    "name": r"(?<![\p{L}])(?!(?:Dear|Mr|Mrs|Ms|Name|Contact|Patient|Regards|The) )[A-Z][a-z]{1,20}+ [A-Z][a-z]{2,20}+(?![\p{L}])",
 }
-#: Words of context that speak for (or against) private data, in the 32 code points before a span.
+#: What a text must hold before a pattern is tried on it.
+GUARDS = {"masked_email": r"[\[(](?:at|AT)[\])]", "name": r"[A-Z][a-z]++ [A-Z][a-z]"}
+#: The form labeler: what speaks for a candidate of the kind by its characters alone, and what against it.
+FORM = {
+    "secret": (r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,}$|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$", r"^[0-9-]+$|/.*/|^[a-z]+-[a-z-]+[0-9]+$"),
+    "national_id": (r"^[0-8]", r"^(?:000|666|9[0-9]{2})|-00-|-0000$"),
+    "account": (r" ", r"^[A-F0-9]+$"),
+    "local_phone": (r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]", r"^\(?[01]"),
+    "masked_email": (r"[a-z]", r"^[0-9. -]+"),
+    "name": (r"^$", r"^([A-Za-z]+) \1$|(?:License|Licence|Version|Public|Foundation|Software)$"),
+}
+#: The gazetteer labeler: lists of words and beginnings known for the kind.
+KNOWN = {
+    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk[_-]|pk[_-]|xox[abprs]-|eyJ)",
+    "account": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE)",
+    "masked_email": r"(?i)(?:com|org|net|edu|de|fr|es|uk|io|info)$",
+    "name": r"^(?:Alice|Anna|Carlos|Charles|Claire|David|Elena|Emily|Emma|Hans|Ines|James|Jean|John|Juan|Julia|Karl|Laura|Linda|Luis|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sofia|Susan|Thomas|William) ",
+}
+#: The context labelers: words in the 32 code points before a span that speak for private data of the kind, and words that speak against any.
 CUES = {
     "secret": r"(?i)(?:token|secret|passw|api.?key|access.?key|credential|bearer|auth)",
     "national_id": r"(?i)(?:ssn|social|identity|id no|national|tax)",
     "account": r"(?i)(?:iban|account|bank|konto|compte|cuenta)",
     "local_phone": r"(?i)(?:phone|call|tel|mobile|fax|contact)",
     "masked_email": r"(?i)(?:mail|contact|write|reach)",
-    "name": r"(?i)(?:name|mr|mrs|ms|dear|contact|patient|signed|regards|by)",
+    "name": r"(?i)(?:\bname\b|\bmrs?\b|\bms\b|\bdear\b|contact|patient|signed|regards)",
 }
-AGAINST = r"(?i)(?:sha-?[0-9]|md5|commit|checksum|digest|integrity|isbn|issn|doi|version|figure|page|order|https?:|www\.|src|href|base64)"
-#: How sure each labeler is before any data: chance of a vote for, and against, given private and not private.
-LABELERS = ("form", "gazetteer", "cue_before", "against_before", "uniform", "assigned")
-PRIOR = 0.3
+AGAINST = r"(?i)(?:sha-?[0-9]|md5|commit|checksum|digest|integrity|build|revision|isbn|issn|doi|version|figure|page|order|https?:|www\.|src|href|base64)"
+LABELERS = ("form", "gazetteer", "cue", "against", "spread", "assigned")
+#: Before any data: the share of private candidates; the weight of the prior in candidates, and its least share of a kind's candidates.
+PRIOR, LEAST_PRIOR, PRIOR_SHARE = 0.3, 20.0, 0.1
+_BLOCK = 256  # matches whose positions are summed up in one fold
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _matches(text: str, pattern: str, guard: str) -> str:
-    """SQL: the matches of pattern in text as array<struct<s,e,t>>. split() gives what lies between the
-    matches that regexp_extract_all() gives; one fold over both sums up the positions."""
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    none = "cast(array() as array<struct<s:int,e:int,t:string>>)"
-    return (
-        f"if({guard}, aggregate(zip_with(split({text}, '{p}', -1), regexp_extract_all({text}, '{p}', 0), (p, h) -> struct(length(p) as a, h as t)),"
-        f" named_struct('at', 0, 'out', {none}),"
-        " (acc, x) -> named_struct('at', acc.at + x.a + coalesce(length(x.t), 0), 'out', if(x.t is null, acc.out, concat(acc.out, array(named_struct('s', acc.at + x.a, 'e', acc.at + x.a + length(x.t), 't', x.t))))),"
-        f" acc -> acc.out), {none})"
+    """SQL: the matches of pattern in text as array<struct<s,e,t>>. split() gives what lies between the matches that
+    regexp_extract_all() gives; positions are sums over both. Folds copy what they have built, so they run over blocks
+    of matches, then over the blocks."""
+    p = _text(pattern)
+    item, none = "struct<s:int,e:int,t:string>", "cast(array() as array<{}>)"
+    within = (
+        f"aggregate(b, named_struct('at', 0, 'out', {none.format(item)}), (acc, x) -> named_struct('at', acc.at + x.a + coalesce(length(x.t), 0),"
+        " 'out', if(x.t is null, acc.out, concat(acc.out, array(named_struct('s', acc.at + x.a, 'e', acc.at + x.a + length(x.t), 't', x.t))))))"
     )
+    blocks = f"transform(sequence(0, (size(z) - 1) div {_BLOCK}), i -> slice(z, i * {_BLOCK} + 1, {_BLOCK}))"
+    placed = (
+        f"aggregate(transform({blocks}, b -> {within}), named_struct('at', 0, 'out', {none.format(f'array<{item}>')}), (acc, b) -> named_struct('at', acc.at + b.at,"
+        " 'out', concat(acc.out, array(transform(b.out, x -> named_struct('s', acc.at + x.s, 'e', acc.at + x.e, 't', x.t))))), acc -> flatten(acc.out))"
+    )
+    zipped = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> struct(length(g) as a, h as t))"
+    return f"if({guard}, element_at(transform(array({zipped}), z -> {placed}), 1), {none.format(item)})"
 
 
 def _digits(t: str) -> str:
@@ -94,148 +125,149 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _candidates(text: str) -> str:
-    """SQL: all candidates as array<struct<k,s,e,t,b,a>>: kind, span, text, 32 code points before and 1 after."""
-    t = f"coalesce(`{text}`, '')"
-    guards = {"masked_email": f"{t} rlike '[\\\\[(](?:at|AT)[\\\\])]'", "name": f"{t} rlike '[A-Z]'"}
-    parts = [
-        f"transform({_matches(t, p, guards.get(k, f'{t} rlike {chr(39)}[0-9]{chr(39)}'))}, x -> named_struct('k', '{k}', 's', x.s, 'e', x.e, 't', x.t,"
-        f" 'b', substring({t}, greatest(x.s - 31, 1), least(x.s, 32)), 'a', substring({t}, x.e + 1, 1)))"
-        for k, p in WIDE.items()
-    ]
-    return f"concat({', '.join(parts)})"
+def _votes(kind: str, x: str) -> dict[str, str]:
+    """SQL of the labelers' votes on candidate x of a kind: 1 for private, -1 against, 0 for none. Each looks at something else."""
+    speaks, denies = FORM[kind]
+    # of long tokens (any length) without an array of their characters
+    letters = f"aggregate(split('abcdefghijklmnopqrstuvwxyz0123456789_/+-=', ''), 0, (n, c) -> n + cast(contains(lower({x}.t), c) as int))"
+    return {
+        "form": f"case when {x}.t rlike {_text(denies)} then -1 when {x}.t rlike {_text(speaks)} then 1 else 0 end",
+        "gazetteer": f"if({x}.t rlike {_text(KNOWN[kind])}, 1, 0)" if kind in KNOWN else "0",
+        "cue": f"if({x}.b rlike {_text(CUES[kind])}, 1, 0)",
+        "against": f"if({x}.b rlike {_text(AGAINST)}, -1, 0)",
+        "spread": f"case when {letters} <= 4 then -1 when {letters} >= 10 then 1 else 0 end" if kind == "secret" else "0",
+        "assigned": f"if({x}.b rlike {_text('[:=][ ]?[^A-Za-z0-9 ]?$')}, 1, if({x}.b rlike {_text('[A-Za-z0-9][ ]$')}, -1, 0))",
+    }
 
 
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _class_of(c: str) -> str:
+    """SQL: the sort of character c."""
+    return f"case when {c} = '' then 'edge' when {c} rlike '[A-Za-z]' then 'letter' when {c} rlike '[0-9]' then 'digit' when {c} = ' ' then 'space' when {c} in ('\"', '`', chr(39)) then 'quote' when {c} rlike '[=:]' then 'sign' else 'other' end"
 
 
-def _votes(x: str) -> dict[str, str]:
-    """SQL of the labelers' votes on candidate x: 1 for private, -1 against, 0 for none."""
-    cue = "case " + " ".join(f"when {x}.k = '{k}' then {x}.b rlike {_sql(p)}" for k, p in CUES.items()) + " else false end"
-    strict = (
-        f"case when {x}.k = 'secret' then {x}.t rlike '^(?:[0-9a-f]{{32}}|[0-9a-f]{{36}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}|AKIA[0-9A-Z]{{12,16}}|gh[pousr]_[A-Za-z0-9]{{30,}}|sk[_-][A-Za-z0-9_-]{{16,}})$'"
-        f" when {x}.k = 'national_id' then not {x}.t rlike '^(?:000|666|9[0-9]{{2}})|-00-|-0000$'"
-        f" when {x}.k = 'account' then length(replace({x}.t, ' ', '')) between 15 and 34"
-        f" when {x}.k = 'local_phone' then {x}.t rlike '^[(]?[2-9]' else true end"
-    )
-    words = f"case when {x}.k = 'masked_email' then {x}.t rlike '(?i)(?:com|org|net|edu|de|fr|es|uk|io|info)$' when {x}.k = 'name' then true when {x}.k = 'secret' then {x}.t rlike '^(?:AKIA|gh[pousr]_|sk[_-]|xox)' else false end"
-    # of long tokens (secrets, any length) without an array of their characters
-    long = f"aggregate(split('abcdefghijklmnopqrstuvwxyz0123456789_/+-=', ''), 0, (n, c) -> n + cast(contains(lower({x}.t), c) as int))"
-    distinct = f"if({x}.k = 'secret' and length({x}.t) > 200, {long}, size(array_distinct(split(lower({x}.t), ''))))"
-    return {
-        "form": f"if({strict}, 1, -1)",
-        "gazetteer": f"if({words}, 1, 0)",
-        "cue_before": f"if({cue}, 1, 0)",
-        "against_before": f"if({x}.b rlike {_sql(AGAINST)}, -1, 0)",
-        "uniform": f"if({distinct} <= 4, -1, if({x}.k = 'secret' and {distinct} >= 10, 1, 0))",
-        "assigned": f"if({x}.b rlike {_sql('[:=][ ]?[^A-Za-z0-9 ]?$')}, 1, 0)",
-    }
+def _features(kind: str, x: str) -> str:
+    """SQL: what the classifier sees of candidate x besides the votes: length, characters, what stands right before and after it, and the word before (a hash, 32 values)."""
+    size = f"case when length({x}.t) < 12 then 's' when length({x}.t) < 24 then 'm' when length({x}.t) < 48 then 'l' else 'x' end"
+    made = f"case when {x}.t rlike '^[0-9 .()-]+$' then 'digits' when {x}.t rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' then 'hex' when {x}.t rlike '^[A-Za-z ]+$' then 'letters' when {x}.t rlike '[a-z]' and {x}.t rlike '[A-Z]' then 'mixed' else 'plain' end"
+    word = f"pmod(xxhash64(lower(regexp_extract({x}.b, {_text('([A-Za-z]+)[^A-Za-z]*$')}, 1))), 32)"
+    return f"concat('size=', {size}), concat('made=', {made}), concat('before=', {_class_of(f'right({x}.b, 1)')}), concat('after=', {_class_of(f'{x}.a')}), concat('word=', {word})"
 
 
-def _shape(x: str) -> str:
-    """SQL: length class and whether upper case, lower case and digits stand in the candidate, as one short string."""
-    return f"concat(case when length({x}.t) < 12 then 's' when length({x}.t) < 24 then 'm' when length({x}.t) < 48 then 'l' else 'x' end, if({x}.t rlike '[A-Z]', 'U', ''), if({x}.t rlike '[a-z]', 'l', ''), if({x}.t rlike '[0-9]', '9', ''))"
+def _candidates(text: str) -> str:
+    """SQL: all candidates as array<struct<k,s,e,f>>: kind, span, and features as text, the votes (form=1, …) first."""
+    t = f"coalesce(`{text}`, '')"
+    parts = []
+    for k, p in WIDE.items():
+        found = f"transform({_matches(t, p, f'{t} rlike {_text(GUARDS.get(k, '[0-9]'))}')}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'b', substring({t}, greatest(x.s - 31, 1), least(x.s, 32)), 'a', substring({t}, x.e + 1, 1)))"
+        votes = ", ".join(f"concat('{name}=', {sql})" for name, sql in _votes(k, "x").items())
+        parts.append(f"transform({found}, x -> named_struct('k', '{k}', 's', x.s, 'e', x.e, 'f', array({votes}, {_features(k, 'x')})))")
+    return f"concat({', '.join(parts)})"
 
 
 @dataclass
 class Model:
-    """Weights of the span classifier: a bias, and for each feature (text such as kind=secret or cue_before=1) its weight."""
-
-    bias: float
-    weights: dict[str, float]
-    reliabilities: dict[str, dict[int, tuple[float, float]]]
-
+    """Weights of the span classifier: for each kind a bias (feature '') and the weights of features such as cue=1 or made=hex; reliabilities[kind][labeler][vote]: its chance given private, and given not private."""
 
-def _features(kind: str, shape: str, votes: tuple[int, ...]) -> list[str]:
-    return [f"kind={kind}", f"shape={shape}", *(f"{name}={v}" for name, v in zip(LABELERS, votes, strict=True))]
+    weights: dict[str, dict[str, float]]
+    reliabilities: dict[str, dict[str, dict[int, tuple[float, float]]]]
 
 
 def _prior_table() -> dict[str, dict[int, tuple[float, float]]]:
-    """For each labeler and vote: its chance given private, and given not private."""
     return {name: {1: (0.55, 0.15), 0: (0.35, 0.55), -1: (0.1, 0.3)} for name in LABELERS}
 
 
-def estimate(counts: list[tuple[str, str, tuple[int, ...], int]], rounds: int = 60, steps: int = 300) -> Model:
-    """Expectation-maximisation over (kind, shape, votes, count), then a logistic fit to its soft labels.
+def _sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
+def reliabilities_of(votes: dict[tuple[int, ...], float], rounds: int = 100) -> tuple[dict[str, dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
+    """Expectation-maximisation for one kind: how often each labeler casts each vote given private and not, and how likely each pattern of votes is private.
 
-    The share of private candidates is estimated for each kind. Priors act as 20 candidates with the prior
-    table's votes, so that labelers who never vote keep a defined reliability."""
-    table = _prior_table()
-    share = {k: PRIOR for k in WIDE}
-    posterior: list[float] = []
+    Labelers count as independent given the truth. The prior table stands for LEAST_PRIOR candidates, or for PRIOR_SHARE
+    of them if that is more: labelers are taken to be better than chance until the data say otherwise. A candidate that no labeler votes for counts as not private."""
+    table, share, total = _prior_table(), PRIOR, sum(votes.values())
+    strength = max(LEAST_PRIOR, PRIOR_SHARE * total)
+    private: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        posterior = []
-        for kind, _, votes, _ in counts:
-            odds = math.log(share[kind] / (1 - share[kind])) + sum(math.log(table[n][v][0] / table[n][v][1]) for n, v in zip(LABELERS, votes, strict=True))
-            posterior.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
-        prior = _prior_table()
-        sums = {n: {v: [20 * p, 20 * q] for v, (p, q) in prior[n].items()} for n in LABELERS}
-        of_kind = {k: [20 * PRIOR, 20.0] for k in WIDE}
-        for (kind, _, votes, count), p in zip(counts, posterior, strict=True):
-            of_kind[kind][0] += p * count
-            of_kind[kind][1] += count
-            for n, v in zip(LABELERS, votes, strict=True):
-                sums[n][v][0] += p * count
-                sums[n][v][1] += (1 - p) * count
-        share = {k: min(max(a / b, 0.01), 0.99) for k, (a, b) in of_kind.items()}
-        # a vote for never counts against, and the other way round
-        for n in LABELERS:
-            private, other = sum(x[0] for x in sums[n].values()), sum(x[1] for x in sums[n].values())
-            for v, (a, b) in sums[n].items():
-                p, q = a / private, b / other
-                table[n][v] = (max(p, q), min(p, q)) if v > 0 else (min(p, q), max(p, q)) if v < 0 else (p, q)
-    if not counts:
-        return Model(math.log(PRIOR / (1 - PRIOR)), {f"{n}={v}": math.log(p / q) for n in LABELERS for v, (p, q) in table[n].items()}, table)
-    names = sorted({f for kind, shape, votes, _ in counts for f in _features(kind, shape, votes)})
-    at = {f: i for i, f in enumerate(names)}
-    rows = [([at[f] for f in _features(kind, shape, votes)], p, math.log1p(count)) for (kind, shape, votes, count), p in zip(counts, posterior, strict=True)]
-    total = sum(c for _, _, c in rows)
-    w, b = [0.0] * len(names), 0.0
+        # what no labeler votes for is not private
+        private = {v: max(v) > 0 and _sigmoid(math.log(share / (1 - share)) + sum(math.log(table[n][x][0] / table[n][x][1]) for n, x in zip(LABELERS, v, strict=True))) for v in votes}
+        sums = {n: {x: [strength * PRIOR * p, strength * (1 - PRIOR) * q] for x, (p, q) in prior.items()} for n, prior in _prior_table().items()}
+        for v, n in votes.items():
+            for name, x in zip(LABELERS, v, strict=True):
+                sums[name][x][0] += private[v] * n
+                sums[name][x][1] += (1 - private[v]) * n
+        table = {n: {x: (a / sum(y[0] for y in s.values()), b / sum(y[1] for y in s.values())) for x, (a, b) in s.items()} for n, s in sums.items()}
+        share = min(max((strength * PRIOR + sum(private[v] * n for v, n in votes.items())) / (strength + total), 0.001), 0.999)
+    return table, private
+
+
+def _fitted(rows: list[tuple[list[str], float, float]], steps: int = 400, ridge: float = 1e-3) -> dict[str, float]:
+    """Logistic regression of soft labels (features, label, weight); the bias is the weight of ''."""
+    total = sum(w for *_, w in rows)
+    weights = dict.fromkeys(sorted({f for features, *_ in rows for f in features} | {""}), 0.0)
     for _ in range(steps):
-        grad, grad_b = [0.01 * x for x in w], 0.0
-        for features, p, c in rows:
-            z = b + sum(w[i] for i in features)
-            d = c / total * (1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) - p)
-            grad_b += d
-            for i in features:
-                grad[i] += d
-        w = [x - 2.0 * g for x, g in zip(w, grad, strict=True)]
-        b -= 2.0 * grad_b
-    return Model(b, dict(zip(names, w, strict=True)), table)
-
-
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """One pass over all texts: counts of candidates by kind, shape and votes (bounded), then estimate()."""
-    voted = docs.select(F.explode(F.expr(f"transform({_candidates(text)}, x -> named_struct('k', x.k, 'h', {_shape('x')}, {', '.join(f'{chr(39)}{n}{chr(39)}, {v}' for n, v in _votes('x').items())}))")).alias("c")).select("c.*")
-    rows = voted.groupBy("k", "h", *LABELERS).count().collect()
-    return estimate(sorted((r.k, r.h, tuple(r[n] for n in LABELERS), r["count"]) for r in rows))
-
-
-def found(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with _email, _ip, _card, _phone as base_spans() and _added: array<struct<k,s,e>> of what the classifier adds."""
-    weights = "map(" + ", ".join(f"'{f}', {w!r}D" for f, w in sorted(model.weights.items())) + ")" if model.weights else "cast(map() as map<string,double>)"
-    names = "array(concat('kind=', x.k), concat('shape=', " + _shape("x") + "), " + ", ".join(f"concat('{n}=', {v})" for n, v in _votes("x").items()) + ")"
-    z = f"{model.bias!r}D + aggregate({names}, 0D, (z, f) -> z + coalesce(try_element_at({weights}, f), 0D))"
+        grad = {f: ridge * w for f, w in weights.items()}
+        for features, label, n in rows:
+            d = n / total * (_sigmoid(weights[""] + sum(weights[f] for f in features)) - label)
+            for f in (*features, ""):
+                grad[f] += d
+        weights = {f: w - grad[f] for f, w in weights.items()}
+    return weights
+
+
+def estimate(counts: list[tuple[str, tuple[str, ...], int]]) -> Model:
+    """From (kind, features, count): reliabilities by EM, then for each kind a classifier of the soft labels that sees votes and features. A kind without candidates falls back on the prior's votes."""
+    prior = _prior_table()
+    weights, tables = {}, {}
+    for kind in WIDE:
+        mine = [(f[: len(LABELERS)], f, n) for k, f, n in counts if k == kind]
+        vote = lambda names: tuple(int(x.partition("=")[2]) for x in names)
+        patterns: dict[tuple[int, ...], float] = {}
+        for names, _, n in mine:
+            patterns[vote(names)] = patterns.get(vote(names), 0) + n
+        tables[kind], private = reliabilities_of(patterns) if mine else (prior, {})
+        fallback = {f"{n}={v}": math.log(p / q) for n in LABELERS for v, (p, q) in prior[n].items()}
+        weights[kind] = _fitted([(list(f), private[vote(names)], n) for names, f, n in mine]) if mine else fallback | {"": math.log(PRIOR / (1 - PRIOR))}
+    return Model(weights, tables)
+
+
+_WORK = {"_email", "_ip", "_card", "_phone", "_candidates"}
+
+
+def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _email, _ip, _card, _phone (base_spans()) and _candidates, in one pass over the texts; materialize it, for it is read twice."""
+    return base_spans(docs, text).withColumn("_candidates", F.expr(_candidates(text)))
+
+
+def fit(ready: DataFrame) -> Model:
+    """ready: of prepared(). Counts candidates by kind and features, a table whose size doesn't depend on the number of documents, then estimate()."""
+    rows = ready.select(F.explode("_candidates").alias("c")).groupBy("c.k", "c.f").count().collect()
+    return estimate(sorted((r.k, tuple(r.f), r["count"]) for r in rows))
+
+
+def found(ready: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """ready with _added: array<struct<k,s,e>>, the candidates that the classifier accepts and that touch no base span."""
+    weights = "map(" + ", ".join(f"'{k}', map({', '.join(f'{_text(f)}, {w!r}D' for f, w in sorted(of.items()))})" for k, of in sorted(model.weights.items())) + ")"
+    # a feature never seen says nothing
+    z = f"aggregate(concat(x.f, array('')), 0D, (z, f) -> z + coalesce(try_element_at(try_element_at({weights}, x.k), f), 0D))"
     free = "not exists(concat(_email, _ip, _card, _phone), y -> y.s < x.e and x.s < y.e)"
     cut = math.log(threshold / (1 - threshold))
-    return base_spans(docs, text).withColumn("_added", F.expr(f"array_sort(transform(filter({_candidates(text)}, x -> {free} and {z} >= {cut!r}D), x -> named_struct('k', x.k, 's', x.s, 'e', x.e)))"))
+    return ready.withColumn("_added", F.expr(f"array_sort(transform(filter(_candidates, x -> {z} >= {cut!r}D and {free}), x -> named_struct('k', x.k, 's', x.s, 'e', x.e)))"))
 
 
 def _joined(parts: list[tuple[str, str]]) -> Column:
     return F.expr("array_join(concat(" + ", ".join(f"transform({col}, x -> concat_ws(':', {kind}, x.s, x.e))" for col, kind in parts) + "), ',')")
 
 
-def spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (base and added)."""
+def spans(ready: DataFrame, model: Model) -> DataFrame:
+    """ready without its working columns, with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (base and added)."""
     base = [(f"_{k}", f"'{k}'") for k in BASE]
-    out = found(docs.drop("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"), model, text)
     made = {f"n_{k}": F.size(f"_{k}").cast("long") for k in BASE} | {"base_sha256": F.sha2(_joined(base), 256), "spans": _joined([*base, ("_added", "x.k")])}
-    return out.withColumns(made).drop("_email", "_ip", "_card", "_phone", "_added")
+    return found(ready.drop("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"), model).withColumns(made).drop(*_WORK, "_added")
 
 
-def redacted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with each span (overlapping ones merged) replaced by its kind in angle brackets; null texts stay null."""
+def redacted(ready: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """ready without its working columns, each span (overlapping ones merged) replaced by its kind in angle brackets; null texts stay null."""
     all_spans = "concat(" + ", ".join(f"transform(_{k}, x -> named_struct('s', x.s, 'e', x.e, 'k', '{k}'))" for k in BASE) + ", transform(_added, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
     merged = (
         f"aggregate(array_sort({all_spans}), cast(array() as array<struct<s:int,e:int,k:string>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).e > x.s,"
@@ -244,4 +276,5 @@ def redacted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     t = f"`{text}`"
     pieces = f"transform(_merged, (x, i) -> concat(substring({t}, if(i = 0, 0, _merged[i - 1].e) + 1, x.s - if(i = 0, 0, _merged[i - 1].e)), '<', upper(x.k), '>'))"
     done = f"if(size(_merged) = 0, {t}, concat(array_join({pieces}, ''), substring({t}, element_at(_merged, -1).e + 1)))"
-    return found(docs, model, text).withColumn("_merged", F.expr(merged)).withColumn(text, F.expr(done)).select(*docs.columns)
+    kept = [c for c in ready.columns if c not in _WORK]
+    return found(ready, model).withColumn("_merged", F.expr(merged)).withColumn(text, F.expr(done)).select(*kept)

@@ -33,7 +33,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.spans(docs, pii.fit(docs)).drop("text")
+    ready = common.materialize(pii.prepared(docs).drop("text"), "pii-candidates")
+    return pii.spans(ready, pii.fit(ready))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,27 +209,28 @@ def links(prints: DataFrame, most: int = BUCKET) -> DataFrame:
     return edges.unionByName(pairs.mapInArrow(across, "a long, b long"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder, and the loop ends
-    when a round changes nothing."""
+    Alternating large-star and small-star rounds; each is written to the shared folder in place of the one before,
+    and the loop ends when a round changes nothing, which it does after few rounds (at most about the square of the
+    logarithm of the largest component)."""
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = common.materialize(edges, "components")
     before = state(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.materialize(small, "components")
+        last, edges = edges, common.materialize(small, "components")
+        common.superseded(last)
         now = state(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, most: int = BUCKET) -> DataFrame:
