@@ -38,7 +38,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model recognises, and sets lang where it was missing."""
     model, added = langid.fit(docs), ("lang_pred", "score")
-    found = _judged(docs, lambda d: langid.identified(d, model), added).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN))
+    found = _judged(docs, lambda d: langid.identified(d, model), added)
+    found = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN))
     return _restored(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, added)
 
 
@@ -49,8 +50,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces spans of personal data by their kind; n_chars follows the text."""
-    done = pii.redacted(docs, pii.fit(docs))
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    ready = common.materialize(pii.prepared(docs), "pipeline-candidates")
+    done = pii.redacted(ready, pii.fit(ready))
+    if "n_chars" not in docs.columns:
+        return done
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", known_language), ("near_copies", drop_near_copies), ("personal_data", redact_personal_data), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", known_language),
+    ("near_copies", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
