@@ -59,18 +59,37 @@ def test_walk_is_in_order_of_summed_distance():
     rng = np.random.default_rng(4)
     book = ann.Codebook(rng.normal(0, 1, (400, 8)), 9)
     held = np.ones((9, 9))
-    q = rng.normal(0, 1, 8)
-    cells = book.walk(q, held, 81)
-    sums = [-(q[:4] @ book.first[i]) - (q[4:] @ book.second[j]) for i, j in cells]
-    assert len(set(cells)) == 81 and sums == sorted(sums)
-    assert book.walk(q, held, 10) == cells[:10]
+    held[2, 3] = 0
+    d1, d2 = book.sums(rng.normal(0, 1, (1, 8)))
+    cells, last = book.walk(d1[0], d2[0], held, 81)
+    sums = [d1[0, i] + d2[0, j] for i, j in cells]
+    assert len(set(cells)) == 80 and (2, 3) not in cells and sums == sorted(sums) and last >= sums[-1]
+    some, edge = book.walk(d1[0], d2[0], held, 10)
+    assert some == cells[:10] and edge == sums[9]
+
+
+def test_many_parts_and_blocks(spark, monkeypatch):
+    """Small blocks and parts give what one block gives, up to which cells are passed."""
+    _, _, df = table(spark)
+    condition = F.col("vec_id") % 20 == 0
+    whole = sorted(map(tuple, ann.search(df, condition).collect()))
+    monkeypatch.setattr(ann, "BYTES", 8 * 16 * 64)
+    assert sorted(map(tuple, ann.search(df, condition).collect())) == whole
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    # each row is a query of its own
+    assert got == [(0, 1, 1, 1.0), (0, 1, 2, 1.0), (0, 2, 1, 0.1), (0, 2, 2, 0.1)]
 
 
 @pytest.mark.parametrize("counts", [[5, 5, 5], [9000, 1, 2], [1, 4096, 4000, 100], [0, 0]])
 def test_blocks_hold_what_they_may(counts):
-    at, cuts = ann._blocks(np.array(counts, float)[:, None])
+    at, cuts = ann._blocks(np.array(counts, float)[:, None], 4096)
     size = {}
     for i, n in enumerate(counts):
         for c in range(cuts[i]):
             size[at[i] + c] = size.get(at[i] + c, 0) + n / cuts[i]
-    assert max(size.values()) <= ann.BLOCK
+    assert max(size.values()) <= 4096
