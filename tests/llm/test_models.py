@@ -260,3 +260,48 @@ def test_licences_beside_letters_with_longer_lower_forms(licence_model):
     text = "kalo \u0130miten\nReleased under the MIT License.\nRULO"
     assert [(f, text[a:b]) for f, a, b, _ in licenses.found_in([text], licence_model)[0]] == [("mit", "Released under the MIT License.")]
     assert licenses.folded("A\u0130B") == "a\u0130b"
+
+
+def plain_licence(paragraph, model):
+    """The class probabilities of one paragraph, word by word and n-gram by n-gram."""
+    mask, prime = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(h):
+        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & mask
+        return h ^ (h >> 29)
+
+    words = "".join(c if c.isalnum() else " " for c in licenses.folded(paragraph)).split()
+    hashes = [mix(sum((ord(c) + 1) * pow(prime, i, 2**64) for i, c in enumerate(w)) & mask) for w in words]
+    total, n = np.zeros(len(model.families)), 0
+    for size in (1, 2, 3):
+        for i in range(len(words) - size + 1):
+            run = hashes[i]
+            for h in hashes[i + 1 : i + size]:
+                run = mix((run * prime + h) & mask)
+            total, n = total + model.weights[run >> 48], n + 1
+    z = model.sharp * (total / max(n, 1) ** 0.5 + model.bias)
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def test_licence_classifier_against_plain_loops(licence_model):
+    rng = np.random.default_rng(9)
+    texts = ["Released under the MIT License.", sentence(rng, "bb", 12), "a", "İ x", licenses.TEMPLATES["gpl"][0]]
+    codes, starts = licenses.textvec.codes_of([licenses.folded(t) for t in texts])
+    got = licenses._softmax(licenses._logits(codes, starts, licence_model))
+    assert np.allclose(got, [plain_licence(t, licence_model) for t in texts], atol=1e-4)
+
+
+def test_licence_scan_against_a_scan_line_by_line(licence_model):
+    """Short lines, each judged by itself: what passes the certainty and shares half of a template."""
+    rng = np.random.default_rng(10)
+    pool = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "Some warranty ends.", sentence(rng, "aa", 9), sentence(rng, "cc", 5), ""]
+    texts = ["\n".join(pool[k] for k in rng.integers(0, len(pool), 6)) for _ in range(40)]
+    for text, found in zip(texts, licenses.found_in(texts, licence_model), strict=True):
+        want, at = [], 0
+        for line in text.split("\n"):
+            p = plain_licence(line, licence_model)
+            family = licence_model.families[int(p.argmax())]
+            if family != licenses.NONE and p.max() >= licence_model.least and licenses.confirmed(line, family) >= licenses.SHARED:
+                want.append((family, at, at + len(line)))
+            at += len(line) + 1
+        assert [x[:3] for x in found] == want, text
