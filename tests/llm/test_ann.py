@@ -74,6 +74,7 @@ def test_many_parts_and_blocks(spark, monkeypatch):
     condition = F.col("vec_id") % 20 == 0
     whole = sorted(map(tuple, ann.search(df, condition).collect()))
     monkeypatch.setattr(ann, "BYTES", 8 * 16 * 64)
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 64)
     assert sorted(map(tuple, ann.search(df, condition).collect())) == whole
 
 

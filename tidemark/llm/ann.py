@@ -39,7 +39,7 @@ TOP = 20
 RECALL = 0.95
 FIT = 16_000  # vectors that codebooks are fitted on
 PER_CELL, PER_CENTROID = 12.5, 64  # entries of a cell that are aimed at; fitting vectors that a centroid needs at least
-BYTES = 4 << 20  # of the vectors of an index block, or of a part of the queries
+BYTES, LEAST_BLOCK = 4 << 20, 1024  # of the vectors of an index block, or of a part of the queries; vectors in a block
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ def search(table: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id", e
         held[r.c1, r.c2] = r["count"]
     budget = share_needed(sample, book, top, recall) * n
     most = max(64, BYTES // (8 * dim))
-    at, cuts = _blocks(held, most)
+    at, cuts = _blocks(held, min(most, max(LEAST_BLOCK, -(-n // 16))))  # smaller blocks where there are few: work for more tasks
     layout = spark.sparkContext.broadcast((held, at, cuts, budget))
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
