@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -184,3 +185,30 @@ def test_chains_of_any_depth(spark):
     needs = spark.createDataFrame([(i + 1, i) for i in range(54)], "node int, needs int")
     nodes = spark.createDataFrame([(i,) for i in range(55)], "node int")
     assert {r.node: r.depth for r in graph.topological_depth(nodes, needs).collect()} == {i: i for i in range(55)}
+
+
+def test_versions_compare_as_versions(spark):
+    registry = spark.createDataFrame([("f", f"1.{n}") for n in (8, 9, 10, 11)], "family string, version string")
+    status = ledger.ledger_status(registry, registry.filter("version = '1.9'"), "family", "version")
+    assert {r.version: r.status for r in status.collect()} == {"1.8": "skipped", "1.9": "applied", "1.10": "pending", "1.11": "pending"}
+    assert [r.version for r in ledger.pending_through(status, "family", "version", F.lit("1.10")).collect()] == ["1.10"]
+
+
+def test_run_fingerprint_counts_items(spark):
+    mark = lambda rows: spark.createDataFrame(rows, "k string, s string").agg(rollups.run_fingerprint(F.col("k"), F.col("s")).alias("f")).first().f
+    one, twice = [("a", "high"), ("b", None)], [("a", "high"), ("a", "high"), ("b", None), ("b", None)]
+    assert len({mark(one), mark(twice), mark([]), mark([("a", "high")])}) == 4 and mark(one) == mark(one[::-1])
+
+
+def test_long_chains_reach_their_end(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(52)], "child string, parent string")
+    assert graph.ancestors(edges).filter("node = '0'").agg(F.max("depth")).first()[0] == 52
+
+
+def test_manifests_in_key_order_and_keys_as_text(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "a")], "id int, v string")
+    first = lambda x: x.first().fingerprint
+    assert first(rowdiff.ordered_fingerprint(df, F.col("id"), F.col("v"))) == hashlib.md5(b"9:a,10:b").hexdigest()
+    assert first(rowdiff.ordered_fingerprint(df, F.col("id"), F.col("v"), by_text=True)) == hashlib.md5(b"10:b,9:a").hexdigest()
+    assert [r.id for r in rowdiff.matching_rows(df, ["id"], [["9"], ["11"]]).collect()] == [9]
+    assert rowdiff.one_sided_counts({"t": df}, "source").first().row_count == 2

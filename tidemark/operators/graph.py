@@ -1,18 +1,15 @@
-"""Reachability and order in dependency graphs, to the fixpoint; ancestors as recursive SQL."""
+"""Reachability, ancestors and order in dependency graphs: rounds over what the last one found, to the fixpoint."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _named(df: DataFrame, sql: str) -> DataFrame:
-    return df.sparkSession.sql(sql, e=df)
+from ..scratch import materialize
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: in spark.checkpoint.dir, in the executors only where that is unset."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    return materialize(df, "graph")
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -28,12 +25,17 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return found
 
 
-def ancestors(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, ancestor, depth) over edges (child, parent), with a guard against cycles."""
-    return _named(
-        edges,
-        f"WITH RECURSIVE a(node, ancestor, depth, seen) MAX RECURSION LEVEL 100 AS (SELECT child, parent, 1, array(child, parent) FROM {{e}} UNION ALL SELECT a.node, e.parent, a.depth + 1, array_append(a.seen, e.parent) FROM a JOIN {{e}} e ON e.child = a.ancestor WHERE NOT array_contains(a.seen, e.parent) AND a.depth < {depth}) SELECT node, ancestor, depth FROM a",
-    )
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) over edges (child, parent): every ancestor of every child, with its least depth. A pair once found isn't followed again, so cycles end; a node is no ancestor of its own."""
+    edges = _kept(edges.select("child", "parent").distinct())
+    new = found = _kept(edges.filter("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    depth = 1
+    while not new.isEmpty():
+        depth += 1
+        reached = new.join(edges, new.ancestor == edges.child).select("node", F.col("parent").alias("ancestor")).filter("node <> ancestor").distinct()
+        new = _kept(reached.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = _kept(found.unionByName(new))
+    return found
 
 
 def folded(tables: DataFrame, edges: DataFrame) -> DataFrame:

@@ -45,11 +45,18 @@ def current_version(df: DataFrame, version: str = "version") -> DataFrame:
     ).select(F.when(F.col("semantic") * 2 >= F.col("entries"), F.col("highest")).otherwise(F.col("last_text")).alias("version"))
 
 
+def _order(version: str | Column) -> Column:
+    """Versions compare as versions (1.10 after 1.9), whatever type holds them."""
+    return V.sort_key((F.col(version) if isinstance(version, str) else version).cast("string"))
+
+
 def ledger_status(registry: DataFrame, applied: DataFrame, family: str, version: str) -> DataFrame:
     """Registry against applied ledger: applied, pending (above the family's highest applied), skipped (below it), or unknown to the registry."""
-    top = applied.groupBy(family).agg(F.max(version).alias("top"))
-    both = registry.select(family, version, F.lit(True).alias("r")).distinct().join(applied.select(family, version, F.lit(True).alias("p")).distinct(), [family, version], "full_outer").join(top, family, "left")
-    status = F.when(F.col("r").isNull(), "unregistered").when(F.col("p"), "applied").when(F.col("top").isNull() | (F.col(version) > F.col("top")), "pending").otherwise("skipped")
+    top = applied.groupBy(family).agg(F.max(_order(version)).alias("top"))
+    side = lambda df, name: df.select(family, version, F.lit(True).alias(name)).distinct()
+    both = side(registry, "r").join(side(applied, "p"), [family, version], "full_outer").join(top, family, "left")
+    pending = F.col("top").isNull() | (_order(version) > F.col("top"))
+    status = F.when(F.col("r").isNull(), "unregistered").when(F.col("p"), "applied").when(pending, "pending").otherwise("skipped")
     return both.select(family, version, status.alias("status"))
 
 
@@ -81,7 +88,7 @@ def timeline_order(df: DataFrame) -> DataFrame:
 
 def pending_through(status: DataFrame, family: str, version: str, through: Column) -> DataFrame:
     """What is pending up to and with a version."""
-    return status.filter((F.col("status") == "pending") & (F.col(version) <= through)).orderBy(family, version)
+    return status.filter((F.col("status") == "pending") & (_order(version) <= _order(through))).orderBy(family, _order(version))
 
 
 def push_check(registry: DataFrame, family: str, version: str) -> DataFrame:

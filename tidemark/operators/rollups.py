@@ -61,9 +61,11 @@ def severity_counts(items: DataFrame, severity: str) -> DataFrame:
     return items.agg(*[F.count_if(F.col(severity) == s).alias(s) for s in SEVERITIES])
 
 
-def run_fingerprint(items: DataFrame, key: str, severity: str) -> Column:
-    """An order-free 64-bit fingerprint of a run's items, as an aggregate: no list of all items is built."""
-    return F.lower(F.lpad(F.hex(F.bit_xor(F.xxhash64(key, severity))), 16, "0"))
+def run_fingerprint(key: Column, severity: Column) -> Column:
+    """A fingerprint of a run's items, whatever their order, as an aggregate: sums of the parts of their digests, so an item found twice counts twice and no list is built."""
+    digest = F.md5(F.concat_ws("\u0001", F.coalesce(key, F.lit("")), F.coalesce(severity, F.lit(""))).cast("binary"))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
+    return F.substring(F.md5(F.concat_ws(":", F.count("*").cast("string"), part(1), part(16)).cast("binary")), 1, 16)
 
 
 def search_patterns(queries: DataFrame, searches: str = "searched_columns") -> DataFrame:

@@ -77,20 +77,42 @@ def table_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sums.select("row_count", F.md5(F.concat_ws(":", "row_count", "a", "b").cast("binary")).alias("checksum"))
 
 
-def sorted_checksum(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
+def sorted_checksum(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """One row: row_count and checksum over the sorted digests of the rows.
 
-    Row digests are dealt into buckets by their first digits; each bucket's sorted digests are hashed, then
-    the bucket hashes. No task holds more than a bucket's digests; give more buckets to larger tables."""
+    Row digests are dealt into buckets by their first digits; each bucket's sorted digests are hashed, then the
+    bucket hashes. A bucket gets about 50,000 rows: there are 256, or as many more (a power of two, up to 65,536) as the
+    number of rows asks for. Checksums compare only for equal numbers of buckets: for tables that differ much in size, give it."""
+    if buckets is None:
+        buckets, rows = 256, df.count()
+        while buckets < 65_536 and rows > 50_000 * buckets:
+            buckets *= 2
     rows = df.select(digest(columns).alias("d")).withColumn("b", F.conv(F.substring("d", 1, 4), 16, 10).cast("int") % buckets)
     inner = rows.groupBy("b").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("d")), "").cast("binary")).alias("h"))
     return inner.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "").cast("binary")).alias("checksum"))
 
 
-def ordered_fingerprint(df: DataFrame, key: Column, value: Column) -> DataFrame:
-    """md5 over key:value pairs in key order: for manifests, whose size is bounded."""
-    pairs = F.sort_array(F.collect_list(F.concat_ws(":", key, value)))
-    return df.agg(F.md5(F.array_join(pairs, ",").cast("binary")).alias("fingerprint"))
+def ordered_fingerprint(df: DataFrame, key: Column, value: Column, by_text: bool = False) -> DataFrame:
+    """md5 over key:value pairs in the order of the keys (of the pairs' texts, by_text): for manifests, whose size is bounded."""
+    pair = F.concat_ws(":", key, value)
+    pairs = F.sort_array(F.collect_list(F.struct((pair if by_text else key).alias("o"), pair.alias("p"))))
+    return df.agg(F.md5(F.array_join(F.transform(pairs, lambda x: x["p"]), ",").cast("binary")).alias("fingerprint"))
+
+
+def matching_rows(df: DataFrame, keys: Sequence[str], wanted: Sequence[Sequence]) -> DataFrame:
+    """Rows whose keys, as text, are among the wanted ones: keys of any type against keys that came in as text."""
+    table = df.sparkSession.createDataFrame([tuple(map(str, w)) for w in wanted], ", ".join(f"_k{i} string" for i in range(len(keys)))).distinct()
+    equal = [F.col(k).cast("string") == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    return df.join(table, equal, "left_semi")
+
+
+def one_sided_counts(tables: dict[str, DataFrame], side: str) -> DataFrame:
+    """table_name, side, row_count of tables that only one side has."""
+    counted = [df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), F.lit(side).alias("side"), "row_count") for t, df in tables.items()]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def summary(verdicts: DataFrame, table: str = "table_name") -> DataFrame:

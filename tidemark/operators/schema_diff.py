@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import narrows, normalized, rename_allowed, round_score, string_similarity, type_score
+from ..scratch import materialize
 from .matching import COLUMN_PAIRS, TABLE_PAIRS, match_renames, within_budget
 
 #: Weights and thresholds of the scores.
@@ -95,8 +96,8 @@ def column_changes(left: DataFrame, right: DataFrame) -> DataFrame:
         change("collation", r("collation"), l("collation"), F.lit("medium"), ~l("collation").eqNullSafe(r("collation"))),
         change("generated", r("generated"), l("generated"), F.lit("medium"), ~l("generated").eqNullSafe(r("generated"))),
         change("primaryKey", r("is_primary_key"), l("is_primary_key"), F.lit("high"), l("is_primary_key") != r("is_primary_key")),
-        change("unique", listed(r("unique")), listed(l("unique")), F.lit("medium"), recorded("unique") & (F.size(l("unique")) != F.size(r("unique")))),
-        change("foreignKey", listed(r("foreign")), listed(l("foreign")), F.lit("medium"), recorded("foreign") & (F.size(l("foreign")) != F.size(r("foreign")))),
+        change("unique", listed(r("unique")), listed(l("unique")), F.lit("medium"), recorded("unique") & ((F.size(l("unique")) > 0) != (F.size(r("unique")) > 0))),
+        change("foreignKey", listed(r("foreign")), listed(l("foreign")), F.lit("medium"), recorded("foreign") & ((F.size(l("foreign")) > 0) != (F.size(r("foreign")) > 0))),
     )
     status = F.when(r("column").isNull(), "onlyA").when(l("column").isNull(), "onlyB").otherwise("matched")
     kept = F.when(status == "matched", F.filter(changes, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<kind:string,before:string,after:string,severity:string>>"))
@@ -117,10 +118,10 @@ def foreign_signature(schema: Column, own: Column, table: Column, columns: Colum
 def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
     """tables, candidates, columns (changes of matched and renamed tables) and summary (one row)."""
     status, candidates = matched_tables(left, right)
-    status = status.cache()  # one row a table
+    status = materialize(status, "compared-tables")  # one row a table
     pairs = status.filter("right_table is not null and left_table is not null")
-    renamed = right.join(F.broadcast(pairs.select(F.col("right_table").alias("table"), "left_table")), "table").drop("table").withColumnRenamed("left_table", "table")
-    kept = left.join(F.broadcast(pairs.select(F.col("left_table").alias("table"))), "table")
+    renamed = right.join((pairs.select(F.col("right_table").alias("table"), "left_table")), "table").drop("table").withColumnRenamed("left_table", "table")
+    kept = left.join((pairs.select(F.col("left_table").alias("table"))), "table")
     columns = column_changes(kept, renamed.select(*kept.columns))
     differing = columns.filter((F.col("status") != "matched") | (F.size("changes") > 0))
     n = lambda s: F.count_if(F.col("status") == s)

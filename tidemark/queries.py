@@ -75,7 +75,7 @@ def table_checksum_sorted(spark, d):
 
 
 def manifest_fingerprint(spark, d):
-    return rowdiff.ordered_fingerprint(_t(spark, d, "nation"), F.col("n_nationkey"), F.col("n_name"))
+    return rowdiff.ordered_fingerprint(_t(spark, d, "nation"), F.col("n_nationkey"), F.col("n_name"), by_text=True)
 
 
 def data_compare_summary(spark, d):
