@@ -66,8 +66,8 @@ def match_renames(pairs: DataFrame, accept: float, suggest: float) -> tuple[Data
 
     pairs: left_id, right_id, score, allowed. A mutual best that is not allowed is blocked as a pair, not as
     items. Candidates are the mutual bests at `suggest` or more among what is left, blocked pairs included.
-    Pairs are within the budget (metadata), so they are scored once, cached, and the loop runs on the driver."""
-    pairs = pairs.select("left_id", "right_id", "score", "allowed").cache()
+    Pairs are within the budget (metadata), so they are scored and collected once, and the loop runs on the driver."""
+    pairs = pairs.select("left_id", "right_id", "score", "allowed")
     rows = {(r.left_id, r.right_id): (r.score, r.allowed) for r in pairs.collect()}
     accepted: list[tuple] = []
     blocked: set = set()

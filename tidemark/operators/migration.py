@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import LEVELS, level_rank
+from ..scratch import materialize
 from .schema_diff import compare
 
-#: The order in which kinds of statements run.
+#: The order in which statements run (what depends on something goes before it and comes after it).
 PHASES = (
-    "extensions", "collations", "types", "hoisted-routines", "view-drops", "renames", "table-creates", "routines", "column-adds", "column-alters", "column-drops", "constraint-drops",
-    "indexes", "foreign-keys", "triggers", "policies", "views", "privileges", "table-drops", "type-drops",
+    "extensions", "collations", "types", "view-drops", "renames", "table-creates", "sequences", "routines", "column-adds", "column-alters", "column-drops", "constraint-drops",
+    "index-drops", "trigger-drops", "policy-drops", "constraints", "indexes", "foreign-keys", "triggers", "policies", "views", "privileges", "routine-drops", "table-drops", "sequence-drops", "type-drops",
 )
 
 
@@ -37,10 +38,12 @@ def _rows(df: DataFrame, kind: str, name: str, severity: Column | str, destructi
     return df.select(phase(kind).alias("phase"), F.lit(0).alias("depth"), F.lit(name).alias("kind"), F.col("table"), obj.alias("object"), severity.alias("severity"), F.lit(destructive).alias("destructive"), sql.alias("sql"))
 
 
-def statements(left: DataFrame, right: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """The statements that turn right into left. order: node, depth (of graph.topological_depth) for tables that need others first."""
-    found = compare(left, right)
-    tables, diffs = found["tables"], found["columns"]
+def statements(left: DataFrame, right: DataFrame, order: DataFrame | None = None, rename_columns: bool = True) -> DataFrame:
+    """The statements that turn right into left. order: node, depth (of graph.topological_depth) for tables that need others first.
+
+    The comparison is made once and read from a scratch table by every kind of statement."""
+    found = compare(left, right, rename_columns)
+    tables, diffs = found["tables"], materialize(found["columns"], "compared-columns")
     t = quoted(F.col("table"))
     created = left.join(tables.filter("status = 'onlyA'").select(F.col("left_table").alias("table")), "table").groupBy("table").agg(F.sort_array(F.collect_list(F.struct("ordinal", column_definition("").alias("d")))).alias("c"))
     create = _rows(created, "table-creates", "create-table", "low", False, F.concat(F.lit("CREATE TABLE "), t, F.lit(" ("), F.array_join(F.transform("c", lambda x: x["d"]), ", "), F.lit(")")), F.col("table"))
@@ -53,7 +56,7 @@ def statements(left: DataFrame, right: DataFrame, order: DataFrame | None = None
     add = _rows(added, "column-adds", "add-column", F.when(required, "high").otherwise("low"), False, F.concat(F.lit("ALTER TABLE "), t, F.lit(" ADD COLUMN "), column_definition("")), F.col("column"))
     gone = diffs.filter("status = 'onlyB'")
     remove = _rows(gone, "column-drops", "drop-column", "high", True, F.concat(F.lit("ALTER TABLE "), t, F.lit(" DROP COLUMN "), quoted(F.col("column"))), F.col("column"))
-    changed = diffs.filter("status = 'matched'").select("table", "column", F.explode("changes").alias("c")).filter("c.kind in ('type', 'size', 'nullability', 'default')")
+    changed = diffs.filter("status in ('matched', 'renamed')").select("table", "column", F.explode("changes").alias("c")).filter("c.kind in ('type', 'size', 'nullability', 'default')")
     head = F.concat(F.lit("ALTER TABLE "), t, F.lit(" ALTER COLUMN "), quoted(F.col("column")))
     clause = (
         F.when(F.col("c.kind").isin("type", "size"), F.concat(F.lit(" TYPE "), F.col("c.after")))
@@ -61,7 +64,9 @@ def statements(left: DataFrame, right: DataFrame, order: DataFrame | None = None
         .otherwise(F.coalesce(F.concat(F.lit(" SET DEFAULT "), F.col("c.after")), F.lit(" DROP DEFAULT")))
     )
     alter = _rows(changed, "column-alters", "alter-column", F.col("c.severity"), False, F.concat(head, clause), F.col("column"))
-    every = create.unionByName(rename).unionByName(drop).unionByName(add).unionByName(remove).unionByName(alter)
+    moved = diffs.filter("status = 'renamed'")
+    column = _rows(moved, "renames", "rename-column", "high", False, F.concat(F.lit("ALTER TABLE "), t, F.lit(" RENAME COLUMN "), quoted(F.col("renamed_from")), F.lit(" TO "), quoted(F.col("column"))), F.col("column"))
+    every = create.unionByName(column).unionByName(rename).unionByName(drop).unionByName(add).unionByName(remove).unionByName(alter)
     if order is None:
         return every
     # what is needed first is created first and dropped last
@@ -92,6 +97,11 @@ def rollback(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return statements(right, left), lossy
 
 
+def lossless(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: whether a rollback brings everything back (nothing on the way there destroys rows)."""
+    return rollback(left, right)[1].agg((F.count("*") == 0).alias("lossless"), F.count("*").alias("warnings"))
+
+
 def level(script: DataFrame) -> DataFrame:
     """One row: the loudest change level of the script (breaking, additive, patch; unknown if empty)."""
     one = F.when(F.col("destructive") | (F.col("severity") == "high"), "breaking").when(F.col("kind").isin("create-table", "add-column"), "additive").otherwise("patch")

@@ -99,6 +99,9 @@ def column_changes(left: DataFrame, right: DataFrame) -> DataFrame:
         change("unique", listed(r("unique")), listed(l("unique")), F.lit("medium"), recorded("unique") & ((F.size(l("unique")) > 0) != (F.size(r("unique")) > 0))),
         change("foreignKey", listed(r("foreign")), listed(l("foreign")), F.lit("medium"), recorded("foreign") & ((F.size(l("foreign")) > 0) != (F.size(r("foreign")) > 0))),
     )
+    for kind, severity in (("computed", "high"), ("sequenceOptions", "low")):  # only where both sides recorded them
+        if kind in left.columns and kind in right.columns:
+            changes = F.concat(changes, F.array(change(kind, r(kind), l(kind), F.lit(severity), l(kind).isNotNull() & r(kind).isNotNull() & (l(kind) != r(kind)))))
     status = F.when(r("column").isNull(), "onlyA").when(l("column").isNull(), "onlyB").otherwise("matched")
     kept = F.when(status == "matched", F.filter(changes, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<kind:string,before:string,after:string,severity:string>>"))
     return both.select("table", "column", status.alias("status"), kept.alias("changes"))
@@ -115,14 +118,37 @@ def foreign_signature(schema: Column, own: Column, table: Column, columns: Colum
     return F.concat_ws("->", F.array_join(columns, ","), place, table, F.array_join(referenced, ","))
 
 
-def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
-    """tables, candidates, columns (changes of matched and renamed tables) and summary (one row)."""
+def renamed_columns(left: DataFrame, right: DataFrame, differing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, candidates) as (table, column, renamed_from, score): columns that only one side of a table has, matched by the same rule as tables, within a table."""
+    a, b = with_position(left), with_position(right)
+    pick = lambda df, s: df.join(differing.filter(F.col("status") == s).select("table", "column"), ["table", "column"], "left_semi")
+    l, r = pick(a, "onlyA").select("table", F.struct("*").alias("l")), pick(b, "onlyB").select("table", F.struct("*").alias("r"))
+    none = left.sparkSession.createDataFrame([], "table string, column string, renamed_from string, score double")
+    sizes = l.groupBy("table").agg(F.count("*").alias("n")).join(r.groupBy("table").agg(F.count("*").alias("m")), "table").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("pairs"))
+    if not 0 < sizes.first().pairs <= COLUMN_PAIRS:
+        return none, none
+    name = lambda s: F.to_json(F.array("table", f"{s}.column"))
+    pairs = l.join(r, "table").select(name("l").alias("left_id"), name("r").alias("right_id"), column_score("l", "r").alias("score"), rename_allowed(F.col("l.column"), F.col("r.column")).alias("allowed"))
+    item = lambda c, i: F.from_json(c, "array<string>")[i]
+    back = lambda df: df.select(item("left_id", 0).alias("table"), item("left_id", 1).alias("column"), item("right_id", 1).alias("renamed_from"), "score")
+    found, candidates = match_renames(pairs, COLUMN_ACCEPT, COLUMN_SUGGEST)
+    return back(found), back(candidates)
+
+
+def compare(left: DataFrame, right: DataFrame, rename_columns: bool = True) -> dict[str, DataFrame]:
+    """tables, candidates, columns (changes of matched and renamed tables; renamed_from where a column was renamed) and summary (one row)."""
     status, candidates = matched_tables(left, right)
     status = materialize(status, "compared-tables")  # one row a table
     pairs = status.filter("right_table is not null and left_table is not null")
     renamed = right.join((pairs.select(F.col("right_table").alias("table"), "left_table")), "table").drop("table").withColumnRenamed("left_table", "table")
     kept = left.join((pairs.select(F.col("left_table").alias("table"))), "table")
-    columns = column_changes(kept, renamed.select(*kept.columns))
+    renamed = renamed.select(*kept.columns)
+    columns = column_changes(kept, renamed).withColumn("renamed_from", F.lit(None).cast("string"))
+    if rename_columns:
+        moved, _ = renamed_columns(kept, renamed, materialize(columns.filter("status <> 'matched'"), "compared-one-sided"))
+        old = renamed.join(moved.select("table", F.col("renamed_from").alias("column"), F.col("column").alias("_new")), ["table", "column"], "left")
+        again = column_changes(kept, old.withColumn("column", F.coalesce("_new", "column")).select(*kept.columns))
+        columns = again.join(moved.select("table", "column", "renamed_from"), ["table", "column"], "left").withColumn("status", F.when(F.col("renamed_from").isNotNull(), "renamed").otherwise(F.col("status")))
     differing = columns.filter((F.col("status") != "matched") | (F.size("changes") > 0))
     n = lambda s: F.count_if(F.col("status") == s)
     summary = status.agg((n("matched") + n("renamed")).alias("matched"), n("renamed").alias("renamed"), n("onlyA").alias("only_a"), n("onlyB").alias("only_b")).join(

@@ -473,16 +473,16 @@ def schema_column_changes(spark, d):
 
 def drift_fingerprint(spark, d):
     a, b = _snapshots(spark, d)
-    found = schema_diff.compare(a, b)
+    found = schema_diff.compare(a, b, rename_columns=False)
     return migration.drift_fingerprint(migration.difference_lines(found["tables"], found["columns"].filter("status <> 'matched'")))
 
 
 def migration_script(spark, d):
-    return migration.statements(*_snapshots(spark, d)).filter("kind in ('add-column', 'drop-column')").select("phase", "kind", "table", "object", "severity", "destructive", "sql")
+    return migration.statements(*_snapshots(spark, d), rename_columns=False).filter("kind in ('add-column', 'drop-column')").select("phase", "kind", "table", "object", "severity", "destructive", "sql")
 
 
 def structural_level(spark, d):
-    found = schema_diff.compare(*_snapshots(spark, d))
+    found = schema_diff.compare(*_snapshots(spark, d), rename_columns=False)
     return migration.structural_level(found["tables"], found["columns"])
 
 
