@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .more_queries import MORE
+
 _SIDES = """
     a AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders),
     raw_b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 103 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 101 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 0
@@ -156,3 +158,4 @@ ORACLES = {
         UNION ALL SELECT 10, 'drop-column', t, c, 'high', TRUE, 'ALTER TABLE "' || t || '" DROP COLUMN "' || c || '"' FROM r WHERE (t, c) NOT IN (SELECT (t, c) FROM l)""",
     "structural_level": f"WITH {_SNAPSHOTS} SELECT CASE WHEN count(*) FILTER (c LIKE '%_new') > 0 THEN 'breaking' ELSE 'patch' END AS level FROM r",
 }
+ORACLES |= {name: sql for name, (_, sql) in MORE.items() if sql}
