@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -18,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
+
 
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers look for this package where the driver has it; on a cluster where it is installed or shipped as a py-file that changes nothing."""
@@ -27,25 +25,8 @@ def let_workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, here)))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir. Only in local mode, where driver and executor are one process, a temporary folder may stand in for it; it is removed at exit."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        root = _own[app]
-    return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
-
-
-_own: dict[str, str] = {}  # by application, in local mode without the setting
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch.root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -61,16 +42,7 @@ def superseded(table: DataFrame) -> None:
         remove(table.sparkSession, path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application: to be called once its results are written."""
-    remove(spark, scratch_root(spark))
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor doesn't take it along."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+materialize, forget = scratch.materialize, scratch.forget
 
 
 def remainder(doc_id: str | Column = "doc_id") -> Column:
