@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import gzip
 import hashlib
 
@@ -51,3 +52,13 @@ def test_broken_archives_are_noticed():
 def test_empty_table(spark, tmp_path):
     warc.write(pages(spark).filter(F.lit(False)), str(tmp_path / "w"))
     assert warc.read(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_payloads_beyond_one_step_of_the_reader(spark, monkeypatch):
+    """Payloads that don't compress, longer than what is inflated at once, over archives of two records."""
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randrange(33, 0x3000)) for _ in range(n)) for n in (200_000, 70_000, 65_536, 1)] + ["x" * 3_000_000]
+    monkeypatch.setattr(warc, "ARCHIVE", 2)
+    df = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(df).collect()}
+    assert got == {i: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}

@@ -118,6 +118,9 @@ def read_record(data: bytes, strict: bool = True) -> dict | None:
     return {"page_id": number(head["warc-record-id"]), "url": head["warc-target-uri"], "payload": payload if kind == "response" else None, "payload_bytes": whole, "payload_digest": digest, "record_type": kind, "refers_to": number(head.get("warc-refers-to", "")), "verified": good}
 
 
+ARCHIVE = 5000  # records of an archive file: one task reads a file as a whole
+
+
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", level: int = LEVEL) -> None:
     """A record for each row, in one archive file for each partition."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -142,7 +145,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     made = joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(records, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY).option("maxRecordsPerFile", ARCHIVE).text(path)
 
 
 _READ = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("verified", T.BooleanType())])
