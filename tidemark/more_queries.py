@@ -5,6 +5,7 @@ customers and suppliers for objects that depend on them."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from . import scratch
 from .functions import sqltext
 from .functions import versions as V
 from .operators import activity, history, ledger, migration, object_diff, rollups, rowdiff, schema_diff, series
-from .plans import findings
+from .plans import advice, findings, steps
 from .sources import catalog, export
 from .streaming import changes
 
@@ -463,3 +464,108 @@ def bumped_versions(spark, d):
     k = F.col("p_partkey")
     version = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit("."), (k % 5).cast("string"))
     return _t(spark, d, "part").select("p_partkey", V.bumped(version, F.when(k % 3 == 0, "breaking").when(k % 3 == 1, "additive").otherwise("patch")).alias("bumped"))
+
+
+# plans of a database, as JSON, and advice on schemas: one case for each rule
+
+
+def _node(kind: str, rows: float = 1, cost: float = 10.0, *kids: dict, **more) -> dict:
+    return {"Node Type": kind, "Plan Rows": rows, "Total Cost": cost, **{k.replace("_", " "): v for k, v in more.items()}, **({"Plans": list(kids)} if kids else {})}
+
+
+PLANS = {
+    "scan": _node("Seq Scan", 100, 900.0, Relation_Name="big", Filter="(a = 1)"),
+    "waste": _node("Seq Scan", 100, 90.0, Relation_Name="mid", Filter="(a = 1)", Actual_Rows=100, Actual_Loops=1, Actual_Total_Time=4.0, Rows_Removed_by_Filter=50_000),
+    "estimate": _node("Index Scan", 10, 9.0, Relation_Name="mid", Actual_Rows=1000, Actual_Loops=1, Actual_Total_Time=2.0),
+    "sort": _node("Sort", 10, 50.0, _node("Index Scan", 10, 9.0, Relation_Name="mid"), Sort_Space_Type="Disk"),
+    "loop": _node("Nested Loop", 10, 5000.0, _node("Index Scan", 100, 9.0, Relation_Name="mid"), _node("Seq Scan", 1_000_000, 40.0, Relation_Name="big")),
+    "bitmap": _node("Bitmap Heap Scan", 10, 9.0, Relation_Name="mid", Lossy_Heap_Blocks=5),
+    "fetch": _node("Index Only Scan", 10, 9.0, Relation_Name="big", Heap_Fetches=20_000),
+    "join": _node("Hash Join", 1000, 2000.0, _node("Seq Scan", 1_000_000, 900.0, Relation_Name="big"), _node("Hash", 100, 9.0)),
+    "write": _node("ModifyTable", 1, 10.0, _node("Index Scan", 1, 9.0, Relation_Name="mid")),
+}
+
+
+def _plan_steps(spark) -> DataFrame:
+    texts = _values(spark, [(k, json.dumps([{"Plan": p}])) for k, p in PLANS.items()], "plan_id string, plan string")
+    return scratch.materialize(steps.weighed(steps.flattened(texts)), "plan-steps")
+
+
+def _plan_sizes(spark) -> DataFrame:
+    return _values(spark, [("big", 1_000_000.0), ("mid", 5_000.0)], "relation string, rows double")
+
+
+@query(_sql_values([("scan", 1, "seq-scan", "high"), ("waste", 1, "wasteful-filter", "medium"), ("estimate", 1, "estimate-off", "medium"), ("sort", 1, "sort-on-disk", "medium"), ("loop", 3, "nested-loop", "high"), ("bitmap", 1, "lossy-bitmap", "low"), ("fetch", 1, "heap-fetches", "low"), ("join", 1, "join-key", "medium")], "plan_id, step_id, finding, severity"))
+def plan_findings(spark, d):
+    return findings.plan_findings(_plan_steps(spark), _plan_sizes(spark))
+
+
+@query(_sql_values([
+    ("scan", 1, None, 0, 900.0, True), ("waste", 1, None, 0, 90.0, True), ("estimate", 1, None, 0, 9.0, True), ("sort", 1, None, 0, 41.0, True), ("sort", 2, 1, 1, 9.0, False), ("loop", 1, None, 0, 991.0, False), ("loop", 2, 1, 1, 9.0, False), ("loop", 3, 1, 1, 4000.0, True),
+    ("bitmap", 1, None, 0, 9.0, True), ("fetch", 1, None, 0, 9.0, True), ("join", 1, None, 0, 1091.0, True), ("join", 2, 1, 1, 900.0, False), ("join", 3, 1, 1, 9.0, False), ("write", 1, None, 0, 1.0, False), ("write", 2, 1, 1, 9.0, True),
+], "plan_id, step_id, parent_id, depth, self_cost, heaviest").replace("SELECT *", "SELECT * REPLACE (CAST(self_cost AS DOUBLE) AS self_cost)"))
+def plan_steps(spark, d):
+    return _plan_steps(spark).select("plan_id", "step_id", "parent_id", "depth", "self_cost", "heaviest")
+
+
+@query(_sql_values([(k, k != "write") for k in PLANS], "plan_id, reads_only"))
+def plan_reads_only(spark, d):
+    return findings.reads_only(_plan_steps(spark))
+
+
+@query(_sql_values([("scan", 63, "fair"), ("waste", 95, "good"), ("estimate", 80, "fair"), ("sort", 85, "good"), ("loop", 68, "fair"), ("bitmap", 98, "good"), ("fetch", 98, "good"), ("join", 84, "fair"), ("write", 100, "good")], "plan_id, score, band"))
+def plan_scores(spark, d):
+    found = _plan_steps(spark)
+    return steps.scored(found, findings.plan_findings(found, _plan_sizes(spark)), _plan_sizes(spark))
+
+
+def _schema(spark) -> tuple[DataFrame, ...]:
+    tables = _values(spark, [("t", False, False, 20_000_000), ("u", True, False, 5), ("w", True, False, 50_000_000)], "table string, has_primary_key boolean, partitioned boolean, rows long")
+    columns = _values(spark, [("t", "at", "timestamp without time zone", None, False), ("t", "flag", "boolean", None, False), ("t", "code", "character(3)", None, False), ("u", "id", "text", "nextval('x')", True)], "table string, column string, type string, default string, in_primary_key boolean")
+    index = lambda t, name, columns, **k: (t, name, columns, False, k.get("valid", True), k.get("partitioned", False), 1, k.get("scans", 5), 40, None)
+    rows = [index("t", "i1", ["a"], scans=0), index("t", "i2", ["a"]), index("t", "i3", ["a", "b"]), index("t", "i4", ["flag"]), index("w", "broken", ["z"], valid=False), index("w", "half", ["z"], valid=False, partitioned=True)]
+    rows += [index("u", f"m{k}", [f"c{k}"]) for k in range(7)]
+    indexes = _values(spark, rows, "table string, index string, columns array<string>, is_unique boolean, valid boolean, partitioned boolean, size long, scans long, stats_days int, supports string")
+    keys = _values(spark, [("t", "f1", ["z"]), ("t", "f2", ["b", "a"])], "table string, name string, columns array<string>")
+    stats = _values(spark, [("t", 100_000, 50, 5_000_000, 1, 100_000, 50_000, None, 10, 90_000)], "table string, rows long, seq_scans long, seq_rows long, index_scans long, live long, dead long, last_analyzed timestamp, hits long, reads long")
+    return tables, columns, indexes, keys, stats
+
+
+_STRUCTURAL = [
+    ("no-primary-key", "high", "t", "t"), ("foreign-key-not-indexed", "high", "t", "f1"), ("duplicate-index", "medium", "t", "i2"), ("redundant-index", "low", "t", "i1"), ("redundant-index", "low", "t", "i2"), ("boolean-index", "low", "t", "i4"), ("many-indexes", "medium", "u", "u"),
+    ("timestamp-without-timezone", "medium", "t", "at"), ("blank-padded-char", "low", "t", "code"), ("serial-not-identity", "low", "u", "id"), ("text-primary-key", "low", "u", "id"),
+]
+_STATISTICAL = [("sequential-scan-heavy", "high", "t", "t"), ("dead-tuples", "medium", "t", "t"), ("never-analyzed", "medium", "t", "t"), ("low-cache-hit", "medium", "t", "t"), ("unused-index", "medium", "t", "i1"), ("invalid-index", "high", "w", "broken"), ("unfinished-partitioned-index", "medium", "w", "half")]
+_PARTITIONING = [("partition-by-date", "medium", "t", "at"), ("partitioning-candidate", "medium", "w", "w")]
+_ADVICE = 'advice, severity, "table", subject'
+
+
+def _advice(spark) -> DataFrame:
+    tables, columns, indexes, keys, stats = _schema(spark)
+    return advice.structural(tables, columns, indexes, keys).unionByName(advice.statistical(stats, indexes)).unionByName(advice.partitioning(tables, columns))
+
+
+@query(_sql_values(_STRUCTURAL + _STATISTICAL + _PARTITIONING, _ADVICE))
+def schema_advice(spark, d):
+    return _advice(spark)
+
+
+@query(_sql_values([x for x in _STRUCTURAL + _STATISTICAL + _PARTITIONING if x not in (("redundant-index", "low", "t", "i2"), ("unused-index", "medium", "t", "i1"))], _ADVICE))
+def advice_without_repeats(spark, d):
+    return advice.without_repeats(_advice(spark))
+
+
+@query(_sql_values([("f1", True), ("t", False)], "subject, attached"))
+def advice_with_wanted_indexes(spark, d):
+    tables, columns, indexes, keys, _ = _schema(spark)
+    wanted = _values(spark, [("t", ["z", "y"], None)], "table string, equality array<string>, range string")
+    return advice.with_wanted_indexes(advice.structural(tables, columns, indexes, keys), wanted, keys).filter("severity = 'high'").select("subject", "attached")
+
+
+@query("""WITH q AS (SELECT user_id AS f, event_type AS t, 'c' || (CAST(json_extract_string(props, '$.k') AS INT) % 3) AS e FROM events) SELECT t AS "table", e AS equality, count(DISTINCT f) AS queries FROM q WHERE NOT (t = 'click' AND e = 'c1') GROUP BY 1, 2 HAVING count(DISTINCT f) >= 2 OR count(*) >= 3""")
+def composite_indexes(spark, d):
+    e = _t(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    searches = F.array(F.struct(F.col("event_type").alias("table"), F.array(F.concat(F.lit("c"), (F.col("k") % 3).cast("string"))).alias("equality"), F.lit(None).cast("string").alias("range")))
+    patterns = rollups.search_patterns(e.select(F.col("user_id").alias("fingerprint"), searches.alias("searched_columns")))
+    found = rollups.composite_advice(patterns, _values(spark, [("click", ["c1", "x"])], "table string, columns array<string>"), most=1000)
+    return found.select("table", F.array_join("equality", ",").alias("equality"), "queries")
