@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from tidemark import queries
-from tidemark.operators import activity, graph, history, ledger, matching, rollups, rowdiff, schema_diff, sets
+from tidemark.operators import activity, graph, history, ledger, matching, quantiles, rollups, rowdiff, schema_diff, sets
 from tidemark.sources import catalog, export
 
 COLUMNS = catalog.COLUMNS
@@ -212,3 +213,13 @@ def test_manifests_in_key_order_and_keys_as_text(spark):
     assert first(rowdiff.ordered_fingerprint(df, F.col("id"), F.col("v"), by_text=True)) == hashlib.md5(b"10:b,9:a").hexdigest()
     assert [r.id for r in rowdiff.matching_rows(df, ["id"], [["9"], ["11"]]).collect()] == [9]
     assert rowdiff.one_sided_counts({"t": df}, "source").first().row_count == 2
+
+
+def test_exact_percentiles_equal_the_plain_ones(spark):
+    rng = random.Random(2)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.choice([7, 7, 7, rng.randrange(1000)])) + (0.5 if g == "b" else 0)) for g in ("a", "b", None) for _ in range(700)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()]).collect()}
+    got = {r.g: tuple(r)[1:] for r in quantiles.exact_percentiles(df, F.col("g"), "g", F.col("v"), shares).collect()}
+    assert set(want) - set(got) == {"none"} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))
