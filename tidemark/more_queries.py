@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .functions import sqltext
 from .functions import versions as V
-from .operators import activity, history, ledger, migration, object_diff, rollups, rowdiff, schema_diff, series
+from .operators import activity, graph, history, ledger, migration, object_diff, rollups, rowdiff, schema_diff, series, sets
 from .plans import advice, findings, steps
 from .sources import catalog, export
 from .streaming import changes
@@ -569,3 +569,54 @@ def composite_indexes(spark, d):
     patterns = rollups.search_patterns(e.select(F.col("user_id").alias("fingerprint"), searches.alias("searched_columns")))
     found = rollups.composite_advice(patterns, _values(spark, [("click", ["c1", "x"])], "table string, columns array<string>"), most=1000)
     return found.select("table", F.array_join("equality", ",").alias("equality"), "queries")
+
+
+# whole snapshots, and whole tables where an older query of the catalogue shows a part
+
+
+@query("""SELECT n_name AS "table" FROM nation WHERE n_nationkey % 3 <> 2""")
+def base_tables(spark, d):
+    k = F.col("n_nationkey")
+    relations = _t(spark, d, "nation").select(F.col("n_name").alias("table"), F.when(k % 3 == 0, "r").when(k % 3 == 1, "p").otherwise("v").alias("kind"))
+    return catalog.base_tables(relations.unionByName(_values(spark, [("script_patch", "r"), ("script_patch_reverted", "p")], "table string, kind string")))
+
+
+@query("""SELECT 5 AS format_version, 'app' AS schema, count(DISTINCT r_name)::INT AS tables, (SELECT count(*)::INT FROM supplier) AS views, (SELECT count(*)::INT FROM customer) AS indexes, NULL::INT AS routines FROM region JOIN nation ON n_regionkey = r_regionkey""")
+def whole_snapshot(spark, d):
+    none = F.lit(None).cast("string")
+    columns = _attributes(spark, d).select("table", "column", F.col("number").cast("int").alias("ordinal"), F.lit("int").alias("type"))
+    view = _t(spark, d, "supplier").select(F.lit("view").alias("kind"), F.col("s_name").alias("key"), none.alias("table"), F.lit("SELECT 1").alias("definition"))
+    index = _t(spark, d, "customer").select(F.lit("index").alias("kind"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("table"), F.lit("x").alias("definition"))
+    own = _values(spark, [("index", "own", "script_patch", "x")], "kind string, key string, table string, definition string")
+    found = catalog.snapshot("app", columns, view.unionByName(index).unionByName(own), {"view": "views", "index": "indexes", "routine": "routines"}, ("routine",))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).alias(c)
+    return found.select("format_version", "schema", size("tables"), size("views"), size("indexes"), size("routines"))
+
+
+@query("SELECT event_type, count(*) AS calls, sum(user_id)::BIGINT AS total_users FROM events GROUP BY 1 UNION ALL SELECT 'never', 0, 0")
+def usage_padded(spark, d):
+    events = _t(spark, d, "events")
+    rollup = rollups.feature_rollup(events, "event_type", {}, {"total_users": "user_id"}, "value").select("event_type", "calls", "total_users")
+    return rollups.padded(rollup, events.select("event_type").distinct().unionByName(_values(spark, [("never",)], "event_type string")), "event_type", ["calls", "total_users"])
+
+
+@query("WITH s AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-04', INTERVAL 1 DAY))::DATE AS day) SELECT s.day, count(ts) AS n FROM s LEFT JOIN events ON ts::DATE = s.day GROUP BY 1")
+def calendar_days(spark, d):
+    return series.calendar(_t(spark, d, "events"), "ts", "2024-02-04", 35)
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS p, 'n' || n_nationkey AS c FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+    w AS (SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT e.c, w.depth + 1 FROM w JOIN e ON e.p = w.node) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""")
+def reachable_customers(spark, d):
+    n, c, r = _t(spark, d, "nation"), _t(spark, d, "customer"), _t(spark, d, "region")
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    edges = n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).unionByName(c.select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child")))
+    return graph.closure(edges, r.select(name("r", "r_regionkey").alias("node")))
+
+
+@query("""WITH w AS (SELECT DISTINCT user_id, ts >= TIMESTAMP '2024-01-02' AS later FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-03')
+    SELECT user_id, CASE WHEN bool_and(later) THEN 'appeared' ELSE 'resolved' END AS status FROM w GROUP BY 1 HAVING count(*) = 1""")
+def daily_users(spark, d):
+    e, at = _t(spark, d, "events"), lambda day: F.lit(f"2024-01-{day:02d}").cast("timestamp_ntz")
+    days = lambda a, b: e.filter((F.col("ts") >= at(a)) & (F.col("ts") < at(b)))
+    return sets.appeared_resolved(days(1, 2), days(2, 3), ["user_id"])

@@ -118,6 +118,8 @@ def similarity_best(spark, d):
 def rename_matching(spark, d):
     n = _t(spark, d, "nation")
     a, b = n.select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name")), n.filter("n_nationkey % 4 <> 0").select((F.col("n_nationkey") + 100).alias("id"), F.lower(F.concat("n_name", F.lit("s"))).alias("name"))
+    if not matching.within_budget(a, b):
+        return spark.createDataFrame([], "left_id int, right_id int, score double, kind string")
     pairs = matching.scored_pairs(a, b).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score", X.rename_allowed(F.col("l.name"), F.col("r.name")).alias("allowed"))
     found, candidates = matching.match_renames(pairs, 70, 55)
     return found.withColumn("kind", F.lit("renamed")).unionByName(candidates.withColumn("kind", F.lit("candidate")))

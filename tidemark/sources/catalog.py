@@ -12,6 +12,15 @@ COLUMNS = "table string, column string, ordinal int, type string, nullable boole
 SYSTEM = r"^(pg_|information_schema$)"
 
 
+#: Kinds of relations that are tables; tables in which this sort of tool keeps its own books.
+TABLE_KINDS, OWN_TABLES = ("r", "p"), ("script_patch", "script_patch_reverted")
+
+
+def base_tables(classes: DataFrame) -> DataFrame:
+    """Names of ordinary and partitioned tables (from table, kind), without the tool's own, in order."""
+    return classes.filter(F.col("kind").isin(*TABLE_KINDS) & ~F.col("table").isin(*OWN_TABLES)).select("table").distinct().orderBy("table")
+
+
 def list_schemas(schemata: DataFrame, managed: list[str] | None = None) -> DataFrame:
     """Names of schemas that are neither the system's nor managed ones, in order."""
     return schemata.filter(~F.col("schema").rlike(SYSTEM) & ~F.col("schema").isin(managed or [])).select("schema").distinct().orderBy("schema")
@@ -109,6 +118,18 @@ def recorded(snapshot: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return snapshot.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).isNotNull().alias("recorded")) for k, c in kinds.items()])).alias("r")).select("r.*")
 
 
+def snapshot(schema: str, columns: DataFrame, objects: DataFrame, kinds: dict[str, str], not_recorded: tuple[str, ...] = ()) -> DataFrame:
+    """One nested row of everything: format, schema, tables with their columns, and an array (key, table, definition) for each
+    kind of object; the arrays of kinds that weren't recorded are null. The tool's own tables, and what stands on them, are left out.
+
+    columns: the flat columns table. objects: kind, key, table, definition. kinds: object kind -> array column. Snapshots are metadata: one row holds one."""
+    mine = lambda df: df.filter(F.col("table").isNull() | ~F.col("table").isin(*OWN_TABLES))
+    held = mine(objects)
+    arrays = held.agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "table", "definition")))).alias(c) for k, c in kinds.items()])
+    missing = {kinds[k]: F.lit(None).cast("array<struct<key:string,table:string,definition:string>>") for k in not_recorded}
+    return nested(mine(columns), schema).join(arrays.withColumns(missing) if missing else arrays)
+
+
 def inheritance(edges: DataFrame) -> DataFrame:
     """Each child with its parents in their order (from child, parent, position)."""
     return edges.groupBy("child").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "parent"))), lambda x: x["parent"]).alias("inherits"))
