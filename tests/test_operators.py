@@ -218,8 +218,9 @@ def test_manifests_in_key_order_and_keys_as_text(spark):
 def test_exact_percentiles_equal_the_plain_ones(spark):
     rng = random.Random(2)
     rows = [(g, None if rng.random() < 0.1 else float(rng.choice([7, 7, 7, rng.randrange(1000)])) + (0.5 if g == "b" else 0)) for g in ("a", "b", None) for _ in range(700)] + [("one", 3.0), ("none", None)]
+    rows += [(f"n{n}", rng.random()) for n in range(2, 30) for _ in range(n)]
     df = spark.createDataFrame(rows, "g string, v double")
-    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    shares = {"p0": 0.0, "p3": 0.03, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()]).collect()}
     got = {r.g: tuple(r)[1:] for r in quantiles.exact_percentiles(df, F.col("g"), "g", F.col("v"), shares).collect()}
     assert set(want) - set(got) == {"none"} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))

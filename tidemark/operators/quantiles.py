@@ -7,32 +7,41 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 
-BUCKETS = 256  # ranges of values of a group; only those that hold a wanted position are put in order
+MARGIN, ACCURACY = 0.002, 10_000  # share of a group on either side of a wanted position; of the approximate percentiles, whose error (1 / ACCURACY) is far smaller
 
 
 def exact_percentiles(df: DataFrame, by: Column, name: str, value: Column, shares: dict[str, float]) -> DataFrame:
     """name (the group, by), and for each share its exact percentile of the values that aren't null, interpolated as SQL's percentile_cont.
 
-    Approximate percentiles cut each group into ranges; their counts say which range holds each wanted position. Values
-    of those ranges are counted (copies combine before the shuffle) and run through in order. A null group is a group."""
+    Approximate percentiles a little below and above each wanted position bracket it. One aggregate counts what lies below the
+    bracket and finds the bracket's neighbours, another counts the values inside it (copies combine before the shuffle), which
+    alone are put in order. A null group is a group."""
     known = df.select(F.struct(by.alias("key")).alias("g"), value.cast("double").alias("v")).filter("v is not null")
-    cuts = known.groupBy("g").agg(F.percentile_approx("v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), 10_000).alias("cuts"))
-    # a value's range: the number of cuts below it, so equal values share one
-    placed = known.join(materialize(cuts, "quantile-cuts"), "g").select("g", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b"))
-    ranges = materialize(placed.groupBy("g", "b").agg(F.count("*").alias("n")), "quantile-ranges")
-    group = Window.partitionBy("g")
-    starts = ranges.withColumn("start", F.sum("n").over(group.orderBy("b")) - F.col("n")).withColumn("total", F.sum("n").over(group))
-    at = lambda s: F.lit(s) * (F.col("total") - 1)
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(side).alias("side"), f(at(s)).cast("long").alias("place"), at(s).alias("at")) for n, s in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))])
-    places = starts.select("g", "b", "n", "start", F.explode(wanted).alias("w")).filter("w.place >= start and w.place < start + n")
-    places = materialize(places.select("g", "b", (F.col("w.place") - F.col("start")).alias("place"), "w.name", "w.side", "w.at", F.col("w.place").alias("whole")), "quantile-places")
-    values = placed.join(places.select("g", "b").distinct(), ["g", "b"], "left_semi").groupBy("g", "b", "v").agg(F.count("*").alias("m"))
-    values = values.withColumn("end", F.sum("m").over(Window.partitionBy("g", "b").orderBy("v")))
-    found = values.join(places, ["g", "b"]).filter("place >= end - m and place < end")
-    pick = lambda n, side, c: F.max(F.when((F.col("name") == n) & (F.col("side") == side), F.col(c)))
-    low, high = (lambda n: pick(n, "low", "v")), (lambda n: pick(n, "high", "v"))
-    between = lambda n: low(n) + (pick(n, "low", "at") - pick(n, "low", "whole")) * (high(n) - low(n))
-    return found.groupBy("g").agg(*[between(n).alias(n) for n in shares]).select(F.col("g.key").alias(name), *shares)
+    asked = [x for s in shares.values() for x in (max(0.0, s - MARGIN), min(1.0, s + MARGIN))]
+    cuts = materialize(known.groupBy("g").agg(F.percentile_approx("v", F.array(*map(F.lit, asked)), ACCURACY).alias("cuts")), "quantile-cuts")
+    placed = known.join(cuts, "g")
+    low, high = (lambda i: F.col("cuts")[2 * i]), (lambda i: F.col("cuts")[2 * i + 1])
+    beside = [c for i in range(len(shares)) for c in (
+        F.count_if(F.col("v") < low(i)).alias(f"below{i}"), F.count_if(F.col("v") <= high(i)).alias(f"upto{i}"),
+        F.max(F.when(F.col("v") < low(i), F.col("v"))).alias(f"before{i}"), F.min(F.when(F.col("v") > high(i), F.col("v"))).alias(f"after{i}"),
+    )]
+    groups = materialize(placed.groupBy("g").agg(F.count("*").alias("n"), *beside), "quantile-groups")
+    inside = F.filter(F.array(*[F.when((F.col("v") >= low(i)) & (F.col("v") <= high(i)), F.lit(i)) for i in range(len(shares))]), lambda x: x.isNotNull())
+    counted = placed.select("g", "v", F.explode(inside).alias("i")).groupBy("g", "i", "v").agg(F.count("*").alias("m"))
+    ends = counted.withColumn("end", F.sum("m").over(Window.partitionBy("g", "i").orderBy("v")))
+    found = ends.join(groups, "g")
+    columns = []
+    for i, s in enumerate(shares.values()):
+        at = F.lit(s) * (F.col("n") - 1)
+        for side, place in (("low", F.floor(at).cast("long")), ("high", F.ceil(at).cast("long"))):
+            end = F.col(f"below{i}") + F.col("end")
+            here = F.max(F.when((F.col("i") == i) & (place >= end - F.col("m")) & (place < end), F.col("v")))
+            # the bracket's neighbours stand for a position right beside it, which only small groups have
+            outside = F.max(F.when(place < F.col(f"below{i}"), F.col(f"before{i}")).when(place >= F.col(f"upto{i}"), F.col(f"after{i}")))
+            columns.append(F.coalesce(here, outside).alias(f"{side}{i}"))
+        columns.append(F.max(at - F.floor(at)).alias(f"part{i}"))
+    picked = found.groupBy("g").agg(*columns)
+    return picked.select(F.col("g.key").alias(name), *[(F.col(f"low{i}") + F.col(f"part{i}") * (F.col(f"high{i}") - F.col(f"low{i}"))).alias(n) for i, n in enumerate(shares)])
 
 
 def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
