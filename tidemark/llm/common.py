@@ -75,8 +75,10 @@ def hash_sample(df: DataFrame, by: str, n: int, total: int, salt: str) -> DataFr
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have about `most` bytes, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    """The batch in runs of rows whose texts (or lists) have about `most` bytes, one row at least."""
+    column = batch.column(batch.schema.get_field_index(text))
+    length = pc.multiply(pc.list_value_length(column), 8) if pa.types.is_list(column.type) else pc.binary_length(column)
+    ends = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows or not batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
