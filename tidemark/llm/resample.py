@@ -36,6 +36,10 @@ SEED = 7
 SCALE = 1000  # gains and scores are integers in thousandths
 RANGE = 1_000_000  # rows that one task ranks
 PART = 1 << 20
+BLOCK = 1 << 20  # bytes of texts in a block of the matrix, or one text
+GROUP = 8 << 20  # bytes of a row group of the matrix
+
+_CSR = ("n_words", "ends", "columns", "counts")
 
 #: Everything but digits, letters and bytes beyond ASCII becomes a space; A-Z become a-z.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -70,20 +74,31 @@ def buckets_of(text: bytes, buckets: int = BUCKETS) -> tuple[int, np.ndarray, np
 
 
 def count_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row a block: ids, n_words, ends (of each document's entries), columns, counts. Written."""
+    """One row a block: ids, n_words, ends (of each document's entries), columns, counts; all but the ids as packed integers of 32 bits. Written in small row groups, for readers hold a group."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in common.slices(whole, "text")):
+        for batch in (part for whole in batches for part in common.slices(whole, "text", BLOCK)):
             if batch.num_rows:
                 found = [buckets_of(t or b"", buckets) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
                 ids = batch.column(0)
-                lists = [np.array([f[0] for f in found], np.int64), np.cumsum([len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
-                arrays = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)] + [pa.array([x], pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["ids", "n_words", "ends", "columns", "counts"])
+                lists = [np.array([f[0] for f in found]), np.cumsum([len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)] + [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["ids", *_CSR])
+
+    made = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"ids array<{kind}>, " + ", ".join(f"{c} binary" for c in _CSR))
+    path = common.scratch_path(docs.sparkSession, "resample-matrix")
+    made.write.option("parquet.block.size", GROUP).option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _array(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """The integers of a batch's first block."""
+    return np.frombuffer(batch.column(column)[0].as_buffer(), "<i4")
+
 
-    made = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"ids array<{kind}>, n_words array<long>, ends array<int>, columns array<int>, counts array<long>")
-    return common.materialize(made, "resample-matrix")
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -91,9 +106,8 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            at, n = (batch.column(c).flatten().to_numpy() for c in ("columns", "counts"))
-            total += np.bincount(at, n, minlength=buckets).astype(np.int64)
+        for row in _rows(batches):
+            total += np.bincount(_array(row, "columns"), _array(row, "counts"), minlength=buckets).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -114,13 +128,11 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     kind = matrix.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            ids, words, ends, at, n = (row.column(c).flatten() for c in ("ids", "n_words", "ends", "columns", "counts"))
-            ends, n = np.append(0, ends.to_numpy()), n.to_numpy()
-            inner = np.append(0, np.cumsum(gain[at.to_numpy()] * n))
-            features = np.append(0, np.cumsum(n))
+        for row in _rows(batches):
+            words, ends, at, n = (_array(row, c) for c in _CSR)
+            ends, inner, features = np.append(0, ends), np.append(0, np.cumsum(gain[at] * n)), np.append(0, np.cumsum(n, dtype=np.int64))
             product, features = inner[ends[1:]] - inner[ends[:-1]], features[ends[1:]] - features[ends[:-1]]
-            yield pa.RecordBatch.from_arrays([ids, words, pa.array(features), pa.array(product // np.maximum(features, 1))], names=["doc_id", "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.array(words.astype(np.int64)), pa.array(features), pa.array(product // np.maximum(features, 1))], names=["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.mapInArrow(run, f"doc_id {kind}, n_words long, n_features long, weight long")
 
@@ -139,7 +151,7 @@ def ranked(rows: DataFrame, order: list, span: int = RANGE) -> DataFrame:
     laid = common.materialize(dealt.drop("_place").withColumn("_at", F.monotonically_increasing_id()), "resample-order")
     sizes = sorted((r["range"], r["count"]) for r in laid.groupBy(F.shiftright("_at", 33).alias("range")).count().collect())  # one row a range
     before = np.append(0, np.cumsum([n for _, n in sizes])).tolist()
-    starts = rows.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(sizes, before, strict=False)], "_range long, _before long")
+    starts = rows.sparkSession.createDataFrame(pa.table({"_range": pa.array([r for r, _ in sizes], pa.int64()), "_before": pa.array(before[:-1], pa.int64())}))
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return laid.withColumn("_range", F.shiftright("_at", 33)).join(starts, "_range").withColumn("rank", F.col("_before") + within + 1).drop("_at", "_range", "_before")
 
