@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+from . import prefix
+
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in `order`; Spark keeps n a key in each task before the shuffle."""
@@ -50,10 +53,10 @@ def over_window(df: DataFrame, key: str, order: Column, value: str) -> DataFrame
     return df.groupBy(key).agg(F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"), F.count("*").alias("samples")).withColumn("change", F.col("last_value") - F.col("first_value"))
 
 
-def below_high_water(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """With high_water, the running maximum before each row, and forward: whether the row goes beyond it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("high_water", F.max(value).over(w)).withColumn("forward", F.col("high_water").isNull() | (F.col(value) > F.col("high_water")))
+def below_high_water(df: DataFrame, key: str, order: Sequence[str], value: str, rows: int = prefix.ROWS) -> DataFrame:
+    """With high_water, the running maximum before each row, and forward: whether the row goes beyond it. Keys over `rows` rows run in pieces."""
+    out = prefix.max_before(prefix.pieced(df, [key], order, rows), [key], order, value, "high_water").drop("_piece")
+    return out.withColumn("forward", F.col("high_water").isNull() | (F.col(value) > F.col("high_water")))
 
 
 def until_first_violation(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -67,10 +70,9 @@ def previous_event(df: DataFrame, key: str, order: Sequence[str], value: str) ->
     return df.withColumn("previous", F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Filtered as-of: the last value that isn't null before this row, among rows of the same keys (null-safe)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("last_known", F.last(value, ignorenulls=True).over(w))
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rows: int = prefix.ROWS) -> DataFrame:
+    """Filtered as-of: the last value that isn't null before this row, among rows of the same keys (null-safe). Keys over `rows` rows run in pieces."""
+    return prefix.last_before(prefix.pieced(df, keys, order, rows), keys, order, value, "last_known").drop("_piece")
 
 
 def later_than(df: DataFrame, key: str, order: Sequence[str], most: int | None = None) -> DataFrame:
@@ -107,16 +109,21 @@ def alerts(df: DataFrame, key: str, order: Sequence[str], status: str, fingerpri
     return df.withColumn("previous_status", before).withColumn("alert", alert)
 
 
-def recorded_outcomes(df: DataFrame, key: str, order: Sequence[str], status: str, fingerprint: str) -> DataFrame:
+def recorded_outcomes(df: DataFrame, key: str, order: Sequence[str], status: str, fingerprint: str, rows: int = prefix.ROWS) -> DataFrame:
     """Events that are written to the log: a key's first, a new status, or a fingerprint other than the last one recorded with this status.
 
-    An event without a fingerprint has nothing to compare but its status; a log row without one is followed by the next that has one."""
-    w = Window.partitionBy(key).orderBy(*order)
-    new = ~F.lag(status).over(w).eqNullSafe(F.col(status)) | (F.row_number().over(w) == 1)
-    runs = df.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w))
-    known = F.last(fingerprint, ignorenulls=True).over(Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    other = F.col(fingerprint).isNotNull() & ~known.eqNullSafe(F.col(fingerprint))
-    return runs.withColumn("_other", other).filter(F.col("_new") | F.col("_other")).drop("_new", "_run", "_other")
+    An event without a fingerprint has nothing to compare but its status; a log row without one is followed by the next that has one.
+    Keys over `rows` rows run in pieces."""
+    cut = prefix.pieced(df, [key], order, rows)
+    keep = (lambda t: materialize(t, "history")) if "_piece" in cut.columns else (lambda t: t)  # pieces are read twice
+    before = keep(prefix.row_before(cut, [key], order, status, "_before"))
+    new = before.withColumn("_new", F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col(status))).withColumn("_one", F.col("_new").cast("int"))
+    runs = keep(prefix.sum_through(new, [key], order, "_one", "_run"))
+    # the last fingerprint counts while its run goes on
+    seen = runs.withColumn("_seen", F.when(F.col(fingerprint).isNotNull(), F.struct(F.col("_run").alias("run"), F.col(fingerprint).alias("f"))))
+    known = prefix.last_before(seen, [key], order, "_seen", "_known").withColumn("_known", F.when(F.col("_known.run") == F.col("_run"), F.col("_known.f")))
+    other = F.col(fingerprint).isNotNull() & ~F.col("_known").eqNullSafe(F.col(fingerprint))
+    return known.filter(F.col("_new") | other).select(*df.columns)
 
 
 def incremental(df: DataFrame, seen: DataFrame, id_column: str, baseline: int, highest: int, lookback: int = 100, most: int = 200) -> DataFrame:

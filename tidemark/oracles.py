@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import wide_queries
 from .more_queries import MORE
 
 _SIDES = """
@@ -158,4 +159,4 @@ ORACLES = {
         UNION ALL SELECT 10, 'drop-column', t, c, 'high', TRUE, 'ALTER TABLE "' || t || '" DROP COLUMN "' || c || '"' FROM r WHERE (t, c) NOT IN (SELECT (t, c) FROM l)""",
     "structural_level": f"WITH {_SNAPSHOTS} SELECT CASE WHEN count(*) FILTER (c LIKE '%_new') > 0 THEN 'breaking' ELSE 'patch' END AS level FROM r",
 }
-ORACLES |= {name: sql for name, (_, sql) in MORE.items() if sql}
+ORACLES |= {name: sql for name, (_, sql) in MORE.items() if sql} | {"rowdiff_tree": wide_queries._tree_sql()}

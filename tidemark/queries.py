@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import versions as V
+from . import wide_queries
 from .more_queries import MORE
 from .operators import activity, graph, history, ledger, matching, migration, rollups, rowdiff, schema_diff, series, sets
 
@@ -500,4 +501,4 @@ QUERIES = {
         role_permissions, either_side, order_preference, loudest_level, type_changes, cadence_normalized, schema_column_changes, drift_fingerprint, migration_script, structural_level,
     )
 }
-QUERIES |= {name: run for name, (run, _) in MORE.items()}
+QUERIES |= {name: run for name, (run, _) in MORE.items()} | {"rowdiff_tree": wide_queries.rowdiff_tree}
