@@ -32,7 +32,7 @@ def test_safe_mode_and_levels(spark):
     uses = spark.createDataFrame([("v", "tag")], "object string, depends_on string")
     assert {(r.sql.split()[0], r.why) for r in migration.held_back(script, uses).collect()} == {("ALTER", "destructive"), ("DROP", "destructive"), ("ALTER", "still used")}
     assert migration.safe(script, uses).count() == 2
-    assert migration.level(script).first().level == "breaking" and migration.level(script.limit(0)).first().level == "unknown"
+    assert migration.level(script).first().level == "breaking" and migration.level(script.limit(0)).first().level == "patch"
     back, lossy = migration.rollback(a, b)
     assert lossy.count() == 2 and back.filter("kind = 'create-table'").count() == 1
     report = schema_diff.compare(a, b)

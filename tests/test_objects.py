@@ -76,3 +76,34 @@ def test_computed_columns_and_sequence_options(spark):
     kinds = [c.kind for r in schema_diff.column_changes(with_("a + 1", "INCREMENT BY 1"), with_("a + 2", "INCREMENT BY 5")).collect() for c in r.changes]
     assert sorted(kinds) == ["computed"] * 2 + ["sequenceOptions"] * 2
     assert not [c for r in schema_diff.column_changes(with_("a", None).withColumn("computed", F.lit(None).cast("string")), with_("b", "x")).collect() for c in r.changes]
+
+
+def test_grades_and_safe_mode_of_object_scripts(spark):
+    """Dropping a view, a type or a unique index breaks, and safe mode keeps what something that stays still uses."""
+    left = objects(spark, [("INDEX", "t", "i", "CREATE INDEX i ON t (a)", None, False)])
+    right = objects(spark, [("VIEW", None, "v", "SELECT 1"), ("VIEW", None, "w", "SELECT * FROM v"), ("TYPE", None, "mood", "ENUM ('a')"), ("INDEX", "t", "i", "CREATE INDEX i ON t (b)", None, False)])
+    script = object_diff.object_statements(object_diff.compared(left, right))
+    level = lambda s: migration.level(s).first().level
+    assert level(script) == "breaking" and level(script.filter("kind = 'drop-type'")) == "breaking"
+    assert level(script.filter("object = 'i'")) == "additive" and level(script.filter("kind = 'drop-index'")) == "patch" and level(script.limit(0)) == "patch"
+    unique = object_diff.object_statements(object_diff.compared(left.limit(0), objects(spark, [("INDEX", "t", "u", "CREATE UNIQUE INDEX u ON t (a)", None, True)])))
+    assert level(unique) == "breaking"
+    rows = object_diff.object_statements(object_diff.compared(left.limit(0), objects(spark, [("MATERIALIZED VIEW", None, "m", "SELECT 1")])))
+    assert level(rows) == "patch" and migration.level(rows, allow_data_loss=True).first().level == "breaking" and not migration.script_lossless(rows).first().lossless
+    note = object_diff.object_statements(object_diff.compared(objects(spark, [("COLLATION", None, "c", "(locale = 'de')")]), objects(spark, [("COLLATION", None, "c", "(locale = 'fr')")])))
+    assert [r.kind for r in note.collect()] == ["manual"] and level(note) == "patch"
+    held = lambda pairs: {(r.object, r.why) for r in migration.held_back(script, spark.createDataFrame(pairs, "object string, depends_on string")).collect()}
+    assert held([("w", "v")]) == set()  # w goes as well
+    assert held([("w", "v"), ("x", "w")]) == {("v", "still used"), ("w", "still used")}  # x stays, so w stays, so v stays
+    assert held([("a", "mood")]) == {("mood", "still used")}
+    assert {r.object for r in migration.safe(script, spark.createDataFrame([("a", "mood")], "object string, depends_on string")).collect()} == {"v", "w", "i"}
+
+
+def test_one_script_in_dependency_order(spark):
+    left, right = columns(spark, [("t", "id", "int"), ("t", "note", "text")]), columns(spark, [("t", "id", "int")])
+    views = [("VIEW", None, "a_top", "SELECT * FROM z_base"), ("VIEW", None, "z_base", "SELECT 1")]
+    uses = spark.createDataFrame([("a_top", "z_base")], "object string, depends_on string")
+    made = [r.object for r in migration.in_order(object_diff.script(left, right, objects(spark, views), objects(spark, []), uses)).collect()]
+    assert made == ["note", "z_base", "a_top"]
+    gone = [r.object for r in migration.in_order(object_diff.script(right, left, objects(spark, []), objects(spark, views), uses)).collect()]
+    assert gone == ["a_top", "z_base", "note"]

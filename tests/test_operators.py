@@ -224,3 +224,14 @@ def test_exact_percentiles_equal_the_plain_ones(spark):
     want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()]).collect()}
     got = {r.g: tuple(r)[1:] for r in quantiles.exact_percentiles(df, F.col("g"), "g", F.col("v"), shares).collect()}
     assert set(want) - set(got) == {"none"} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))
+
+
+def test_ledger_sides_meet_on_versions(spark):
+    from tidemark.operators import ledger
+
+    registry = spark.createDataFrame([("f", v) for v in ("1.2.0", "1.3", "v1.10", "2.0.0", "2.0", "notes")], "family string, version string")
+    applied = spark.createDataFrame([("f", v) for v in ("v1.2", "1.9", "release-2", "1.3.0")], "family string, version string")
+    got = {r.version: r.status for r in ledger.ledger_status(registry, applied, "family", "version").collect()}
+    assert got == {"1.2.0": "applied", "1.3": "applied", "1.9": "unregistered", "v1.10": "pending", "2.0": "pending", "release-2": "unregistered", "notes": "skipped"}
+    heads = ledger.highest(spark.createDataFrame([("f", "1.2"), ("f", "v1.2.0"), ("f", "1.1")], "script_name string, version string"))
+    assert heads.first()["head"] == "v1.2.0"

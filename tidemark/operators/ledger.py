@@ -17,8 +17,8 @@ def ledger_diff(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def highest(df: DataFrame, family: str = "script_name", version: str = "version") -> DataFrame:
-    """The head of each family: its highest version in version order."""
-    return df.filter(V.parts(F.col(version)).isNotNull()).groupBy(family).agg(F.max_by(version, V.sort_key(F.col(version))).alias("head"))
+    """The head of each family: its highest version in version order; of several spellings the last in text order."""
+    return df.filter(V.parts(F.col(version)).isNotNull()).groupBy(family).agg(F.max_by(version, F.struct(V.sort_key(F.col(version)), F.col(version))).alias("head"))
 
 
 def family_heads(left: DataFrame, right: DataFrame, family: str = "script_name") -> DataFrame:
@@ -50,13 +50,22 @@ def _order(version: str | Column) -> Column:
     return V.sort_key((F.col(version) if isinstance(version, str) else version).cast("string"))
 
 
+def _key(version: str) -> Column:
+    """What two spellings of a version share; a name that is no version stands for itself and equals no version."""
+    text = F.col(version).cast("string")
+    return F.when(V.parts(text).isNull(), F.concat(F.lit("name:"), text)).otherwise(V.key_text(text))
+
+
 def ledger_status(registry: DataFrame, applied: DataFrame, family: str, version: str) -> DataFrame:
-    """Registry against applied ledger: applied, pending (above the family's highest applied), skipped (below it), or unknown to the registry."""
-    top = applied.groupBy(family).agg(F.max(_order(version)).alias("top"))
-    side = lambda df, name: df.select(family, version, F.lit(True).alias(name)).distinct()
-    both = side(registry, "r").join(side(applied, "p"), [family, version], "full_outer").join(top, family, "left")
+    """Registry against applied ledger: applied, pending (above the family's highest applied), skipped (below it), or unknown to the registry.
+
+    Sides meet on the version, not on its spelling (v1.2 is 1.2.0); a row shows the registry's spelling, the first in text order.
+    Applied names that are no versions don't count as the highest."""
+    top = applied.filter(V.parts(F.col(version).cast("string")).isNotNull()).groupBy(family).agg(F.max(_order(version)).alias("top"))
+    side = lambda df, name: df.groupBy(family, _key(version).alias("_key")).agg(F.min(version).alias(name))
+    both = side(registry, "r").join(side(applied, "p"), [family, "_key"], "full_outer").join(top, family, "left").withColumn(version, F.coalesce("r", "p"))
     pending = F.col("top").isNull() | (_order(version) > F.col("top"))
-    status = F.when(F.col("r").isNull(), "unregistered").when(F.col("p"), "applied").when(pending, "pending").otherwise("skipped")
+    status = F.when(F.col("r").isNull(), "unregistered").when(F.col("p").isNotNull(), "applied").when(pending, "pending").otherwise("skipped")
     return both.select(family, version, status.alias("status"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import LEVELS, level_rank
 from ..scratch import materialize
+from .graph import closure
 from .schema_diff import compare
 
 #: The order in which statements run (what depends on something goes before it and comes after it).
@@ -78,34 +79,62 @@ def in_order(script: DataFrame) -> DataFrame:
     return script.orderBy("phase", "depth", "table", "object", "sql")
 
 
+def breaks(severity: str = "severity") -> Column:
+    """Whether a severity breaks: columns say high, objects say breaking."""
+    return F.col(severity).isin("high", "breaking")
+
+
 def held_back(script: DataFrame, uses: DataFrame) -> DataFrame:
-    """Safe mode: what isn't run, with why: destructive statements, and those on a table or column that something still uses (object, depends_on)."""
-    risky = script.filter(F.col("destructive") | (F.col("severity") == "high"))
-    used = uses.select(F.col("depends_on").alias("table")).distinct()
-    return risky.filter("destructive").withColumn("why", F.lit("destructive")).unionByName(risky.filter("not destructive").join(used, "table", "left_semi").select(*risky.columns).withColumn("why", F.lit("still used")))
+    """Safe mode: what isn't run, with why: destructive statements, and breaking ones on what something that stays still uses.
+
+    uses: object, depends_on. What stays is every user that the script doesn't drop, and what its held-back drops leave;
+    what those use, directly or through others, is still used."""
+    script = materialize(script, "script")
+    drops = script.filter(F.col("kind").startswith("drop-") & (F.col("kind") != "drop-column"))
+    gone = drops.filter("not destructive").select(F.col("object").alias("node"))
+    edges = uses.select(F.col("object").alias("parent"), F.col("depends_on").alias("child"))
+    # an object that is dropped goes only if nothing that stays uses it, so it is no start of its own
+    stays = edges.select(F.col("parent").alias("node")).distinct().join(gone, "node", "left_anti")
+    used = closure(edges, stays).join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_semi").select("node")
+    risky = script.filter(breaks() & ~F.col("destructive"))
+    # a constraint, index or trigger is dropped as itself; other statements are on their table
+    target = F.when(F.col("kind").startswith("drop-"), F.col("object")).otherwise(F.coalesce("table", "object"))
+    held = risky.withColumn("_target", target).join(used, F.col("_target") == used.node, "left_semi").drop("_target")
+    return script.filter("destructive").withColumn("why", F.lit("destructive")).unionByName(held.withColumn("why", F.lit("still used")))
 
 
 def safe(script: DataFrame, uses: DataFrame) -> DataFrame:
     """The statements that safe mode runs."""
-    held = held_back(script, uses).select("sql")
-    return script.join(held, "sql", "left_anti").select(*script.columns)
+    script = materialize(script, "script")
+    return script.join(held_back(script, uses).select("sql"), "sql", "left_anti").select(*script.columns)
+
+
+def losses(script: DataFrame) -> DataFrame:
+    """table, object, warning: what a script destroys and no script brings back."""
+    return script.filter("destructive").select("table", "object", F.concat(F.lit("rows of "), F.col("kind"), F.lit(" are gone")).alias("warning"))
 
 
 def rollback(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(statements back to right, warnings: what the way there destroys and no script brings back)."""
-    lossy = statements(left, right).filter("destructive").select("table", "object", F.concat(F.lit("rows of "), F.col("kind"), F.lit(" are gone")).alias("warning"))
-    return statements(right, left), lossy
+    return statements(right, left), losses(statements(left, right))
 
 
 def lossless(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: whether a rollback brings everything back (nothing on the way there destroys rows)."""
-    return rollback(left, right)[1].agg((F.count("*") == 0).alias("lossless"), F.count("*").alias("warnings"))
+    return script_lossless(statements(left, right))
+
+
+def script_lossless(script: DataFrame) -> DataFrame:
+    return losses(script).agg((F.count("*") == 0).alias("lossless"), F.count("*").alias("warnings"))
+
 
+def level(script: DataFrame, allow_data_loss: bool = False) -> DataFrame:
+    """One row: the change level of what runs: breaking, additive (something is made) or patch, as for an empty script.
 
-def level(script: DataFrame) -> DataFrame:
-    """One row: the loudest change level of the script (breaking, additive, patch; unknown if empty)."""
-    one = F.when(F.col("destructive") | (F.col("severity") == "high"), "breaking").when(F.col("kind").isin("create-table", "add-column"), "additive").otherwise("patch")
-    return script.agg(F.element_at(F.array(*map(F.lit, LEVELS)), F.coalesce(F.max(level_rank(one)), F.lit(0)) + 1).alias("level"))
+    Manual notes run nothing; destructive statements run only where data loss is allowed."""
+    runs = (F.col("kind") != "manual") & (F.lit(allow_data_loss) | ~F.col("destructive"))
+    one = F.when(breaks(), "breaking").when(F.col("kind").startswith("create-") | F.col("kind").startswith("add-"), "additive").otherwise("patch")
+    return script.agg(F.element_at(F.array(*map(F.lit, LEVELS)), F.coalesce(F.max(F.when(runs, level_rank(one))), F.lit(1)) + 1).alias("level"))
 
 
 def structural_level(tables: DataFrame, columns: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
-from .migration import PHASES, quoted
+from ..scratch import materialize
+from .graph import topological_depth
+from .migration import PHASES, quoted, statements
 
 OBJECTS = "kind string, table string, name string, definition string, signature string, is_unique boolean, grants array<string>"
 #: Kinds of constraints; those whose loss breaks and that are matched by what they cover; kinds whose change breaks.
@@ -118,42 +120,61 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.unionByName(matched_constraints(left, right).withColumns({"left_grants": none, "right_grants": none, "manual": F.lit(False)}).select(*out.columns))
 
 
-def _filled(template: str, name: Column, definition: Column) -> Column:
-    text = F.lit(template)
+def _filled(template: Column, name: Column, definition: Column) -> Column:
+    text = template
     for mark, value in (("{table}", quoted(F.coalesce(F.col("table"), F.lit("")))), ("{name}", quoted(name)), ("{definition}", F.coalesce(definition, F.lit("")))):
         text = F.replace(text, F.lit(mark), value)
     return text
 
 
-def object_statements(diff: DataFrame) -> DataFrame:
-    """Statements (phase, depth, kind, table, object, severity, destructive, sql) for compared(): in the same form as migration.statements()."""
-    def rows(df: DataFrame, phase: str, name: str, sql: Column, obj: str = "name", destructive: bool = False) -> DataFrame:
-        return df.select(F.lit(PHASES.index(phase)).alias("phase"), F.lit(0).alias("depth"), F.lit(name).alias("kind"), "table", F.col(obj).alias("object"), "severity", F.lit(destructive).alias("destructive"), sql.alias("sql"))
-
-    out = []
+def _making(diff: DataFrame) -> DataFrame:
+    """MAKING as rows, one a kind."""
+    rows = []
     for kind, (made, create, gone, drop, change) in MAKING.items():
-        of = diff.filter(F.col("kind") == kind)
         noun = "constraint" if kind in CONSTRAINTS else kind.lower().replace(" ", "-")
         verb = "add" if kind in CONSTRAINTS else "alter" if kind == "ROW SECURITY" else "create"
-        again = change == "again"
-        out.append(rows(of.filter(F.col("status").isin("onlyA", *["changed"] * (change in ("again", "replace")))), made, f"{verb}-{noun}", _filled(create, F.col("name"), F.col("left_definition"))))
-        out.append(rows(of.filter(F.col("status").isin("onlyB", *["changed"] * again)), gone, f"drop-{noun}", _filled(drop, F.col("right_name"), F.col("right_definition")), "right_name", kind == "MATERIALIZED VIEW"))
-        if kind in ALTERED:
-            out.append(rows(of.filter("status = 'changed' and not manual"), made, f"alter-{noun}", _filled(ALTERED[kind], F.col("name"), F.col("left_definition"))))
-        if kind in CONSTRAINTS:
-            out.append(rows(of.filter("status = 'renamed'"), "renames", "rename-constraint", F.concat(F.lit("ALTER TABLE "), quoted(F.col("table")), F.lit(" RENAME CONSTRAINT "), quoted(F.col("right_name")), F.lit(" TO "), quoted(F.col("name")))))
-    by_hand = F.concat(F.lit("-- MANUAL: change "), F.lower("kind"), F.lit(" "), quoted(F.col("name")), F.lit(" to "), F.coalesce("left_definition", F.lit("")))
-    out.append(rows(diff.filter("manual"), "types", "manual", by_hand))
+        rows.append((kind, PHASES.index(made), f"{verb}-{noun}", create, PHASES.index(gone), f"drop-{noun}", drop, change, f"alter-{noun}", ALTERED.get(kind), kind == "MATERIALIZED VIEW"))
+    return diff.sparkSession.createDataFrame(rows, "kind string, made int, create_kind string, create string, gone int, drop_kind string, drop string, change string, alter_kind string, alter string, rows boolean")
+
+
+def object_statements(diff: DataFrame) -> DataFrame:
+    """Statements (phase, depth, kind, table, object, severity, destructive, sql) for compared(): in the same form as migration.statements().
+
+    Each object makes an array of statements, which becomes rows: the comparison is planned and read once, however many kinds there are."""
+    of = diff.join(F.broadcast(_making(diff)), "kind", "left")  # as many rows as there are kinds
+    is_ = lambda *s: F.col("status").isin(*s)
+    phase = lambda name: F.lit(PHASES.index(name))
+    one = lambda when, at, kind, obj, sql, destructive=None: F.when(when, F.struct(at.alias("phase"), kind.alias("kind"), obj.alias("object"), F.coalesce(destructive if destructive is not None else F.lit(False), F.lit(False)).alias("destructive"), sql.alias("sql")))
+    name, old = F.col("name"), F.col("right_name")
+    again, constraint = F.col("change") == "again", F.col("kind").isin(*CONSTRAINTS)
+    rename = F.concat(F.lit("ALTER TABLE "), quoted(F.col("table")), F.lit(" RENAME CONSTRAINT "), quoted(old), F.lit(" TO "), quoted(name))
+    by_hand = F.concat(F.lit("-- MANUAL: change "), F.lower("kind"), F.lit(" "), quoted(name), F.lit(" to "), F.coalesce("left_definition", F.lit("")))
+    single = F.array(
+        one(is_("onlyA") | (is_("changed") & F.col("change").isin("again", "replace")), F.col("made"), F.col("create_kind"), name, _filled(F.col("create"), name, F.col("left_definition"))),
+        one(is_("onlyB") | (is_("changed") & again), F.col("gone"), F.col("drop_kind"), old, _filled(F.col("drop"), old, F.col("right_definition")), F.col("rows")),
+        one(is_("changed") & ~F.col("manual") & F.col("alter").isNotNull(), F.col("made"), F.col("alter_kind"), name, _filled(F.col("alter"), name, F.col("left_definition"))),
+        one(is_("renamed") & constraint, phase("renames"), F.lit("rename-constraint"), name, rename),
+        one(F.col("manual"), phase("types"), F.lit("manual"), name, by_hand),
+    )
     empty = F.array().cast("array<string>")
-    held, wanted = F.coalesce("right_grants", empty), F.coalesce("left_grants", empty)
-    for name, some, word, to in (("grant", F.array_except(wanted, held), "GRANT ", " TO "), ("revoke", F.array_except(held, wanted), "REVOKE ", " FROM ")):
-        each = diff.filter("kind = 'PRIVILEGES'").withColumn("g", F.explode(some)).withColumn("name", F.coalesce("name", "right_name"))
-        part = lambda n: F.split_part(F.col("g"), F.lit(":"), F.lit(n))
-        out.append(rows(each, "privileges", name, F.concat(F.lit(word), part(2), F.lit(" ON "), quoted(F.col("name")), F.lit(to), quoted(part(1)))))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    held, wanted, on = F.coalesce("right_grants", empty), F.coalesce("left_grants", empty), F.coalesce(name, old)
+    part = lambda g, n: F.split_part(g, F.lit(":"), F.lit(n))
+    given = lambda kind, some, word, to: F.transform(
+        F.when(F.col("kind") == "PRIVILEGES", some).otherwise(empty), lambda g: F.struct(phase("privileges").alias("phase"), F.lit(kind).alias("kind"), on.alias("object"), F.lit(False).alias("destructive"), F.concat(F.lit(word), part(g, 2), F.lit(" ON "), quoted(on), F.lit(to), quoted(part(g, 1))).alias("sql"))
+    )
+    every = F.concat(F.filter(F.when(F.col("made").isNotNull(), single).otherwise(F.slice(single, 5, 1)), lambda x: x.isNotNull()), given("grant", F.array_except(wanted, held), "GRANT ", " TO "), given("revoke", F.array_except(held, wanted), "REVOKE ", " FROM "))
+    return of.select("table", "severity", F.explode(every).alias("s")).select("s.phase", F.lit(0).alias("depth"), "s.kind", "table", "s.object", "severity", "s.destructive", "s.sql")
+
+
+def script(left: DataFrame, right: DataFrame, left_objects: DataFrame, right_objects: DataFrame, uses: DataFrame | None = None, rename_columns: bool = True) -> DataFrame:
+    """One script for tables, columns and objects. uses (object, depends_on): what is used is made first and dropped last within a phase."""
+    every = statements(left, right, None, rename_columns).unionByName(object_statements(materialize(compared(left_objects, right_objects), "compared-objects")))
+    if uses is None:
+        return every
+    edges = uses.select(F.col("object").alias("node"), F.col("depends_on").alias("needs")).distinct()
+    order = topological_depth(edges.select("node").unionByName(edges.select(F.col("needs").alias("node"))), edges)
+    ranked = every.join(order.select(F.col("node").alias("_name"), F.col("depth").alias("_d")), F.coalesce("object", "table") == F.col("_name"), "left")
+    return ranked.withColumn("depth", F.coalesce(F.when(F.col("kind").startswith("drop-"), -F.col("_d")).otherwise(F.col("_d")), F.lit(0))).select(*every.columns)
 
 
 def shown_first(findings: DataFrame, severity: str, position: str) -> DataFrame:

@@ -85,8 +85,9 @@ def version_tables(tables: DataFrame, names: list[str]) -> DataFrame:
 
 
 def version_rows(rows: DataFrame, most: int = 5000) -> DataFrame:
-    """The newest version rows, at most `most`, and no row twice."""
-    return rows.orderBy(F.desc("applied_at"), F.desc("version")).limit(most).select("version", "applied_at").distinct()
+    """The newest version rows, at most `most`, and no row twice, newest first."""
+    newest = [F.desc("applied_at"), F.desc("version")]
+    return rows.orderBy(*newest).limit(most).select("version", "applied_at").distinct().orderBy(*newest)
 
 
 def with_statistics(tables: DataFrame, io: DataFrame, analyzed: DataFrame) -> DataFrame:
