@@ -27,3 +27,21 @@ def test_recorded_on_change(spark, tmp_path):
 def test_repeats_within_the_delay(spark, tmp_path):
     stream = _events(spark, tmp_path, [[(1, "a", None), (2, "a", None)], [(2, "a", None), (3, "a", None)]])
     assert sorted(r.id for r in _drain(spark, changes.without_late_repeats(stream), tmp_path).collect()) == [1, 2, 3]
+
+
+def test_silent_keys_restarts_and_triggers(spark, tmp_path):
+    """Gaps are told once each, by the next event or by a timer; a restarted query goes on from its state; the cut into triggers doesn't matter."""
+    day = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    events = [("a", 1, day(0), "in_sync", "x"), ("b", 2, day(1), "drifted", "y"), ("a", 3, day(2), "in_sync", "x"), ("b", 4, day(12), "drifted", "z"), ("c", 5, day(13), "unreachable", None), ("a", 6, day(30), "drifted", "w"), ("c", 7, day(31), "in_sync", None), ("d", 8, day(60), "in_sync", "q")]
+    want = {(1, "nothing"), (2, "drifted"), (4, "changed"), (5, "unreachable"), (6, "drifted"), (7, "reachable"), (8, "nothing")}
+    gaps = {("a", day(8)), ("a", day(36)), ("b", day(7)), ("b", day(18)), ("c", day(19)), ("c", day(37))}
+    for cut in ([8], [3, 2, 3]):
+        top = tmp_path / f"cut{len(cut)}"
+        at = 0
+        for n in cut:  # one start of the query for each part: a restart each
+            spark.createDataFrame(events[at : at + n], KIND).coalesce(1).write.parquet(str(top / "in"), mode="append")
+            at += n
+            stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(str(top / "in"))
+            rows = _drain(spark, changes.recorded_on_change(stream, "6 hours"), top).collect()
+        assert {(r.id, r.alert) for r in rows if r.id} == want
+        assert {(r.key, r.ts) for r in rows if r.id is None} == gaps and sum(r.id is None for r in rows) == len(gaps)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-_OUT = "key string, id long, ts timestamp, status string, fingerprint string, alert string"
-_STATE = "status string, recorded string, known string"
+_OUT = "key string, id long, at long, status string, fingerprint string, alert string"
+_STATE = "status string, recorded string, known string, last long, told boolean"
 
 
 def alert_of(status: str, fingerprint: str | None, before: str | None, known: str | None) -> str:
@@ -26,26 +25,57 @@ def alert_of(status: str, fingerprint: str | None, before: str | None, known: st
     return "nothing"
 
 
-def recorded_on_change(events: DataFrame) -> DataFrame:
+def _recorder(silent: int | None) -> StatefulProcessor:
+    """A processor of one key's events; silent: milliseconds without an event after which a row says so. Made here, so that workers get it by value."""
+
+    class Recorder(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getValueState("held", _STATE)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            first, state = not self.held.exists(), self.held.get()
+            before, recorded, known, last, told = state if state else (None, None, None, None, False)
+            due = None if last is None or told else last // 1000 + (silent or 0)
+            for r in sorted(rows, key=lambda r: (r.at, r.id)):
+                if silent is not None and last is not None and not told and r.at - last > silent * 1000:
+                    yield Row(key=key[0], id=None, at=last + silent * 1000, status="silent", fingerprint=None, alert="silent")
+                if first or r.status != before or (r.fingerprint is not None and r.fingerprint != recorded):
+                    yield Row(key=key[0], id=r.id, at=r.at, status=r.status, fingerprint=r.fingerprint, alert=alert_of(r.status, r.fingerprint, before, known))
+                    recorded = r.fingerprint
+                before, known, first, last, told = r.status, known if r.fingerprint is None else r.fingerprint, False, r.at, False
+            self.held.update((before, recorded, known, last, told))
+            if silent is not None:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(last // 1000 + silent)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            before, recorded, known, last, told = self.held.get()
+            if not told:
+                self.held.update((before, recorded, known, last, True))
+                yield Row(key=key[0], id=None, at=last + silent * 1000, status="silent", fingerprint=None, alert="silent")
+
+        def close(self) -> None:
+            pass
+
+    return Recorder()
+
+
+def recorded_on_change(events: DataFrame, silent: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Events (key, id, ts, status, fingerprint) that go to the log, as operators.history.recorded_outcomes, with the alert each raises.
 
-    The state is three texts a key. Events of one trigger are taken in (ts, id) order."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, recorded, known = state.get if state.exists else (None, None, None)
-        first = not state.exists
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-            mine = None if pd.isna(r.fingerprint) else r.fingerprint
-            new = first or r.status != before
-            if new or (mine is not None and mine != recorded):
-                out.append((key[0], r.id, r.ts, r.status, mine, alert_of(r.status, mine, before, known)))
-                recorded = mine
-            before, known, first = r.status, known if mine is None else mine, False
-        state.update((before, recorded, known))
-        yield pd.DataFrame(out, columns=["key", "id", "ts", "status", "fingerprint", "alert"])
-
-    return events.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    With `silent` (an interval such as "6 hours") a row of status and alert "silent" and no id tells where a key had no event for longer:
+    as soon as the next event comes, or by a timer once the watermark (ts less `delay`) has passed; once for each gap.
+    The state is five values a key, in RocksDB. Events of one trigger are taken in (ts, id) order, so the result doesn't hang on how
+    events in time order are cut into triggers; a trigger's events of one key are held together (limit triggers by files or rows)."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = events if silent is None else events.withWatermark("ts", delay)
+    narrow = timed.select("key", "id", F.unix_micros("ts").alias("at"), "status", "fingerprint", *([] if silent is None else ["ts"]))
+    wait = None if silent is None else spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {silent})").first()[0]
+    made = narrow.groupBy("key").transformWithState(_recorder(wait), _OUT, "append", "none" if silent is None else "eventTime")
+    return made.select("key", "id", F.timestamp_micros("at").alias("ts"), "status", "fingerprint", "alert")
 
 
 def without_late_repeats(events: DataFrame, delay: str = "30 minutes") -> DataFrame:

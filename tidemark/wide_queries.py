@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
+from . import scratch
 from .more_queries import _t, query
 from .operators import history, rowtree, simjoin
+from .streaming import changes
 
 _WORDS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> ''))"
 
@@ -71,3 +75,26 @@ def forward_in_pieces(spark, d):
 def last_known_in_pieces(spark, d):
     e = _t(spark, d, "events").select("event_id", "ts", F.expr(_HOT).alias("k"), F.expr("if(event_id % 4 = 0, null, value)").alias("v"))
     return history.last_known(e, ["k"], ["ts", "event_id"], "v", rows=500).select("event_id", "k", "last_known")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'drifted' WHEN 'error' THEN 'unreachable' ELSE 'in_sync' END AS s, CASE WHEN event_id % 4 <> 0 THEN floor(value / 20) END AS m FROM events),
+    n AS (SELECT *, lag(s) OVER w AS ps, last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm, lead(ts) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(CASE WHEN ps IS DISTINCT FROM s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
+    k AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM r)
+    SELECT user_id, event_id, epoch_us(ts) AS at, CASE WHEN s = 'unreachable' AND ps IS DISTINCT FROM 'unreachable' THEN 'unreachable' WHEN s = 'drifted' AND ps = 'unreachable' THEN 'reachable' WHEN s = 'drifted' AND ps IS DISTINCT FROM 'drifted' THEN 'drifted' WHEN s = 'drifted' AND pm <> m THEN 'changed' WHEN s = 'in_sync' AND ps = 'drifted' THEN 'in_sync' WHEN s = 'in_sync' AND ps = 'unreachable' THEN 'reachable' ELSE 'nothing' END AS alert
+    FROM k WHERE ps IS DISTINCT FROM s OR (m IS NOT NULL AND known IS DISTINCT FROM m)
+    UNION ALL SELECT user_id, NULL, epoch_us(ts + INTERVAL 12 HOURS), 'silent' FROM n WHERE coalesce(next, (SELECT max(ts) - INTERVAL 10 MINUTES FROM e)) > ts + INTERVAL 12 HOURS""")
+def stream_recorded(spark, d):
+    """What the log gets of events that come in four parts, the query restarted for each, with a word where a user was silent for 12 hours."""
+    status = F.when(F.col("event_type") == "click", "drifted").when(F.col("event_type") == "error", "unreachable").otherwise("in_sync")
+    mark = F.when(F.col("event_id") % 4 != 0, F.floor(F.col("value") / 20).cast("string"))
+    events = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), mark.alias("fingerprint"))
+    top = f"{scratch.root(spark)}/stream-recorded-{os.urandom(6).hex()}"
+    cuts = events.select(F.unix_micros("ts").alias("at")).agg(F.percentile_approx("at", [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    part = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.unix_micros("ts"))) if cuts else F.lit(0)
+    for n in range(len(cuts) + 1):
+        events.filter(part == n).write.mode("append").parquet(f"{top}/in")
+        stream = changes.recorded_on_change(spark.readStream.schema(events.schema).parquet(f"{top}/in"), "12 hours")
+        changes.tick(stream, f"{top}/rows", f"{top}/checkpoint").awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{top}/rows")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), F.unix_micros("ts").alias("at"), "alert")
