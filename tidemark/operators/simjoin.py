@@ -34,58 +34,81 @@ def _folded(items: DataFrame, key: str, value: Column) -> DataFrame:
     return rows.select("id", "value", *_content("value")).groupBy("_c1", "_c2").agg(F.min("id").alias("id"), F.first("value").alias("value")).drop("_c1", "_c2")
 
 
-def _met(left: DataFrame, right: DataFrame, keys: list[str], extra: Column, same: bool, pairs: int) -> DataFrame:
-    """Distinct l_id, r_id of rows (id, the keys and more, prefixed l_ and r_) that share the keys and satisfy `extra`."""
-    a, b = (df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns if c not in keys}) for df, s in ((left, "l"), (right, "r")))
-    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    much = n(a, "nl").join(n(b, "nr"), keys).filter(F.col("nl").cast("double") * F.col("nr") > pairs)
+def _met(left: DataFrame, right: DataFrame, keys: list[str], extra: Column, pairs: int, may_be_hot: Column | None = None) -> DataFrame:
+    """Distinct l_id, r_id of rows (id, the keys and more, prefixed l_ and r_) that share the keys and satisfy `extra`.
+
+    may_be_hot: what rows of keys with over sqrt(pairs) rows surely satisfy, so that not all keys have to be counted."""
     side = int(pairs**0.5)
+    n = lambda df, name: (df if may_be_hot is None else df.filter(may_be_hot)).groupBy(*keys).agg(F.count("*").alias(name))
+    # two sides make too many pairs only if one of them has over sqrt(pairs) rows; the other may be small and not counted
+    much = n(left, "nl").join(n(right, "nr"), keys, "full_outer").fillna(side, ["nl", "nr"]).filter(F.col("nl").cast("double") * F.col("nr") > pairs)
     hot = materialize(much.select(*keys, F.ceil(F.col("nl") / side).alias("kl"), F.ceil(F.col("nr") / side).alias("kr")), "simjoin-hot")
+    a, b = (df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns if c not in keys}) for df, s in ((left, "l"), (right, "r")))
     one = lambda c: F.coalesce(c, F.lit(1))
     block = lambda i, k: F.pmod(F.xxhash64(f"{i}_id"), one(F.col(k)))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), one(F.col(k)) - 1))
     a = a.join(hot, keys, "left").withColumn("_bl", block("l", "kl")).withColumn("_br", every("kr")).drop("kl", "kr")
     b = b.join(hot, keys, "left").withColumn("_br", block("r", "kr")).withColumn("_bl", every("kl")).drop("kl", "kr")
-    found = a.join(b, [*keys, "_bl", "_br"]).filter(extra)
-    return (found.filter("l_id < r_id") if same else found).select("l_id", "r_id").distinct()
+    return a.join(b, [*keys, "_bl", "_br"]).filter(extra).select("l_id", "r_id").distinct()
+
+
+def _hashed(items: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """id, value: the distinct tokens as 64-bit hashes; sets without tokens have no row."""
+    hashes = F.array_distinct(F.transform(F.array_compact(tokens), lambda t: F.xxhash64(t)))
+    return items.select(F.col(key).alias("id"), hashes.alias("value")).filter("id is not null and size(value) > 0")
+
+
+def _without_copies(sets: DataFrame) -> DataFrame:
+    """sets (id, value in one order) without those whose value a smaller id has: only ids and hashes are dealt out, and the ids to drop come back."""
+    keyed = sets.select("id", *_content("value"))
+    copies = keyed.join(keyed.groupBy("_c1", "_c2").agg(F.min("id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1"), ["_c1", "_c2"]).filter("id <> _least").select("id")
+    return sets.join(materialize(copies, "simjoin-copies"), "id", "left_anti")
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, left_id: str, right_id: str, tokens: Column, least: float, pairs: int = PAIRS) -> DataFrame:
     """left_id, right_id, similarity of the classes of sets whose Jaccard similarity is `least` or more; without a right side, pairs of different classes of the left, smaller id first.
 
     Prefix filter: with the tokens of every set in one order, rare ones first, two sets as similar as that share a token among
-    the first n - ceil(least * n) + 1 of each. The order is that of the counts of 65,536 hash cells, known to all tasks
-    as one array: no join brings counts to tokens, and frequent tokens come last. Sizes bound each other, so a token's rows
-    are split by bands of sizes; what is left of two sets behind a shared token bounds their overlap.
-    tokens: an array of strings, of either side; repeats and nulls in it don't count, empty sets are similar to nothing."""
+    the first n - ceil(least * n) + 1 of each; of the smaller one of two the first n - ceil(2 least / (1 + least) * n) + 1 will do, which a join
+    of a table with itself uses. The order is that of the counts of 65,536 hash cells, known to all tasks as one array: no join
+    brings counts to tokens, and frequent tokens come last. Sizes bound each other, so a token's rows are split by bands of sizes; what
+    is left of two sets behind a shared token bounds their overlap.
+    tokens: an array of strings, of either side; repeats and nulls in it don't count, empty sets are similar to nothing. Ids are unique.
+    Tokens are compared by 64-bit hashes."""
     same = right is None
-    tokens = F.array_sort(F.array_distinct(F.array_compact(tokens)))
-    sets = [materialize(_folded(df, key, tokens).filter("size(value) > 0"), "simjoin-sets") for df, key in ((left, left_id), *(() if same else ((right, right_id),)))]
-    cell = lambda t: F.pmod(F.xxhash64(t), F.lit(CELLS)).cast("int")
-    words = [s.select(F.explode("value").alias("t")) for s in sets]
+    raw = [_hashed(df, key, tokens) for df, key in ((left, left_id), *(() if same else ((right, right_id),)))]
+    cell = lambda t: F.pmod(t, F.lit(CELLS)).cast("int")
+    words = [s.select(F.explode("value").alias("t")) for s in raw]
     counts = {r["c"]: r["n"] for r in (words[0] if same else words[0].unionByName(words[1])).groupBy(cell(F.col("t")).alias("c")).agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     # folds to one literal
-    rank = F.split(F.lit(",".join(str(counts.get(c, 0)) for c in range(CELLS))), ",").cast("array<long>")
-    n = F.col("n")
-    ordered = F.array_sort(F.transform("value", lambda t: F.struct(F.get(rank, cell(t)).alias("often"), F.xxhash64(t).alias("token"))))
+    often = F.split(F.lit(",".join(str(counts.get(c, 0)) for c in range(CELLS))), ",").cast("array<long>")
+    rank = lambda t: F.get(often, cell(t))
+    ordered = F.transform(F.array_sort(F.transform("value", lambda t: F.struct(rank(t).alias("often"), t.alias("token")))), lambda x: x["token"])
+    sets = [materialize(_without_copies(materialize(s.select("id", ordered.alias("value")), "simjoin-ordered")), "simjoin-sets") for s in raw]
     ceil, floor = (lambda x: F.ceil(x - _EPS).cast("int")), (lambda x: F.floor(x + _EPS).cast("int"))
     # any monotonous band will do; these make a set meet two or three
     band = lambda size: F.floor(F.log(size) / F.log(F.lit(1 / min(least, 0.95)))).cast("int")
+    n = F.col("n")
 
-    def postings(df: DataFrame, bands: Column) -> DataFrame:
-        sized = df.select("id", F.size("value").alias("n"), ordered.alias("o"))
-        cut = sized.select("id", "n", F.posexplode(F.slice("o", 1, n - ceil(n * least) + 1)).alias("at", "t"))
-        return cut.select("id", "n", "at", F.col("t.token").alias("token"), F.explode(bands).alias("band"))
+    def postings(df: DataFrame, bands: Column, overlap: float) -> DataFrame:
+        sized = df.select("id", F.size("value").alias("n"), "value")
+        cut = sized.select("id", "n", F.posexplode(F.slice("value", 1, n - ceil(n * overlap) + 1)).alias("at", "token"))
+        return cut.select("id", "n", "at", "token", F.explode(bands).alias("band"))
 
-    own = F.array(band(n))
-    partners = F.sequence(band(F.greatest(F.lit(1), ceil(n * least))), band(floor(n / least)))
+    top = n if same else floor(n / least)
+    partners = F.sequence(band(F.greatest(F.lit(1), ceil(n * least))), band(top))
     ln, rn = F.col("l_n"), F.col("r_n")
-    sizes = (F.least(ln, rn) >= F.greatest(ln, rn) * least - _EPS) & (1 + F.least(ln - F.col("l_at"), rn - F.col("r_at")) - 1 >= (ln + rn) * (least / (1 + least)) - _EPS)
-    found = _met(postings(sets[0], partners), postings(sets[-1], own), ["token", "band"], sizes, same, pairs)
+    fits = (F.least(ln, rn) >= F.greatest(ln, rn) * least - _EPS) & (F.least(ln - F.col("l_at"), rn - F.col("r_at")) >= (ln + rn) * (least / (1 + least)) - _EPS)
+    if same:  # the left one is the larger
+        fits = fits & ((rn < ln) | ((rn == ln) & (F.col("r_id") < F.col("l_id"))))
+    sides = postings(sets[0], partners, least), postings(sets[-1], F.array(band(n)), 2 * least / (1 + least) if same else least)
+    # a cell's count bounds that of its tokens
+    found = _met(*sides, ["token", "band"], fits, pairs, rank(F.col("token")) > int(pairs**0.5))
     both = found.join(sets[0].select(F.col("id").alias("l_id"), F.col("value").alias("a")), "l_id").join(sets[-1].select(F.col("id").alias("r_id"), F.col("value").alias("b")), "r_id")
     shared = F.size(F.array_intersect("a", "b"))
     out = both.select("l_id", "r_id", (shared.cast("double") / (F.size("a") + F.size("b") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
-    return out.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "similarity")
+    ends = (F.least("l_id", "r_id"), F.greatest("l_id", "r_id")) if same else (F.col("l_id"), F.col("r_id"))
+    return out.select(ends[0].alias("left_id"), ends[1].alias("right_id"), "similarity")
 
 
 def _borders(strings: DataFrame, allowed: Column) -> DataFrame:
@@ -136,7 +159,7 @@ def similar_strings(left: DataFrame, right: DataFrame | None, left_id: str, righ
     first, last = F.greatest(F.lit(0), start - F.col("d")), F.least(start + F.col("d"), F.col("own") - size)
     asked = asked.filter(last >= first).select("id", "value", "length", F.col("s.segment").alias("segment"), size.alias("size"), F.explode(F.sequence(first, last)).alias("at"))
     left_keys = asked.select("id", "length", "segment", part(F.col("at"), F.col("size")).alias("text")).distinct()
-    found = _met(left_keys, right_keys, ["length", "segment", "text"], F.lit(True), same, pairs)
+    found = _met(left_keys, right_keys, ["length", "segment", "text"], F.col("l_id") < F.col("r_id") if same else F.lit(True), pairs)
     both = found.join(strings[0].select(F.col("id").alias("l_id"), F.col("value").alias("a")), "l_id").join(strings[-1].select(F.col("id").alias("r_id"), F.col("value").alias("b")), "r_id")
     near = both.withColumn("distance", F.levenshtein("a", "b")).filter(ok)
     near = near if most is None else near.filter(F.col("distance") <= most)
