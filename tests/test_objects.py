@@ -107,3 +107,19 @@ def test_one_script_in_dependency_order(spark):
     assert made == ["note", "z_base", "a_top"]
     gone = [r.object for r in migration.in_order(object_diff.script(right, left, objects(spark, []), objects(spark, views), uses)).collect()]
     assert gone == ["a_top", "z_base", "note"]
+
+
+def test_enum_labels_in_order(spark):
+    from tidemark.operators import enums
+
+    pairs = [("ENUM ('a', 'b')", "ENUM ('x', 'a', 'y', 'z', 'b', 'it''s')"), ("ENUM ('a', 'b')", "ENUM ('b', 'a', 'c')"), ("ENUM ('a', 'b')", "ENUM ('a')"), ("ENUM ('a')", "ENUM ('a')"), ("ENUM ()", "ENUM ('n')"), ("int", "ENUM ('a')"), ("ENUM ('d', 'a', 'c', 'b')", "ENUM ('a', 'b', 'c', 'd')")]
+    df = spark.createDataFrame(pairs, "b string, a string")
+    b, a = enums.labels(F.col("b")), enums.labels(F.col("a"))
+    got = [(r.v, r.n) for r in df.select(enums.verdict(b, a).alias("v"), enums.kept_in_order(b, a).alias("n")).collect()]
+    assert [v for v, _ in got][:5] == ["grown", "reordered", "removed", "same", "grown"]
+    assert got[0][1] == 2 and got[1][1] == 1 and got[6] == ("reordered", 2)
+    sql = df.limit(1).select(enums.statements(F.lit('"m"'), b, a).alias("s")).first().s
+    assert sql == ["""ALTER TYPE "m" ADD VALUE 'x' BEFORE 'a'""", """ALTER TYPE "m" ADD VALUE 'y' BEFORE 'b'""", """ALTER TYPE "m" ADD VALUE 'z' BEFORE 'b'""", """ALTER TYPE "m" ADD VALUE 'it''s'"""]
+    sides = [objects(spark, [("TYPE", None, "m", t), ("TYPE", None, "k", u)]) for t, u in (("ENUM ('a', 'b')", "ENUM ('a')"), ("ENUM ('b')", "ENUM ('a', 'b')"))]
+    script = object_diff.object_statements(object_diff.compared(*sides))
+    assert [(r.kind, r.sql) for r in migration.in_order(script).collect()] == [("manual", "-- MANUAL: change type \"k\" to ENUM ('a')"), ("alter-type", "ALTER TYPE \"m\" ADD VALUE 'a' BEFORE 'b'")]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..scratch import materialize
+from . import enums
 from .graph import topological_depth
 from .migration import PHASES, quoted, statements
 
@@ -111,7 +112,8 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
         F.when(is_("matched"), "safe").when(is_("onlyA"), create_severity(kind, l("is_unique"))).when(is_("onlyB"), drop_severity(kind, r("is_unique")))
         .otherwise(change_severity(kind, r("is_unique"), l("is_unique"), r("grants"), l("grants")))
     )
-    by_hand = kind.isin(*[k for k, m in MAKING.items() if m[4] == "manual"]) | ((kind == "EXTENSION") & ~forward(r("definition"), l("definition")))
+    grows = F.coalesce((kind == "TYPE") & (enums.verdict(enums.labels(r("definition")), enums.labels(l("definition"))) == "grown"), F.lit(False))
+    by_hand = (kind.isin(*[k for k, m in MAKING.items() if m[4] == "manual"]) & ~grows) | ((kind == "EXTENSION") & ~forward(r("definition"), l("definition")))
     out = both.withColumn("status", status).select(
         "kind", F.when(F.col("t") != "", F.col("t")).alias("table"), "name", F.col("name").alias("right_name"), "status", l("definition").alias("left_definition"), r("definition").alias("right_definition"),
         l("grants").alias("left_grants"), r("grants").alias("right_grants"), severity.alias("severity"), (is_("changed") & by_hand).alias("manual"),
@@ -140,6 +142,7 @@ def _making(diff: DataFrame) -> DataFrame:
 def object_statements(diff: DataFrame) -> DataFrame:
     """Statements (phase, depth, kind, table, object, severity, destructive, sql) for compared(): in the same form as migration.statements().
 
+    Labels that an enum gains are statements in their order (the object carries their number); an enum that loses or moves labels is manual.
     Each object makes an array of statements, which becomes rows: the comparison is planned and read once, however many kinds there are."""
     of = diff.join(F.broadcast(_making(diff)), "kind", "left")  # as many rows as there are kinds
     is_ = lambda *s: F.col("status").isin(*s)
@@ -157,12 +160,14 @@ def object_statements(diff: DataFrame) -> DataFrame:
         one(F.col("manual"), phase("types"), F.lit("manual"), name, by_hand),
     )
     empty = F.array().cast("array<string>")
+    grown = F.when(is_("changed") & (F.col("kind") == "TYPE") & ~F.col("manual"), enums.statements(quoted(name), enums.labels(F.col("right_definition")), enums.labels(F.col("left_definition")))).otherwise(empty)
+    labels = F.transform(grown, lambda sql, i: F.struct(phase("types").alias("phase"), F.lit("alter-type").alias("kind"), F.concat(name, F.lit(" "), F.lpad(i.cast("string"), 4, "0")).alias("object"), F.lit(False).alias("destructive"), sql.alias("sql")))
     held, wanted, on = F.coalesce("right_grants", empty), F.coalesce("left_grants", empty), F.coalesce(name, old)
     part = lambda g, n: F.split_part(g, F.lit(":"), F.lit(n))
     given = lambda kind, some, word, to: F.transform(
         F.when(F.col("kind") == "PRIVILEGES", some).otherwise(empty), lambda g: F.struct(phase("privileges").alias("phase"), F.lit(kind).alias("kind"), on.alias("object"), F.lit(False).alias("destructive"), F.concat(F.lit(word), part(g, 2), F.lit(" ON "), quoted(on), F.lit(to), quoted(part(g, 1))).alias("sql"))
     )
-    every = F.concat(F.filter(F.when(F.col("made").isNotNull(), single).otherwise(F.slice(single, 5, 1)), lambda x: x.isNotNull()), given("grant", F.array_except(wanted, held), "GRANT ", " TO "), given("revoke", F.array_except(held, wanted), "REVOKE ", " FROM "))
+    every = F.concat(F.filter(F.when(F.col("made").isNotNull(), single).otherwise(F.slice(single, 5, 1)), lambda x: x.isNotNull()), labels, given("grant", F.array_except(wanted, held), "GRANT ", " TO "), given("revoke", F.array_except(held, wanted), "REVOKE ", " FROM "))
     return of.select("table", "severity", F.explode(every).alias("s")).select("s.phase", F.lit(0).alias("depth"), "s.kind", "table", "s.object", "severity", "s.destructive", "s.sql")
 
 

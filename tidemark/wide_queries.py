@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .more_queries import _t, query
-from .operators import history, rowtree, simjoin
+from .operators import history, object_diff, rowtree, simjoin
 from .streaming import changes
 
 _WORDS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> ''))"
@@ -98,3 +98,22 @@ def stream_recorded(spark, d):
         changes.tick(stream, f"{top}/rows", f"{top}/checkpoint").awaitTermination()
     found = spark.read.schema(stream.schema).parquet(f"{top}/rows")
     return found.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), F.unix_micros("ts").alias("at"), "alert")
+
+
+def _enum_sides(spark, d):
+    """Each region is an enum of its nations by key; the other side lacks every third nation, lists region 3 backwards and has one more label in region 4."""
+    n = _t(spark, d, "nation")
+    text = lambda a: F.concat(F.lit("ENUM ("), F.array_join(F.transform(a, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit(")"))
+    listed = lambda df: df.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("a"))
+    name = F.concat(F.lit("t"), F.col("n_regionkey"))
+    rows = lambda df, a: df.select(F.lit("TYPE").alias("kind"), F.lit(None).cast("string").alias("table"), name.alias("name"), text(a).alias("definition"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("boolean").alias("is_unique"), F.lit(None).cast("array<string>").alias("grants"))
+    right = F.when(F.col("n_regionkey") == 3, F.reverse("a")).when(F.col("n_regionkey") == 4, F.concat("a", F.array(F.lit("LOST")))).otherwise(F.col("a"))
+    return rows(listed(n), F.col("a")), rows(listed(n.filter("n_nationkey % 3 <> 0")), right)
+
+
+@query("""WITH l AS (SELECT n_regionkey AS r, n_nationkey AS k, n_name AS x, n_nationkey % 3 <> 0 AS old FROM nation), m AS (SELECT r FROM l WHERE r = 3 GROUP BY r HAVING count(*) FILTER (old) > 1 UNION SELECT 4),
+    a AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS i, (SELECT min_by(o.x, o.k) FROM l AS o WHERE o.r = n.r AND o.old AND o.k > n.k) AS next FROM l AS n WHERE NOT old AND r NOT IN (SELECT r FROM m))
+    SELECT 'alter-type' AS kind, 't' || r || ' ' || printf('%04d', i) AS object, 'ALTER TYPE "t' || r || '" ADD VALUE ''' || x || '''' || coalesce(' BEFORE ''' || next || '''', '') AS sql FROM a
+    UNION ALL SELECT 'manual', 't' || r, '-- MANUAL: change type "t' || r || '" to ENUM (' || string_agg('''' || x || '''', ', ' ORDER BY k) || ')' FROM l WHERE r IN (SELECT r FROM m) GROUP BY r""")
+def enum_script(spark, d):
+    return object_diff.object_statements(object_diff.compared(*_enum_sides(spark, d))).select("kind", "object", "sql")
