@@ -305,3 +305,36 @@ def test_licence_scan_against_a_scan_line_by_line(licence_model):
                 want.append((family, at, at + len(line)))
             at += len(line) + 1
         assert [x[:3] for x in found] == want, text
+
+
+NOTICES = [("Released under the MIT License", "mit"), ("Licensed under CC BY-NC 4.0", "cc"), ("Licensed under the Apache License, Version 2.0", "apache"), ("Released under the BSD License", "bsd"), ("Licensed under the Mozilla Public License, version 2.0", "mpl"), ("Released under CC0 1.0 Universal", "cc0")]
+
+
+@pytest.mark.parametrize("gap", [0, 1, 2, 3, 5, 8])
+def test_neighbouring_licences_in_a_long_line(licence_model, gap):
+    """Two and three notices side by side, at each place against the windows."""
+    rng = np.random.default_rng(30 + gap)
+    for before in range(0, 16, 3):
+        for n in (2, 3):
+            some = [NOTICES[i] for i in rng.choice(len(NOTICES), n, replace=False)]
+            words = [sentence(rng, "bb", 80 + before)]
+            for text, _ in some:
+                words += [text, *([sentence(rng, "bb", gap).rstrip(".")] if gap else [])]
+            text = " ".join([*words, sentence(rng, "bb", 80)])
+            assert [(f, text[a:b]) for f, a, b, _ in licenses.found_in([text], licence_model)[0]] == [(f, t) for t, f in some]
+
+
+def test_two_families_in_one_short_line(licence_model):
+    text = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [(f, text[a:b]) for f, a, b, _ in licenses.found_in([text], licence_model)[0]] == [("mit", "Released under the MIT License"), ("apache", "Licensed under the Apache License, Version 2.0")]
+
+
+def test_licence_training_reads_whole_texts(spark, monkeypatch):
+    """Lines late in long texts are drawn like others; a long line gives a piece of it."""
+    seen = []
+    monkeypatch.setattr(licenses, "train", seen.append)
+    rows = [(i, "\n".join(f"d{i} line {j}" for j in range(2000)) + "\n" + "x" * 50_000) for i in range(6)] + [(None, None), (7, "")]
+    licenses.fit(spark.createDataFrame(rows, "doc_id long, text string"), most=400, paragraphs=300)
+    assert len(seen[0]) == 300 and any(int(x.split()[-1]) > 1500 for x in seen[0] if x[0] == "d")
+    licenses.fit(spark.createDataFrame(rows, "doc_id long, text string"), most=400, paragraphs=100_000)
+    assert len(seen[1]) == 6 * 2001 and sorted(map(len, seen[1]))[-6:] == [licenses.LINE] * 6

@@ -7,8 +7,10 @@ cut, with words dropped, with the corpus's own words around them) against paragr
 the corpus and against near misses. The unknown class is calibrated on paragraphs that the fit hasn't seen:
 a temperature for the probabilities, then the least certainty at which at most FALSE of the paragraphs
 without a licence would pass. What passes is confirmed only if it shares enough word n-grams with a
-template of its family. A confirmed line is a span; a confirmed window is narrowed, or widened, to the words that
-match one template in order. A line that such a span leaves, or that is longer than LONG words, gives way to it.
+template of its family. A confirmed line is a span; a window is narrowed, or widened, to the words that match one template in
+order; the classifier names the family of these words, and a template of that family confirms it or they are dropped. What is
+left of the window is looked at again. A line that such a span leaves, that is longer than LONG words, or that holds spans of two
+families gives way to them.
 
 Null and empty texts have no paragraphs and no licence. Repeated rows each get their own result. Extra
 columns pass through; columns named like the added ones are replaced.
@@ -97,8 +99,9 @@ NEAR_MISSES = (
 )
 NONE = "none"
 BUCKETS = 1 << 16
-#: Bounds of what is learnt from the corpus: documents and paragraphs.
+#: Bounds of what is learnt from the corpus: documents (about), paragraphs.
 TRAIN_DOCS, TRAIN_PARAGRAPHS = 400, 3000
+LINE = 2000  # code points of a paragraph that is learnt from
 FALSE = 0.0005  # share of other paragraphs that may pass for a licence before templates are compared
 SHARED = 0.5  # share of a template's (or the paragraph's) word n-grams that confirms
 WINDOW, LONG = 16, 64  # words of a window; words beyond which a line with matched words in it is no span of its own
@@ -182,12 +185,12 @@ for _f, _ts in TEMPLATES.items():
 LONGEST = max(len(t) for ts in _templates.values() for t in ts) + 2  # words of the longest template
 
 
-def _matched(words: list[str], low: int, high: int) -> tuple[str, int, int, int] | None:
-    """The run of words around the window [low, high) that matches most n-grams of one template in order: family, first word, end, n-grams."""
-    a, b = max(0, low - LONGEST), min(len(words), high + LONGEST)
+def _matched(words: list[str], low: int, high: int, floor: int, ceiling: int) -> tuple[int, int, int, int] | None:
+    """The run of words around [low, high), within [floor, ceiling), that matches most n-grams of one template in order: first word, end, n-grams, n-grams of the template."""
+    a, b = max(floor, low - LONGEST), min(ceiling, high + LONGEST)
     grams = [tuple(words[i : i + 3]) for i in range(a, b - 2)]
     best = None
-    for family, templates in _ordered.items():
+    for templates in _ordered.values():
         for at in templates:
             runs: list[list[int]] = []  # first and last gram, place in the template, n-grams
             for i, g in enumerate(grams, a):
@@ -199,8 +202,8 @@ def _matched(words: list[str], low: int, high: int) -> tuple[str, int, int, int]
                 else:
                     runs.append([i, i, at[g][0], 1])
             for first, last, _, n in runs:
-                if first < high and last + 3 > low and (best is None or n > best[3]):
-                    best = (family, first, last + 3, n)
+                if first < high and last + 3 > low and (best is None or n > best[2]):
+                    best = (first, last + 3, n, sum(map(len, at.values())))
     return best
 
 
@@ -300,44 +303,73 @@ def _lines(codes: np.ndarray, starts: np.ndarray, part: list[str], model: Model)
     return out
 
 
+def _chances(texts: list[str], model: Model) -> np.ndarray:
+    return _softmax(_logits(*textvec.codes_of(texts), model))
+
+
 def _notices(codes: np.ndarray, starts: np.ndarray, part: list[str], model: Model) -> list[list[tuple[str, int, int, float]]]:
-    """For each text what confirmed windows match: family, start, end, certainty; overlapping ones are one, the best matched."""
-    found: list[list[tuple[int, int, int, str, float]]] = [[] for _ in part]
+    """For each text what confirmed windows match: family, start, end, certainty; of overlapping ones the best matched.
+
+    A window that may hold a licence is narrowed to the words that match a template; the classifier names their family, and a template
+    of that family must confirm it. What is left of the window on both sides, and the halves of a window that as a whole is like no
+    template, are looked at again in the same way, so that notices side by side are all found. Of equal matches the first template's counts."""
     runs = textvec.runs_of(textvec.flags_of(codes, "isalnum"), starts)
     of: dict[int, tuple[list[str], list[tuple[int, int]]]] = {}
+    # text, words (from, to), free words around (from, to), whether it is a whole window
+    pieces: list[tuple[int, int, int, int, int, bool]] = []
     for shift in (0, WINDOW // 2):
         if not runs[0].size:
             break
         edges, _ = _windows(runs, starts, shift)
-        p = _softmax(_logits(codes, edges, model))
-        best = p.argmax(axis=1)
-        for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= model.least)):
+        maybe = 1 - _softmax(_logits(codes, edges, model))[:, 0] >= model.least
+        for i in np.flatnonzero(maybe):
             doc = int(np.searchsorted(starts, edges[i], "right") - 1)
             # a window that is its text's last may reach into a later text without words before its first word
             a, b = int(edges[i] - starts[doc]), int(min(edges[i + 1], starts[doc + 1]) - starts[doc])
-            if confirmed(part[doc][a:b], model.families[best[i]]) < SHARED:
-                continue
             if doc not in of:
-                spans = [m.span() for m in re.finditer(r"\w+", folded(part[doc]))]
                 low = folded(part[doc])
-                of = {doc: ([low[x:y] for x, y in spans], spans)}
+                spans = [m.span() for m in re.finditer(r"\w+", low)]
+                of[doc] = [low[x:y] for x, y in spans], spans
             words, spans = of[doc]
-            w = bisect.bisect_left(spans, (a, 0)), bisect.bisect_left(spans, (b, 0))
-            if (hit := _matched(words, *w)) is not None:
-                family, first, end, n = hit
-                found[doc].append((n, spans[first][0], spans[end - 1][1], family, float(p[i].max())))
+            pieces.append((doc, bisect.bisect_left(spans, (a, 0)), bisect.bisect_left(spans, (b, 0)), 0, len(words), True))
+    found: list[list[tuple[int, int, int, str, float]]] = [[] for _ in part]
+    while pieces:
+        p = _chances([" ".join(of[doc][0][low:high]) for doc, low, high, *_ in pieces], model)
+        hits, left = [], []
+        for (doc, low, high, floor, ceiling, whole), chance in zip(pieces, p, strict=True):
+            if 1 - chance[0] < model.least:
+                continue
+            words = of[doc][0]
+            like = confirmed(" ".join(words[low:high]), model.families[1 + int(chance[1:].argmax())]) >= SHARED
+            hit = _matched(words, low, high, floor, ceiling) if like else None
+            if hit and (whole or hit[2] >= SHARED * min(hit[3], WINDOW - 2)):
+                first, end, n, _ = hit
+                hits.append((doc, first, end, n))
+                left += [(doc, low, first, floor, first, False)] * (first - low >= 3) + [(doc, end, high, end, ceiling, False)] * (high - end >= 3)
+            elif high - low >= 8:
+                middle = (low + high) // 2
+                left += [(doc, low, middle, floor, ceiling, False), (doc, middle, high, floor, ceiling, False)]
+        if hits:
+            named = _chances([" ".join(of[doc][0][first:end]) for doc, first, end, _ in hits], model)
+            for (doc, first, end, n), chance in zip(hits, named, strict=True):
+                words, spans = of[doc]
+                family = model.families[1 + int(chance[1:].argmax())]
+                if confirmed(" ".join(words[first:end]), family) >= SHARED:
+                    found[doc].append((n, spans[first][0], spans[end - 1][1], family, float(chance[1:].max())))
+        pieces = left
     out: list[list[tuple[str, int, int, float]]] = []
     for hits in found:
         chosen: list[tuple[str, int, int, float]] = []
-        for _, a, b, family, sure in sorted(hits, key=lambda x: (-x[0], x[1], x[2], x[3], -x[4])):
-            if all(b <= y or z <= a for _, y, z, _ in chosen):
-                chosen.append((family, a, b, sure))
-        out.append(sorted(chosen, key=lambda x: x[1]))
+        for _, a, b, family, sure in sorted(set(hits), key=lambda x: (-x[0], x[1], x[2], x[3], -x[4])):
+            at = bisect.bisect_left(chosen, a, key=lambda x: x[1])  # chosen ones lie in order and apart
+            if (not at or chosen[at - 1][2] <= a) and (at == len(chosen) or b <= chosen[at][1]):
+                chosen.insert(at, (family, a, b, sure))
+        out.append(chosen)
     return out
 
 
 def _together(text: str, lines: list[tuple[str, int, int, float]], notices: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Confirmed lines and notices without overlaps: a notice that leaves its line, or lies in a long one, takes the line's place."""
+    """Confirmed lines and notices without overlaps: a notice that leaves its line, or lies in a long one, takes the line's place, and so do notices of two families in one line."""
     if not notices:
         return lines
     kept = []
@@ -345,7 +377,7 @@ def _together(text: str, lines: list[tuple[str, int, int, float]], notices: list
         _, a, b, _ = line
         inside = [n for n in notices if n[1] < b and a < n[2]]
         wrapped = any(n[1] < a or n[2] > b for n in inside)
-        if not (wrapped or inside and len(re.findall(r"\w+", text[a:b])) > LONG):
+        if not (wrapped or len({n[0] for n in inside}) > 1 or inside and len(re.findall(r"\w+", text[a:b])) > LONG):
             kept.append(line)
     free = [n for n in notices if not any(n[1] < b and a < n[2] for _, a, b, _ in kept)]
     return sorted(kept + free, key=lambda x: x[1:3])
@@ -364,10 +396,14 @@ def found_in(texts: list[str | None], model: Model) -> list[list[tuple[str, int,
 
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS, paragraphs: int = TRAIN_PARAGRAPHS) -> Model:
-    """Train against paragraphs of about `most` documents (of up to 20,000 code points) with small hashes of doc_id."""
-    some = common.hash_sample(docs.select("doc_id", "text"), "doc_id", 2 * most, docs.count(), "licence")
-    rows = some.filter(F.length("text").between(1, 20_000)).orderBy(F.xxhash64("doc_id", F.lit("licence")), "doc_id", "text").limit(most).collect()
-    return train([line for r in rows for line in r.text.split("\n") if line.strip()][:paragraphs])
+    """Train against at most `paragraphs` lines, those with the smallest hashes, of about `most` whole documents with small hashes of doc_id.
+
+    Of a line over LINE code points, a piece of that length is taken, from a place that its hash says."""
+    some = common.hash_sample(docs.select("doc_id", "text"), "doc_id", most, docs.count(), "licence")
+    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter("trim(line) <> ''").withColumn("h", F.xxhash64("doc_id", "at", F.lit("licence")))
+    over = F.length("line") - LINE
+    piece = F.when(over > 0, F.substring("line", (F.pmod("h", over + 1) + 1).cast("int"), F.lit(LINE))).otherwise(F.col("line"))
+    return train([r.line for r in lines.select("h", piece.alias("line")).orderBy("h", "line").limit(paragraphs).collect()])
 
 
 def scanned(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
