@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tidemark.streaming import changes
+from tidemark.streaming import changes, idlog
 
 KIND = "key string, id long, ts timestamp, status string, fingerprint string"
 
@@ -45,3 +45,15 @@ def test_silent_keys_restarts_and_triggers(spark, tmp_path):
             rows = _drain(spark, changes.recorded_on_change(stream, "6 hours"), top).collect()
         assert {(r.id, r.alert) for r in rows if r.id} == want
         assert {(r.key, r.ts) for r in rows if r.id is None} == gaps and sum(r.id is None for r in rows) == len(gaps)
+
+
+def test_ids_saved_late_come_once(spark, tmp_path):
+    """Late ids within the lookback, repeats, gaps that stay, nulls, ids up to the baseline, an empty log, restarts between appends."""
+    kind = "id long, note string"
+    appended = [([], []), ([1, 2, 5, 9], [5, 9]), ([10, 7, 9, 9, None], [7, 10]), ([4, 2, 8, 30, 31], [8, 30, 31]), ([11, 25, 33, 33], [25, 33]), ([25, 30], [])]
+    have = []
+    for n, (ids, want) in enumerate(appended):
+        spark.createDataFrame([(i, f"n{i}") for i in ids], kind).repartition(2).write.parquet(str(tmp_path / "in"), mode="append")
+        rows = _drain(spark, idlog.stream(spark, str(tmp_path / "in"), kind, "id", baseline=4, lookback=8, ids_a_task=3), tmp_path).collect() if n else []
+        have += want
+        assert sorted(r.id for r in rows) == sorted(have) and all(r.note == f"n{r.id}" for r in rows)

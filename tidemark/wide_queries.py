@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .more_queries import _t, query
 from .operators import history, object_diff, rowtree, simjoin
-from .streaming import changes
+from .streaming import changes, idlog
 
 _WORDS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> ''))"
 
@@ -100,6 +100,25 @@ def stream_recorded(spark, d):
     return found.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), F.unix_micros("ts").alias("at"), "alert")
 
 
+#: Events come in four parts by id; every seventh id comes a part later, and every eleventh comes twice.
+_PARTS = "WITH m AS (SELECT max(event_id) + 1 AS n FROM events), e AS (SELECT event_id, user_id, event_id * 4 // n AS part, event_id % 7 = 3 AS late FROM events, m)"
+
+
+@query(f"""{_PARTS}, h AS (SELECT part, max(event_id) FILTER (NOT late) AS top FROM e GROUP BY part)
+    SELECT event_id, user_id, late FROM e JOIN h USING (part) WHERE NOT late OR event_id > top - 100""")
+def stream_late_ids(spark, d):
+    """Events read by id with a lookback of 100, the query restarted after each part: late ones that are further back are lost, repeats come once."""
+    events = _t(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 7 == 3).alias("late"))
+    n = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    came = F.floor(F.col("event_id") * 4 / n) + F.col("late").cast("int")
+    top = f"{scratch.root(spark)}/stream-late-{os.urandom(6).hex()}"
+    for part in range(5):
+        now = F.when(F.col("event_id") % 11 == 0, came.isin(part, part - 1)).otherwise(came == part)
+        events.filter(now).write.mode("append").parquet(f"{top}/in")
+        changes.tick(idlog.stream(spark, f"{top}/in", events.schema, "event_id"), f"{top}/rows", f"{top}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{top}/rows")
+
+
 def _enum_sides(spark, d):
     """Each region is an enum of its nations by key; the other side lacks every third nation, lists region 3 backwards and has one more label in region 4."""
     n = _t(spark, d, "nation")
