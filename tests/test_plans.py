@@ -73,3 +73,13 @@ def test_advice(spark):
     assert [(r.advice, r.subject) for r in advice.partitioning(tables, cols).collect()] == [("partition-by-date", "at")]
     both = advice.structural(tables, cols, ix, fks).unionByName(advice.statistical(stats, ix))
     assert advice.without_repeats(both).filter("subject = 'i1'").count() == 1
+
+
+def test_table_functions_over_null_and_empty_texts(spark):
+    sqltext.register(spark)
+    steps.register(spark)
+    df = spark.createDataFrame([(1, None), (2, ""), (3, ";;"), (4, "select ';'; drop table t;")], "id int, s string")
+    assert [tuple(r) for r in spark.sql("SELECT id, x.step, x.kind FROM {df}, LATERAL sql_steps(s) AS x ORDER BY id, step", df=df).collect()] == [(4, 1, "query"), (4, 2, "drop")]
+    plans = spark.createDataFrame([(1, None), (2, ""), (3, '{"Plan": {"Node Type": "Limit", "Plans": [{"Node Type": "Sort", "Plan Rows": 3, "Total Cost": 5}]}}')], "id int, p string")
+    rows = spark.sql("SELECT id, x.step_id, x.parent_id, x.node_type, x.estimated_rows FROM {p}, LATERAL plan_steps(p) AS x ORDER BY step_id", p=plans).collect()
+    assert [tuple(r) for r in rows] == [(3, 1, None, "Limit", None), (3, 2, 1, "Sort", 3.0)]

@@ -38,6 +38,26 @@ def _walk(plan_id: str, node: dict, out: list[dict], parent: int | None, depth:
     return me
 
 
+def _steps_of(plan_id: str, text: str) -> list[dict]:
+    root = json.loads(text)
+    root = root[0] if isinstance(root, list) else root
+    out: list[dict] = []
+    _walk(plan_id, root.get("Plan", root), out, None, 0, 1.0, False)
+    return out
+
+
+def register(spark) -> None:
+    """Make the table function plan_steps(plan) known to SQL (for LATERAL): the columns of flattened() but plan_id; no row for a null or empty text."""
+    kinds = [part.split() for part in STEP.split(", ")[1:]]
+
+    class Steps:
+        def eval(self, text: str):
+            for step in _steps_of("", text) if text else []:
+                yield tuple(float(step[name]) if kind == "double" and step[name] is not None else step[name] for name, kind in kinds)
+
+    spark.udtf.register("plan_steps", F.udtf(Steps, returnType=", ".join(map(" ".join, kinds)), useArrow=True))
+
+
 def flattened(plans: DataFrame, plan_id: str = "plan_id", plan: str = "plan") -> DataFrame:
     """A row for each step of JSON plans, in pre-order. The depth of the JSON isn't known beforehand, so this is an Arrow-batched Python step; plans are independent rows, no shuffle."""
 
@@ -46,11 +66,7 @@ def flattened(plans: DataFrame, plan_id: str = "plan_id", plan: str = "plan") ->
             out: list[dict] = []
             for name, text in zip(pdf[plan_id], pdf[plan], strict=True):
                 if text:
-                    root = json.loads(text)
-                    root = root[0] if isinstance(root, list) else root
-                    steps: list[dict] = []
-                    _walk(str(name), root.get("Plan", root), steps, None, 0, 1.0, False)
-                    out += steps
+                    out += _steps_of(str(name), text)
             frame = pd.DataFrame(out, columns=_NAMES)
             for c in _NAMES:
                 if frame[c].dtype == object and c not in ("plan_id", "node_type", "relation", "filter", "join_cond", "join_type", "sort_space", "inner_side"):

@@ -7,8 +7,10 @@ import os
 from pyspark.sql import functions as F
 
 from . import scratch
+from .functions import sqltext
 from .more_queries import _t, query
 from .operators import history, object_diff, rowtree, simjoin
+from .plans import findings, steps
 from .streaming import changes, idlog
 
 _WORDS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> ''))"
@@ -136,3 +138,78 @@ def _enum_sides(spark, d):
     UNION ALL SELECT 'manual', 't' || r, '-- MANUAL: change type "t' || r || '" to ENUM (' || string_agg('''' || x || '''', ', ' ORDER BY k) || ')' FROM l WHERE r IN (SELECT r FROM m) GROUP BY r""")
 def enum_script(spark, d):
     return object_diff.object_statements(object_diff.compared(*_enum_sides(spark, d))).select("kind", "object", "sql")
+
+
+# SQL texts and plans made from rows, read by table functions
+
+#: The statements of a part's script: which parts have it, the kind, the text around the key and the name, and what it does, in order.
+_STATEMENTS = (
+    ("TRUE", "create", "CREATE TABLE t{k} (a text DEFAULT '{x}; y')", "adds"),
+    ("p_partkey % 2 = 0", "data", "INSERT INTO t{k} VALUES ($b${x}; DROP TABLE u$b$)", ""),
+    ("p_partkey % 3 = 0", "block", "DO $$ BEGIN UPDATE t{k} SET a = '{x}'; END $$", ""),
+    ("p_partkey % 5 = 0", "drop", "DROP /* {x}; /* inner; */ */ TABLE t{k}", "breaks"),
+    ("p_partkey % 7 = 0", "alter", 'ALTER TABLE t{k} ALTER COLUMN "a;b" SET NOT NULL', "may fail"),
+    ("p_partkey % 11 = 0", "data", "DELETE FROM t{k} -- {x}; all", "deletes"),
+)
+
+
+def _statement(text: str) -> str:
+    """SQL, in both dialects, for a statement's text."""
+    return " || ".join("CAST(p_partkey AS STRING)" if piece == "{k}" else "p_name" if piece == "{x}" else "'" + piece.replace("'", "''") + "'" for piece in text.replace("{k}", "\1{k}\1").replace("{x}", "\1{x}\1").split("\1") if piece)
+
+
+def _part_scripts(spark, d):
+    pieces = [F.expr(f"CASE WHEN {which} THEN {_statement(text)} END") for which, _, text, _ in _STATEMENTS]
+    return _t(spark, d, "part").select("p_partkey", F.concat(F.lit("-- Note: of a part;\n"), F.array_join(F.array_compact(F.array(*pieces)), "\n;; ")).alias("script"))
+
+
+_EACH = " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, '{kind}' AS kind, {_statement(text)} AS statement FROM part WHERE {which}" for i, (which, kind, text, _) in enumerate(_STATEMENTS))
+
+
+@query(f"""SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) AS INT) AS step, kind, CASE WHEN place = 0 THEN '-- Note: of a part;' || chr(10) || statement ELSE statement END AS statement FROM ({_EACH})""")
+def script_steps(spark, d):
+    """The statements of each part's script; separators stand in literals, comments, bodies and quoted names, too."""
+    sqltext.register(spark)
+    return spark.sql("SELECT p_partkey, s.step, s.kind, s.statement FROM {scripts}, LATERAL sql_steps(script) AS s", scripts=_part_scripts(spark, d))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 35 = 0 OR p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'breaking' ELSE 'additive' END AS level,
+    CASE WHEN p_partkey % 5 = 0 THEN 'DROP TABLE' WHEN p_partkey % 7 = 0 THEN 'SET NOT NULL' END AS label,
+    concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'DELETE' END, CASE WHEN p_partkey % 5 = 0 THEN 'DROP TABLE' END) AS destroys,
+    CASE WHEN p_partkey % 7 = 0 THEN 'SET NOT NULL' ELSE '' END AS might_fail FROM part""")
+def script_grades(spark, d):
+    u = sqltext.udfs()
+    rows = _part_scripts(spark, d).select("p_partkey", u["sql_grade"]("script").alias("g"), F.array_join(u["sql_destroys"]("script"), ",").alias("destroys"), F.array_join(u["sql_might_fail"]("script"), ",").alias("might_fail"))
+    return rows.select("p_partkey", "g.level", "g.label", "destroys", "might_fail")
+
+
+def _order_plans(spark, d):
+    """A plan for each order: a nested loop over its lines as a sort and an index scan that runs for each, or a hash join."""
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    node = lambda kind, rows, cost, more="", kids=(): F.concat(F.lit(f'{{"Node Type": "{kind}", "Plan Rows": '), rows.cast("string"), F.lit(', "Total Cost": '), cost.cast("string"), F.lit(more), *([F.lit(', "Plans": ['), *[x for kid in kids for x in (F.lit(","), kid)][1:], F.lit("]")] if kids else []), F.lit("}"))
+    n, one, k = F.col("n"), F.lit(1), F.col("o_orderkey")
+    scan = node("Seq Scan", n, n * 3, ', "Relation Name": "lineitem", "Filter": "(l_quantity > 5)"')
+    loop = node("Nested Loop", n, n * 100, "", [node("Sort", n, n * 5, "", [scan]), node("Index Scan", one, F.lit(2), ', "Relation Name": "orders"')])
+    join = node("Hash Join", n, n * 10, ', "Join Type": "Left"', [scan, node("Hash", one, F.lit(4))])
+    return _t(spark, d, "orders").join(lines, "o_orderkey").select("o_orderkey", F.concat(F.lit('[{"Plan": '), F.when(k % 2 == 0, loop).otherwise(join), F.lit("}]")).alias("plan"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT o_orderkey, step_id, parent_id, depth, node_type, relation, inner_side, CAST(runs AS DOUBLE) AS estimated_runs, CAST(self AS DOUBLE) AS self_cost FROM (
+        SELECT o_orderkey, 1 AS step_id, NULL AS parent_id, 0 AS depth, 'Nested Loop' AS node_type, NULL AS relation, FALSE AS inner_side, 1 AS runs, n * 100 - n * 5 - n * 2 AS self FROM n WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT o_orderkey, 2, 1, 1, 'Sort', NULL, FALSE, 1, n * 2 FROM n WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 3, 2, 2, 'Seq Scan', 'lineitem', FALSE, 1, n * 3 FROM n WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT o_orderkey, 4, 1, 1, 'Index Scan', 'orders', TRUE, n, n * 2 FROM n WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT o_orderkey, 1, NULL, 0, 'Hash Join', NULL, FALSE, 1, n * 7 - 4 FROM n WHERE o_orderkey % 2 <> 0 UNION ALL SELECT o_orderkey, 2, 1, 1, 'Seq Scan', 'lineitem', FALSE, 1, n * 3 FROM n WHERE o_orderkey % 2 <> 0
+        UNION ALL SELECT o_orderkey, 3, 1, 1, 'Hash', NULL, FALSE, 1, 4 FROM n WHERE o_orderkey % 2 <> 0)""")
+def order_plan_steps(spark, d):
+    steps.register(spark)
+    return spark.sql("SELECT o_orderkey, s.step_id, s.parent_id, s.depth, s.node_type, s.relation, s.inner_side, s.estimated_runs, s.self_cost FROM {plans}, LATERAL plan_steps(plan) AS s", plans=_order_plans(spark, d))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN 'locks' WHEN 3 THEN 'several-statements' END AS refused, CASE p_partkey % 4 WHEN 0 THEN 'select-star,leading-wildcard' WHEN 1 THEN 'unfiltered-count' ELSE '' END AS findings FROM part""")
+def part_query_findings(spark, d):
+    """Queries on each part's own name: one that scans, one that counts everything, one that locks, and two statements in one."""
+    k, name, key = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_partkey").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("SELECT * FROM part WHERE p_name LIKE '%"), name, F.lit("'"))).when(k == 1, F.concat(F.lit("SELECT count(*) FROM part -- WHERE p_name = "), name)).when(k == 2, F.concat(F.lit("SELECT p_name FROM part WHERE p_partkey = "), key, F.lit(" FOR UPDATE"))).otherwise(F.concat(F.lit("SELECT 1; SELECT "), key))
+    u = findings.udfs()
+    return _t(spark, d, "part").select("p_partkey", text.alias("q")).select("p_partkey", u["sql_gate"]("q").alias("refused"), F.array_join(u["sql_findings"]("q"), ",").alias("findings"))
