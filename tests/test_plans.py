@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tidemark.functions import sqltext
 from tidemark.plans import advice, findings, steps
 
 PLAN = {"Plan": {"Node Type": "Nested Loop", "Plan Rows": 10, "Total Cost": 1100.0, "Plans": [

@@ -11,6 +11,7 @@ from .functions import sqltext
 from .more_queries import _t, query
 from .operators import history, object_diff, rowtree, simjoin
 from .plans import findings, steps
+from .sources import objects
 from .streaming import changes, idlog
 
 _WORDS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> ''))"
@@ -213,3 +214,56 @@ def part_query_findings(spark, d):
     text = F.when(k == 0, F.concat(F.lit("SELECT * FROM part WHERE p_name LIKE '%"), name, F.lit("'"))).when(k == 1, F.concat(F.lit("SELECT count(*) FROM part -- WHERE p_name = "), name)).when(k == 2, F.concat(F.lit("SELECT p_name FROM part WHERE p_partkey = "), key, F.lit(" FOR UPDATE"))).otherwise(F.concat(F.lit("SELECT 1; SELECT "), key))
     u = findings.udfs()
     return _t(spark, d, "part").select("p_partkey", text.alias("q")).select("p_partkey", u["sql_gate"]("q").alias("refused"), F.array_join(u["sql_findings"]("q"), ",").alias("findings"))
+
+
+# typed extracts of a catalog: suppliers, parts and customers stand for its objects
+
+
+@query("""SELECT 's' || s_suppkey AS sequence, s_suppkey AS start, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 THEN n_name END AS owned_by_table, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 AND s_suppkey % 4 < 3 THEN 'c' || s_suppkey % 4 END AS owned_by_column
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE NOT (s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 AND n_nationkey = 7)""")
+def sequence_rows(spark, d):
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.when(F.col("n_nationkey") == 7, "script_patch").otherwise(F.col("n_name")).alias("table"))
+    s = _t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("k")).select("s_suppkey", "table", F.concat(F.lit("s"), "s_suppkey").alias("sequence"))
+    k = F.col("s_suppkey")
+    owned = s.filter("s_suppkey % 3 = 0").select("sequence", "table", (k % 4).alias("number"), F.when(k % 2 == 1, "a").otherwise("n").alias("kind"))
+    attributes = n.select("table", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("number")).withColumn("column", F.concat(F.lit("c"), "number"))
+    return objects.sequences(s.select("sequence", k.alias("start")), owned, attributes).select("sequence", "start", "owned_by_table", "owned_by_column")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS name, CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'procedure' END AS kind FROM part), a AS (SELECT k, string_agg(n_name, ', ' ORDER BY i) AS t FROM p, range(3) AS r(i), nation WHERE i < k % 4 AND n_nationkey = (k * 7 + i * 3) % 25 GROUP BY k)
+    SELECT k AS definition, kind, coalesce(t, '') AS arg_types, name || '(' || coalesce(t, '') || ')' AS identity FROM p LEFT JOIN a USING (k) WHERE kind IS NOT NULL AND k % 10 <> 0""")
+def routine_rows(spark, d):
+    k = F.col("p_partkey")
+    letter = F.when(k % 3 == 0, "f").when(k % 3 == 1, "p").otherwise("a")
+    arguments = F.slice(F.array(*[(k * 7 + 3 * i) % 25 for i in range(3)]), F.lit(1), (k % 4).cast("int"))
+    part = _t(spark, d, "part").select(k.alias("routine_id"), F.col("p_brand").alias("name"), letter.alias("letter"), arguments.alias("arguments"), F.lit("sql").alias("language"), k.alias("definition"))
+    types = _t(spark, d, "nation").select(F.col("n_nationkey").alias("type_id"), F.col("n_name").alias("type"))
+    return objects.routines(part, types, part.filter("routine_id % 10 = 0").select("routine_id")).select("definition", "kind", "arg_types", "identity")
+
+
+@query("""SELECT n_name AS "table", c_name AS name, s_name AS "function", c_custkey % 4 <> 0 AS enabled FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_suppkey = c_custkey % 50 WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 3""")
+def trigger_rows(spark, d):
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    extract = c.select(F.col("n_name").alias("table"), F.col("c_name").alias("name"), F.lit("").alias("definition"), (k % 50).alias("function_id"), F.when(k % 4 == 0, "D").otherwise("O").alias("state"), (k % 5 == 0).alias("internal"), F.when(k % 7 == 3, k).otherwise(0).alias("parent_id"))
+    return objects.triggers(extract, _t(spark, d, "supplier").select(F.col("s_suppkey").alias("function_id"), F.col("s_name").alias("function"))).drop("definition")
+
+
+@query("""SELECT c_custkey AS "index", CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS scans, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 9 < 3) AS backs_constraint, c_custkey IN (SELECT s_suppkey FROM supplier) AS is_partition_child FROM customer""")
+def index_statistics(spark, d):
+    k = F.col("c_custkey")
+    extract = _t(spark, d, "customer").select(k.alias("index"), F.col("c_mktsegment").alias("table"), F.when(k % 3 != 0, k).alias("scans"))
+    kinds = F.get(F.array(*map(F.lit, "puxfffccc")), (F.col("o_orderkey") % 9).cast("int"))
+    return objects.index_statistics(extract, _t(spark, d, "orders").select(F.col("o_custkey").alias("index"), kinds.alias("kind")), _t(spark, d, "supplier").select(F.col("s_suppkey").alias("child"))).drop("table")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS "table", k % 4 = 0 AS part, CASE WHEN k % 3 = 0 THEN 'p' WHEN k % 3 = 1 THEN 'r' ELSE 'v' END AS kind FROM (SELECT c_custkey, c_name, c_custkey AS k FROM customer)),
+    e AS (SELECT o_custkey AS k, list(o_orderkey::VARCHAR ORDER BY o_orderdate, o_orderkey) AS a FROM orders GROUP BY 1)
+    SELECT "table", CASE WHEN kind = 'p' THEN CASE k % 2 WHEN 0 THEN 'RANGE' ELSE 'HASH' END END AS strategy, CASE WHEN kind = 'p' THEN '(c' || k || ')' END AS key, CASE WHEN part THEN a[1] END AS partition_of, CASE WHEN part THEN 'b' || k END AS bounds, CASE WHEN NOT part THEN array_to_string(a, ',') END AS inherits FROM c LEFT JOIN e USING (k) WHERE kind <> 'v'""")
+def partitioning_rows(spark, d):
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    classes = c.select(F.col("c_name").alias("table"), F.when(k % 3 == 0, "p").when(k % 3 == 1, "r").otherwise("v").alias("kind"), (k % 4 == 0).alias("is_partition"), F.concat(F.lit("b"), k).alias("bounds"))
+    keys = c.filter("c_custkey % 3 = 0").select(F.col("c_name").alias("table"), F.when(k % 2 == 0, "r").otherwise("h").alias("letter"), F.concat(F.lit("(c"), k, F.lit(")")).alias("key"))
+    edges = _t(spark, d, "orders").join(c, F.col("o_custkey") == k).select(F.col("c_name").alias("child"), F.col("o_orderkey").cast("string").alias("parent"), F.struct("o_orderdate", "o_orderkey").alias("position"))
+    return objects.partitioning(classes, keys, edges).withColumn("inherits", F.array_join("inherits", ","))
