@@ -35,7 +35,7 @@ def cadence(minutes: Column, allowed: Sequence[int]) -> Column:
 
 def breaches(df: DataFrame, settings: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """Values strictly beyond their enabled limit, by overshoot; settings: metric, direction (above, below), limit, enabled."""
-    joined = df.join(F.broadcast(settings), metric)  # one row a metric
+    joined = df.join(settings, metric)  # one row a metric: Spark broadcasts it if it is small
     v, limit = F.col(value), F.col("limit")
     beyond = F.when(F.col("direction") == "above", v > limit).otherwise(v < limit)
     overshoot = F.when(F.col("direction") == "above", F.try_divide(v, limit)).otherwise(F.try_divide(limit, v))
