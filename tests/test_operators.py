@@ -226,6 +226,21 @@ def test_exact_percentiles_equal_the_plain_ones(spark):
     assert set(want) - set(got) == {"none"} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))
 
 
+def test_percentiles_of_several_values_narrow_crowded_brackets(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.random(), rng.choice([None, 1.0, 1.0, rng.gauss(0, 9)])) for g in ("a", "b", None) for _ in range(4000)] + [("none", None, 2.0), ("two", 5.0, None), ("two", 6.0, None)] + [("same", 3.0, 3.0)] * 3000
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    shares = {"v0": ("v", 0.0), "v50": ("v", 0.5), "v951": ("v", 0.951), "w40": ("w", 0.4), "w100": ("w", 1.0)}
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(c, s).alias(n) for n, (c, s) in shares.items()]).collect()}
+    for fits in (1, 3, 1000):  # one value a piece, a few, no narrowing
+        found = quantiles.percentiles(df, F.col("g"), "g", {n: (F.col(c), s) for n, (c, s) in shares.items()}, F.count("*").alias("n"), fits=fits)
+        assert found.columns == ["g", "n", *shares]
+        got = {r.g: tuple(r)[1:] for r in found.collect()}
+        assert set(got) == set(want)
+        assert all((x is None and y is None) or abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], want[g], strict=True))
+    assert quantiles.percentiles(df.limit(0), F.col("g"), "g", {"p": (F.col("v"), 0.5)}).count() == 0
+
+
 def test_ledger_sides_meet_on_versions(spark):
     from tidemark.operators import ledger
 

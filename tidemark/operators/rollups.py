@@ -7,22 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_percentiles, joined
+from .quantiles import percentiles
 
 
 def daily_trend(df: DataFrame, ts: str, value: str, measured: Column, score: str) -> DataFrame:
     """By UTC day: runs, measured runs, exact median and maximum of the measured values, median score."""
     only, day = F.when(measured, F.col(value)), F.date_trunc("day", ts).cast("date")
-    counted = df.groupBy(day.alias("day")).agg(F.count("*").alias("runs"), F.count(only).alias("measured_runs"), F.max(only).alias("max_value"))
-    out = joined(counted, exact_percentiles(df, day, "day", only, {"median_value": 0.5}), "day")
-    out = joined(out, exact_percentiles(df, day, "day", F.col(score), {"median_score": 0.5}), "day")
+    counts = F.count("*").alias("runs"), F.count(only).alias("measured_runs"), F.max(only).alias("max_value")
+    out = percentiles(df, day, "day", {"median_value": (only, 0.5), "median_score": (F.col(score), 0.5)}, *counts)
     return out.select("day", "runs", "measured_runs", "median_value", "max_value", "median_score")
 
 
 def feature_rollup(df: DataFrame, feature: str, counts: dict[str, Column], sums: dict[str, str], value: str) -> DataFrame:
     """By feature: filtered counts, sums, exact median and 95th percentile."""
-    counted = df.groupBy(feature).agg(F.count("*").alias("calls"), *[F.count_if(c).alias(n) for n, c in counts.items()], *[F.sum(c).alias(n) for n, c in sums.items()])
-    return joined(counted, exact_percentiles(df, F.col(feature), feature, F.col(value), {"p50": 0.5, "p95": 0.95}), feature)
+    counted = F.count("*").alias("calls"), *[F.count_if(c).alias(n) for n, c in counts.items()], *[F.sum(c).alias(n) for n, c in sums.items()]
+    return percentiles(df, F.col(feature), feature, {"p50": (F.col(value), 0.5), "p95": (F.col(value), 0.95)}, *counted)
 
 
 def padded(rollup: DataFrame, dimension: DataFrame, key: str, zeros: Sequence[str]) -> DataFrame:
