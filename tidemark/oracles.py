@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import wide_queries
+from . import plan_queries, wide_queries  # plan_queries registers its own
 from .more_queries import MORE
 
 _SIDES = """

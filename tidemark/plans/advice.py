@@ -37,7 +37,7 @@ def structural(tables: DataFrame, columns: DataFrame, indexes: DataFrame, foreig
     parts = [
         _advice(tables.filter("not has_primary_key"), "no-primary-key", "high", "table"),
         _advice(covered, "foreign-key-not-indexed", "high", "name"),
-        _advice(same.select("a.*"), "duplicate-index", "medium", "index"),
+        _advice(same.select("a.*").distinct(), "duplicate-index", "medium", "index"),
         _advice(prefix.select("a.*").distinct(), "redundant-index", "low", "index"),
         _advice(one_column.filter(kind == "boolean"), "boolean-index", "low", "index"),
         _advice(many, "many-indexes", "medium", "table"),

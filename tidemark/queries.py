@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import plan_queries, wide_queries  # plan_queries registers its own
 from .functions import text as X
 from .functions import versions as V
-from . import wide_queries
 from .more_queries import MORE
 from .operators import activity, graph, history, ledger, matching, migration, rollups, rowdiff, schema_diff, series, sets
 
