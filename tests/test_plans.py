@@ -84,3 +84,10 @@ def test_table_functions_over_null_and_empty_texts(spark):
     plans = spark.createDataFrame([(1, None), (2, ""), (3, '{"Plan": {"Node Type": "Limit", "Plans": [{"Node Type": "Sort", "Plan Rows": 3, "Total Cost": 5}]}}')], "id int, p string")
     rows = spark.sql("SELECT id, x.step_id, x.parent_id, x.node_type, x.estimated_rows FROM {p}, LATERAL plan_steps(p) AS x ORDER BY step_id", p=plans).collect()
     assert [tuple(r) for r in rows] == [(3, 1, None, "Limit", None), (3, 2, 1, "Sort", 3.0)]
+
+
+def test_steps_without_a_relation_keep_their_rows(spark):
+    rows = [("p", 1, None), ("p", 2, "t"), ("q", 1, None), ("q", 2, "u"), (None, 1, None)]
+    found = steps.sized(spark.createDataFrame(rows, "plan_id string, step_id int, relation string"), spark.createDataFrame([("t", 5.0), (None, 7.0), ("p", 9.0)], "relation string, rows double"))
+    assert found.columns == ["plan_id", "step_id", "relation", "table_rows"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(*r, 5.0 if r[2] == "t" else None) for r in rows], key=repr)

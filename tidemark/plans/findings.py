@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import masked, split, words_of
+from .steps import sized
 
 #: Thresholds of the plan findings.
 LARGE_ROWS, SELECTIVE, SMALL_SIDE, JOIN_OUTPUT, DRIFT = 10_000, 0.1, 0.01, 0.1, 10.0
@@ -16,7 +17,7 @@ LARGE_ROWS, SELECTIVE, SMALL_SIDE, JOIN_OUTPUT, DRIFT = 10_000, 0.1, 0.01, 0.1,
 
 def plan_findings(steps: DataFrame, table_rows: DataFrame) -> DataFrame:
     """plan_id, step_id, finding, severity. steps: of weighed(); table_rows: relation, rows."""
-    s = steps.join(table_rows.withColumnRenamed("rows", "table_rows"), "relation", "left")
+    s = sized(steps, table_rows)
     actual = F.col("actual_rows") * F.coalesce("loops", F.lit(1.0))
     removed = F.coalesce("rows_removed", F.lit(0.0)) * F.coalesce("loops", F.lit(1.0))
     kept = F.coalesce(actual, F.col("estimated_rows"))

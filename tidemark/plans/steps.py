@@ -86,6 +86,13 @@ def weighed(steps: DataFrame) -> DataFrame:
     return out.withColumn("heaviest", F.struct("share", -F.col("step_id")) == top).drop("weight")
 
 
+def sized(steps: DataFrame, table_rows: DataFrame) -> DataFrame:
+    """steps with table_rows, the rows of the relation that a step reads; steps that read none get keys of their own, so that they don't meet in one task."""
+    at = F.coalesce("relation", F.concat(F.lit("\u0000"), "plan_id"))
+    rows = table_rows.select(F.col("relation").alias("_at"), F.col("rows").alias("table_rows"))
+    return steps.withColumn("_at", at).join(rows, "_at", "left").drop("_at")
+
+
 #: Points off for findings and their cap; plan shapes; bands.
 PENALTY, FINDINGS_CAP = {"high": 12, "medium": 5, "low": 2}, 45
 LARGE_ROWS, MATERIAL, DRIFT, REPEATS = 10_000, 0.15, 10.0, 1000
@@ -103,7 +110,7 @@ def scored(steps: DataFrame, findings: DataFrame, table_rows: DataFrame) -> Data
     points = F.when(F.col("severity") == "high", PENALTY["high"]).when(F.col("severity") == "medium", PENALTY["medium"]).when(F.col("severity") == "low", PENALTY["low"]).otherwise(0)
     raised = findings.groupBy("plan_id").agg(F.least(F.sum(points), F.lit(FINDINGS_CAP)).alias("raised"))
     half_up = lambda x: F.floor(x + 0.5)
-    s = steps.join(table_rows.withColumnRenamed("rows", "table_rows"), "relation", "left")
+    s = sized(steps, table_rows)
     scan = F.when((F.col("node_type") == "Seq Scan") & (F.col("table_rows") >= LARGE_ROWS) & (F.col("share") >= MATERIAL), half_up(25 * F.col("share"))).otherwise(0)
     again = F.when(F.col("inner_side") & (F.col("estimated_runs") >= REPEATS) & (F.col("share") >= MATERIAL), half_up(20 * F.col("share"))).otherwise(0)
     actual = F.col("actual_rows") * F.coalesce("loops", F.lit(1.0))
