@@ -20,13 +20,15 @@ def digest(columns: Sequence[str]) -> Column:
     return F.md5(encoded(*[F.col(c) for c in columns]))
 
 
-def keyed_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+def keyed_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str], label: str | None = None) -> DataFrame:
     """Full outer join on the keys: one row a key with verdict, source_digest, target_digest.
 
     Only keys and a 32-digit digest are shuffled, however wide the rows are. Keys must be unique and not
-    null on each side (see without_duplicate_keys)."""
-    side = lambda df, name: df.select(*keys, digest([*keys, *values]).alias(name))
+    null on each side (see without_duplicate_keys). label: a column that isn't matched but comes along, the source's unless that is null."""
+    named = [] if label is None else [label]
+    side = lambda df, name: df.select(*keys, *[F.col(c).alias(f"_{name}_{c}") for c in named], digest([*keys, *values]).alias(name))
     both = side(source, "source_digest").join(side(target, "target_digest"), list(keys), "full_outer")
+    both = both.select(*keys, *[F.coalesce(f"_source_digest_{c}", f"_target_digest_{c}").alias(c) for c in named], "source_digest", "target_digest")
     verdict = F.when(F.col("target_digest").isNull(), "sourceOnly").when(F.col("source_digest").isNull(), "targetOnly").when(F.col("source_digest") != F.col("target_digest"), "changed").otherwise("same")
     return both.withColumn("verdict", verdict)
 
