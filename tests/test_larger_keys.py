@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from tidemark import oracles, queries
+from tidemark import oracles, queries, scratch, tasks
+from tidemark.functions import sqltext
 
 
 def same_as_sql(spark, name, top, **tables):
@@ -27,3 +30,23 @@ ORDERS = """SELECT k AS o_orderkey, k % 7 AS o_custkey, 'O' AS o_orderstatus, k
 def test_orders_whose_shifted_keys_meet_others(spark, tmp_path):
     """Keys over a million: the other side's added orders have keys that the source has with another priority, or with none."""
     same_as_sql(spark, "data_compare_summary", tmp_path, orders=ORDERS)
+
+
+@pytest.mark.parametrize("name", ["script_steps", "script_grades", "script_readings", "part_query_findings", "part_filters", "order_plan_steps", "order_plan_findings", "order_plan_scores"])
+def test_python_work_is_spread(spark, monkeypatch, name):
+    """Texts that Python reads are dealt over tasks by their number: their tables are one small file, and joins of them are coalesced."""
+    monkeypatch.setattr(tasks, "ROWS", 60)
+    ran = []
+    monkeypatch.setattr(scratch, "materialize", lambda df, label, keep=scratch.materialize: ran.append(df) or keep(df, label))
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    python = [x for x in [*ran, df] if "Eval" in (plan := x._jdf.queryExecution().executedPlan().toString()) or "InPandas" in plan or "InArrow" in plan]
+    assert python and all("REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString() for x in python)
+    if not ran:
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def test_a_script_is_read_once():
+    """review() is grade(), destroys() and might_fail(), also for names that hold what separates words."""
+    for text in ("DROP TABLE t; DELETE FROM u", 'ALTER TABLE t ADD COLUMN "set\0not\0null" int', "DO $$ BEGIN EXECUTE x; ALTER TABLE t ADD CONSTRAINT c UNIQUE (a); END $$", "", "ALTER TABLE t ALTER a SET NOT NULL"):
+        assert sqltext.review(text) == (*sqltext.grade(text), sqltext.destroys(text), sqltext.might_fail(text))
+    assert sqltext.grade('ALTER TABLE t ADD COLUMN "set\0not\0null" int') == ("additive", None, None)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tasks
 from .functions import sqltext
 from .more_queries import _t, query
 from .plans import advice, findings, steps
-from .wide_queries import _part_scripts
+from .wide_queries import _part_scripts, _parts
 
 _MORE = {"Relation Name": "string", "Filter": "string", "Actual Rows": "double", "Actual Loops": "double", "Actual Total Time": "double", "Rows Removed by Filter": "double", "Sort Space Type": "string", "Lossy Heap Blocks": "double", "Heap Fetches": "double"}
 
@@ -39,7 +39,7 @@ def _order_plans(spark, d) -> tuple[DataFrame, DataFrame]:
         _node("ModifyTable", one, number(10), leaf),
     ]
     text = F.concat(F.lit('[{"Plan": '), F.coalesce(*[F.when(F.col("o_orderkey") % len(kinds) == i, F.to_json(kind)) for i, kind in enumerate(kinds)]), F.lit("}]"))
-    plans = orders.join(lines, "o_orderkey").select(F.col("o_orderkey").cast("string").alias("plan_id"), text.alias("plan"))
+    plans = tasks.spread(orders.join(lines, "o_orderkey"), "o_orderkey", _t(spark, d, "orders").count()).select(F.col("o_orderkey").cast("string").alias("plan_id"), text.alias("plan"))
     sizes = orders.groupBy(F.col("c_name").alias("relation")).agg(F.floor(F.sum("t") / 100).cast("double").alias("rows"))
     return scratch.materialize(steps.weighed(steps.flattened(plans)), "order-plan-steps"), sizes
 
@@ -125,7 +125,7 @@ def part_filters(spark, d):
     text = F.when(k == 0, F.concat(F.lit("((p_name = '"), name, F.lit("') AND (part.p_size > "), size, F.lit(") AND (p_brand = 'a'))")))
     text = text.when(k == 1, F.concat(F.lit("((p_size = "), size, F.lit(") OR (p_name = '"), name, F.lit("'))"))).when(k == 2, F.concat(F.lit("((p_size)::bigint >= "), size, F.lit(")")))
     text = text.otherwise(F.concat(F.lit("(p_name = '"), name, F.lit(" OR more')")))
-    return _t(spark, d, "part").select("p_partkey", findings.udfs()["filter_columns"](text).alias("f")).select("p_partkey", F.array_join("f.equality", ",").alias("equality"), F.col("f.range").alias("range"))
+    return _parts(spark, d).select("p_partkey", findings.udfs()["filter_columns"](text).alias("f")).select("p_partkey", F.array_join("f.equality", ",").alias("equality"), F.col("f.range").alias("range"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'additive' END AS declared, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'breaking' ELSE 'additive' END AS level FROM part)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tasks
 from .functions import sqltext
 from .more_queries import _t, query
 from .operators import history, object_diff, rowtree, simjoin
@@ -159,9 +159,15 @@ def _statement(text: str) -> str:
     return " || ".join("CAST(p_partkey AS STRING)" if piece == "{k}" else "p_name" if piece == "{x}" else "'" + piece.replace("'", "''") + "'" for piece in text.replace("{k}", "\1{k}\1").replace("{x}", "\1{x}\1").split("\1") if piece)
 
 
+def _parts(spark, d):
+    """part, spread over tasks for what Python does with a row."""
+    part = _t(spark, d, "part")
+    return tasks.spread(part, "p_partkey", part.count())
+
+
 def _part_scripts(spark, d):
     pieces = [F.expr(f"CASE WHEN {which} THEN {_statement(text)} END") for which, _, text, _ in _STATEMENTS]
-    return _t(spark, d, "part").select("p_partkey", F.concat(F.lit("-- Note: of a part;\n"), F.array_join(F.array_compact(F.array(*pieces)), "\n;; ")).alias("script"))
+    return _parts(spark, d).select("p_partkey", F.concat(F.lit("-- Note: of a part;\n"), F.array_join(F.array_compact(F.array(*pieces)), "\n;; ")).alias("script"))
 
 
 _EACH = " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, '{kind}' AS kind, {_statement(text)} AS statement FROM part WHERE {which}" for i, (which, kind, text, _) in enumerate(_STATEMENTS))
@@ -170,8 +176,7 @@ _EACH = " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, '{kind}' AS kind, {
 @query(f"""SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) AS INT) AS step, kind, CASE WHEN place = 0 THEN '-- Note: of a part;' || chr(10) || statement ELSE statement END AS statement FROM ({_EACH})""")
 def script_steps(spark, d):
     """The statements of each part's script; separators stand in literals, comments, bodies and quoted names, too."""
-    sqltext.register(spark)
-    return spark.sql("SELECT p_partkey, s.step, s.kind, s.statement FROM {scripts}, LATERAL sql_steps(script) AS s", scripts=_part_scripts(spark, d))
+    return _part_scripts(spark, d).select("p_partkey", F.inline(sqltext.udfs()["sql_steps_of"]("script")))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 35 = 0 OR p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'breaking' ELSE 'additive' END AS level,
@@ -180,8 +185,8 @@ def script_steps(spark, d):
     CASE WHEN p_partkey % 7 = 0 THEN 'SET NOT NULL' ELSE '' END AS might_fail FROM part""")
 def script_grades(spark, d):
     u = sqltext.udfs()
-    rows = _part_scripts(spark, d).select("p_partkey", u["sql_grade"]("script").alias("g"), F.array_join(u["sql_destroys"]("script"), ",").alias("destroys"), F.array_join(u["sql_might_fail"]("script"), ",").alias("might_fail"))
-    return rows.select("p_partkey", "g.level", "g.label", "destroys", "might_fail")
+    rows = _part_scripts(spark, d).select("p_partkey", u["sql_review"]("script").alias("g"))
+    return rows.select("p_partkey", "g.level", "g.label", F.array_join("g.destroys", ",").alias("destroys"), F.array_join("g.might_fail", ",").alias("might_fail"))
 
 
 def _order_plans(spark, d):
@@ -192,7 +197,8 @@ def _order_plans(spark, d):
     scan = node("Seq Scan", n, n * 3, ', "Relation Name": "lineitem", "Filter": "(l_quantity > 5)"')
     loop = node("Nested Loop", n, n * 100, "", [node("Sort", n, n * 5, "", [scan]), node("Index Scan", one, F.lit(2), ', "Relation Name": "orders"')])
     join = node("Hash Join", n, n * 10, ', "Join Type": "Left"', [scan, node("Hash", one, F.lit(4))])
-    return _t(spark, d, "orders").join(lines, "o_orderkey").select("o_orderkey", F.concat(F.lit('[{"Plan": '), F.when(k % 2 == 0, loop).otherwise(join), F.lit("}]")).alias("plan"))
+    orders = _t(spark, d, "orders").select("o_orderkey")
+    return tasks.spread(orders.join(lines, "o_orderkey"), "o_orderkey", orders.count()).select("o_orderkey", F.concat(F.lit('[{"Plan": '), F.when(k % 2 == 0, loop).otherwise(join), F.lit("}]")).alias("plan"))
 
 
 @query("""WITH n AS (SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
@@ -203,8 +209,8 @@ def _order_plans(spark, d):
         UNION ALL SELECT o_orderkey, 1, NULL, 0, 'Hash Join', NULL, FALSE, 1, n * 7 - 4 FROM n WHERE o_orderkey % 2 <> 0 UNION ALL SELECT o_orderkey, 2, 1, 1, 'Seq Scan', 'lineitem', FALSE, 1, n * 3 FROM n WHERE o_orderkey % 2 <> 0
         UNION ALL SELECT o_orderkey, 3, 1, 1, 'Hash', NULL, FALSE, 1, 4 FROM n WHERE o_orderkey % 2 <> 0)""")
 def order_plan_steps(spark, d):
-    steps.register(spark)
-    return spark.sql("SELECT o_orderkey, s.step_id, s.parent_id, s.depth, s.node_type, s.relation, s.inner_side, s.estimated_runs, s.self_cost FROM {plans}, LATERAL plan_steps(plan) AS s", plans=_order_plans(spark, d))
+    found = steps.flattened(_order_plans(spark, d), "o_orderkey")
+    return found.select(F.col("plan_id").cast("long").alias("o_orderkey"), "step_id", "parent_id", "depth", "node_type", "relation", "inner_side", "estimated_runs", "self_cost")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN 'locks' WHEN 3 THEN 'several-statements' END AS refused, CASE p_partkey % 4 WHEN 0 THEN 'select-star,leading-wildcard' WHEN 1 THEN 'unfiltered-count' ELSE '' END AS findings FROM part""")
@@ -213,7 +219,7 @@ def part_query_findings(spark, d):
     k, name, key = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_partkey").cast("string")
     text = F.when(k == 0, F.concat(F.lit("SELECT * FROM part WHERE p_name LIKE '%"), name, F.lit("'"))).when(k == 1, F.concat(F.lit("SELECT count(*) FROM part -- WHERE p_name = "), name)).when(k == 2, F.concat(F.lit("SELECT p_name FROM part WHERE p_partkey = "), key, F.lit(" FOR UPDATE"))).otherwise(F.concat(F.lit("SELECT 1; SELECT "), key))
     u = findings.udfs()
-    return _t(spark, d, "part").select("p_partkey", text.alias("q")).select("p_partkey", u["sql_gate"]("q").alias("refused"), F.array_join(u["sql_findings"]("q"), ",").alias("findings"))
+    return _parts(spark, d).select("p_partkey", text.alias("q")).select("p_partkey", u["sql_gate"]("q").alias("refused"), F.array_join(u["sql_findings"]("q"), ",").alias("findings"))
 
 
 # typed extracts of a catalog: suppliers, parts and customers stand for its objects
