@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +13,6 @@ STEP = (
     "estimated_rows double, estimated_cost double, actual_rows double, loops double, total_ms double, rows_removed double, sort_space string, lossy_blocks double, heap_fetches double, "
     "inner_side boolean, estimated_runs double, self_cost double, self_ms double"
 )
-_NAMES = [part.split()[0] for part in STEP.split(", ")]
 
 
 def _walk(plan_id: str, node: dict, out: list[dict], parent: int | None, depth: int, runs: float, inner: bool) -> dict:
@@ -59,21 +58,22 @@ def register(spark) -> None:
 
 
 def flattened(plans: DataFrame, plan_id: str = "plan_id", plan: str = "plan") -> DataFrame:
-    """A row for each step of JSON plans, in pre-order. The depth of the JSON isn't known beforehand, so this is an Arrow-batched Python step; plans are independent rows, no shuffle."""
+    """A row for each step of JSON plans, in pre-order. The depth of the JSON isn't known beforehand, so this is an Arrow-batched Python step (the table function takes a call and a table a plan: it is for SQL over few plans); plans are independent rows, no shuffle."""
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [(name, kinds[kind]) for name, kind in (part.split() for part in STEP.split(", "))]
+    number = lambda x: None if x is None or x != x else float(x)
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out: list[dict] = []
-            for name, text in zip(pdf[plan_id], pdf[plan], strict=True):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     out += _steps_of(str(name), text)
-            frame = pd.DataFrame(out, columns=_NAMES)
-            for c in _NAMES:
-                if frame[c].dtype == object and c not in ("plan_id", "node_type", "relation", "filter", "join_cond", "join_type", "sort_space", "inner_side"):
-                    frame[c] = pd.to_numeric(frame[c])
-            yield frame.astype({"parent_id": "Int32"})
+            columns = [pa.array([number(step[n]) for step in out] if kind == pa.float64() else [step[n] for step in out], kind) for n, kind in fields]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
-    return plans.select(plan_id, plan).mapInPandas(run, STEP)
+    return plans.select(plan_id, plan).mapInArrow(run, STEP)
 
 
 def weighed(steps: DataFrame) -> DataFrame:
