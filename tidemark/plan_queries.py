@@ -80,6 +80,7 @@ def _table_advice(spark, d) -> tuple[DataFrame, DataFrame]:
     line = F.col("l_linenumber")
     lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber").distinct().join(orders, "k")
     indexes = lines.select("table", F.concat(F.lit("i"), k, F.lit("."), line).alias("index"), F.when(line % 3 == 0, F.array("column", F.lit("x"))).otherwise(F.array("column")).alias("columns"), (line == 5).alias("is_unique"), (line != 6).alias("valid"), (k % 4 < 2).alias("partitioned"), (k % 2).alias("scans"), (line * 10).alias("stats_days"), F.when(line == 4, "u").alias("supports"))
+    indexes = scratch.materialize(indexes, "advice-indexes")  # nearly every rule looks at them
     found = advice.structural(tables, columns, indexes, keys).unionByName(advice.statistical(stats, indexes)).unionByName(advice.partitioning(tables, columns))
     return found, keys
 

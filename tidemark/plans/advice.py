@@ -19,26 +19,29 @@ def _advice(df: DataFrame, name: str, severity: str, subject: str) -> DataFrame:
     return df.select(F.lit(name).alias("advice"), F.lit(severity).alias("severity"), "table", F.col(subject).alias("subject"))
 
 
-def _leads(a: str, b: str):
-    """Whether array a is the beginning of array b."""
-    return F.slice(F.col(b), 1, F.greatest(F.size(a), F.lit(1))) == F.col(a)
-
-
 def structural(tables: DataFrame, columns: DataFrame, indexes: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     """advice, severity, table, subject."""
     valid = indexes.filter("valid")
-    covered = foreign_keys.alias("f").join(valid.select("table", F.col("columns").alias("index_columns")).alias("i"), (F.col("f.table") == F.col("i.table")) & (F.array_sort(F.slice("index_columns", 1, F.greatest(F.size("f.columns"), F.lit(1)))) == F.array_sort("f.columns")), "left_anti")
-    pair = valid.alias("a").join(valid.alias("b"), (F.col("a.table") == F.col("b.table")) & (F.col("a.index") != F.col("b.index")))
-    same = pair.filter((F.col("a.columns") == F.col("b.columns")) & (F.col("a.is_unique") == F.col("b.is_unique")) & (F.col("a.index") > F.col("b.index")) & F.col("a.supports").isNull())
-    prefix = pair.filter((F.size("a.columns") < F.size("b.columns")) & _leads("a.columns", "b.columns") & ~F.col("a.is_unique") & F.col("a.supports").isNull())
+    # every beginning of an index, in whatever order, covers a foreign key of the same columns
+    upto = F.when(F.size("columns") > 0, F.sequence(F.lit(1), F.size("columns"))).otherwise(F.array(F.lit(0)))
+    covering = valid.select("table", F.explode(F.transform(upto, lambda n: F.array_sort(F.slice("columns", 1, n)))).alias("_covered"))
+    covered = foreign_keys.withColumn("_covered", F.array_sort("columns")).join(covering, ["table", "_covered"], "left_anti")
+    droppable = valid.filter(F.col("supports").isNull())
+    # of indexes with equal columns all but the first repeat it: a group, however many indexes a table has
+    first = valid.groupBy("table", "columns", "is_unique").agg(F.min("index").alias("_first"))
+    same = droppable.join(first, ["table", "columns", "is_unique"]).filter(F.col("index") > F.col("_first")).drop("_first")
+    # the proper beginnings of every index, with two of the names that have them: one at least is another's
+    sizes = F.when(F.size("columns") > 1, F.sequence(F.lit(1), F.size("columns") - 1))
+    begun = valid.select("table", "index", F.explode(F.transform(sizes, lambda n: F.slice("columns", 1, n))).alias("columns")).groupBy("table", "columns").agg(F.min("index").alias("_first"), F.max("index").alias("_last"))
+    prefix = droppable.filter(~F.col("is_unique")).join(begun, ["table", "columns"]).filter((F.col("index") != F.col("_first")) | (F.col("index") != F.col("_last"))).drop("_first", "_last")
     one_column = indexes.filter(F.size("columns") == 1).withColumn("column", F.col("columns")[0]).join(columns.select("table", "column", "type"), ["table", "column"])
     many = indexes.groupBy("table").agg(F.count("*").alias("n")).filter(F.col("n") > MANY_INDEXES)
     kind = F.lower("type")
     parts = [
         _advice(tables.filter("not has_primary_key"), "no-primary-key", "high", "table"),
         _advice(covered, "foreign-key-not-indexed", "high", "name"),
-        _advice(same.select("a.*").distinct(), "duplicate-index", "medium", "index"),
-        _advice(prefix.select("a.*").distinct(), "redundant-index", "low", "index"),
+        _advice(same.distinct(), "duplicate-index", "medium", "index"),
+        _advice(prefix.distinct(), "redundant-index", "low", "index"),
         _advice(one_column.filter(kind == "boolean"), "boolean-index", "low", "index"),
         _advice(many, "many-indexes", "medium", "table"),
         _advice(columns.filter(kind.startswith("timestamp") & ~kind.contains("with time zone")), "timestamp-without-timezone", "medium", "column"),
