@@ -57,3 +57,19 @@ def test_histories_in_pieces(spark, events):
     for run in (lambda n: history.below_high_water(df, "k", ["t", "id"], "v", rows=n), lambda n: history.last_known(df, ["k"], ["t", "id"], "f", rows=n), lambda n: history.recorded_outcomes(df, "k", ["t", "id"], "s", "f", rows=n)):
         one, cut = run(10_000), run(90)
         assert one.columns == cut.columns and Counter(tuple(r) for r in one.collect()) == Counter(tuple(r) for r in cut.collect())
+
+
+def test_rounds_of_cuts(spark, monkeypatch):
+    """No row meets more cut points than a round has, however many pieces there are; many rows of one value, and nulls, end the rounds."""
+    monkeypatch.setattr(prefix, "FAN", 8)
+    written = []
+    monkeypatch.setattr(prefix, "materialize", lambda df, label, keep=prefix.materialize: written.append((label, out := keep(df, label))) or out)
+    t = F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 2 == 0, 7_777).otherwise(F.pmod(F.xxhash64("id"), F.lit(5_000)))
+    df = spark.range(6_000).select("id", F.lit("k").alias("k"), t.alias("t"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(99)).alias("v"))
+    cut = prefix.pieced(df, ["k"], ["t", "id"], 20)
+    found = prefix.sum_through(cut, ["k"], ["t", "id"], "v", "s").select("id", "s")
+    want = df.select("id", F.sum("v").over(Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, want.collect()))
+    assert max(r[0] for label, table in written if label == "prefix-cuts" for r in table.select(F.max(F.size("_cuts"))).collect()) < 8
+    sizes = {r["_piece"]: r["count"] for r in cut.filter("t < 7777").groupBy("_piece").count().collect()}
+    assert len(sizes) > 60 and max(sizes.values()) <= 60

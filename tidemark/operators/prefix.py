@@ -16,26 +16,44 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 ROWS = 1_000_000  # rows of a piece, about
+FAN = 128  # parts that a round cuts a key or a part of it into, at most
 
 
 def pieced(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS) -> DataFrame:
-    """df with _piece: 0, 1, 2, … within each key, rising with the order; df as it is where no key has more than `rows` rows.
-
-    Keys with more rows than `rows` are counted out first (counts combine before the shuffle); cut points are approximate
-    quantiles of those keys alone, and there are few of them: at most all rows over `rows`."""
-    counts = materialize(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows), "prefix-hot")
-    most = counts.agg(F.max("_n")).first()[0]
-    if most is None:
+    """df with _piece: numbers from 0 within each key, rising with the order; df as it is where no key has more than `rows` rows.
+
+    Keys with more rows than `rows` are counted out first (counts combine before the shuffle). They are cut into FAN parts at most by
+    approximate quantiles, parts that still have too many rows again, and so on: a row is compared with FAN cut points a round, and
+    there are as many rounds as the pieces have digits to the base of FAN. Rows that are equal in the first order column are not cut."""
+    null_safe = lambda a, b, names: [a[k].eqNullSafe(b[f"_hot_{k}"]) for k in names]
+    renamed = lambda t, names: t.withColumnsRenamed({k: f"_hot_{k}" for k in names})
+    value, out, places = F.col(order[0]), df, []
+    while True:
+        part = [*keys, *places]
+        sized = out.groupBy(*part).agg(F.count("*").alias("_n"), (F.min(value) < F.max(value)).alias("_several"), F.max(value).alias("_max"))
+        # parts are about as large as wanted: only those twice as large, and of several values, are cut again
+        hot = materialize(sized.filter((F.col("_n") > (2 * rows if places else rows)) & (F.col("_several") | F.lit(not places))).select(*part, "_n", "_max"), "prefix-hot")
+        most = hot.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        parts = min(FAN, -(-most // rows))
+        named = renamed(hot, part)
+        # quantiles of what is below the greatest value, however many rows have that: every cut parts something
+        below = F.when(value < F.col("_max"), value)
+        of_hot = out.join(named, null_safe(out, named, part)).groupBy(*[out[k] for k in part]).agg(F.array_distinct(F.percentile_approx(below, [i / parts for i in range(1, parts)], 100 * parts)).alias("_cuts"))
+        cuts = renamed(materialize(of_hot.filter("_cuts is not null"), "prefix-cuts"), part)
+        at = F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0))
+        place = f"_at{len(places)}"
+        out = out.join(cuts, null_safe(out, cuts, part), "left").withColumn(place, F.when(F.col("_cuts").isNull() | value.isNull(), 0).otherwise(at)).drop("_cuts", *[f"_hot_{k}" for k in part])
+        places.append(place)
+        if cuts.isEmpty():
+            break
+    if not places:
         return df
-    null_safe = lambda a, b: [a[k].eqNullSafe(b[f"_hot_{k}"]) for k in keys]
-    renamed = lambda t: t.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    hot = renamed(counts)
-    pieces = -(-most // rows)
-    shares = [i / pieces for i in range(1, pieces)]
-    of_hot = df.join(hot, null_safe(df, hot), "left_semi").groupBy(*keys).agg(F.percentile_approx(order[0], shares, 100 * pieces).alias("_cuts"))
-    cuts = renamed(materialize(of_hot, "prefix-cuts"))
-    at = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order[0]))), F.lit(0))
-    return df.join(cuts, null_safe(df, cuts), "left").withColumn("_piece", F.when(F.col("_cuts").isNull() | F.col(order[0]).isNull(), 0).otherwise(at)).drop("_cuts", *[f"_hot_{k}" for k in keys])
+    number = F.lit(0).cast("long")
+    for place in places:
+        number = number * FAN + F.col(place)
+    return out.withColumn("_piece", number).drop(*places)
 
 
 def _scanned(cut: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, local, summary: Column, handed, merged) -> DataFrame:
