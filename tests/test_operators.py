@@ -250,3 +250,25 @@ def test_ledger_sides_meet_on_versions(spark):
     assert got == {"1.2.0": "applied", "1.3": "applied", "1.9": "unregistered", "v1.10": "pending", "2.0": "pending", "release-2": "unregistered", "notes": "skipped"}
     heads = ledger.highest(spark.createDataFrame([("f", "1.2"), ("f", "v1.2.0"), ("f", "1.1")], "script_name string, version string"))
     assert heads.first()["head"] == "v1.2.0"
+
+
+def test_token_similarity_shuffles_sets_not_pairs(spark, monkeypatch):
+    """Every pair that shares a word, over several blocks and parts; rows of one id are one set; null ids and texts have no row; no pair is shuffled."""
+    monkeypatch.setattr(sets, "LEFT", 3, raising=False)
+    monkeypatch.setattr(sets, "RIGHT", 4, raising=False)
+    left = [(i, f"the w{i % 4} W{i % 3} x") for i in range(8)] + [(3, "more words the"), (90, None), (91, "  "), (None, "the x"), (92, "alone")]
+    right = [(f"d{i}", f"w{i % 5} w{i % 5} the y{i}" if i % 3 else f"w{i % 4}") for i in range(11)] + [("d2", "x x"), (None, "the"), ("d99", "")]
+    got = sets.token_similarity(spark.createDataFrame(left, "a int, t string"), spark.createDataFrame(right, "b string, t string"), "a", "b", "t")
+
+    def bags(rows):
+        out = {}
+        for k, t in rows:
+            if k is not None and t is not None:
+                out.setdefault(k, set()).update(t.lower().split())
+        return out
+
+    want = {(a, b): len(x & y) / len(x | y) for a, x in bags(left).items() for b, y in bags(right).items() if x & y}
+    rows = got.collect()
+    assert {(r.a, r.b): r.similarity for r in rows} == want and len(rows) == len(want) > 60
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
