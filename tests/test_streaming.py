@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidemark.streaming import changes, idlog
 
 KIND = "key string, id long, ts timestamp, status string, fingerprint string"
@@ -57,3 +59,21 @@ def test_ids_saved_late_come_once(spark, tmp_path):
         rows = _drain(spark, idlog.stream(spark, str(tmp_path / "in"), kind, "id", baseline=4, lookback=8, ids_a_task=3), tmp_path).collect() if n else []
         have += want
         assert sorted(r.id for r in rows) == sorted(have) and all(r.note == f"n{r.id}" for r in rows)
+
+
+def test_a_key_is_one_row_to_and_from_python(spark, tmp_path):
+    """An event is one text on its way in, whatever its status and fingerprint; a key's rows of a trigger are one row on the way out."""
+    events = [("k", n, dt.datetime(2024, 1, 1, 0, n), s, f) for n, (s, f) in enumerate([("in_sync", "= 3 é"), ("", ""), (" 𝕏 =", None), ("a=b", "=c"), (None, "=c"), (None, None)])]
+    frame = spark.createDataFrame(events, KIND)
+    packed = frame.withColumn("at", F.unix_micros("ts")).select(changes._packed().alias("event"), "at")
+    assert [changes.unpacked(r.event) for r in packed.collect()] == [(r.at, *e[1:2], *e[3:]) for r, e in zip(packed.collect(), events)]
+    class Held:
+        state = None
+        exists = lambda self: self.state is not None
+        get = lambda self: self.state
+        def update(self, state):
+            self.state = state
+    made = changes._recorder(None)
+    made.held = Held()
+    rows = list(made.handleInputRows(("k",), packed.collect(), None))
+    assert len(rows) == 1 and rows[0].id == [0, 1, 2, 3, 4] and rows[0].fingerprint == ["= 3 é", "", None, "=c", "=c"]

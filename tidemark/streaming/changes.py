@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-_OUT = "key string, id long, at long, status string, fingerprint string, alert string"
+_FIELDS = ("id", "at", "status", "fingerprint", "alert")
+_OUT = "key string, id array<long>, at array<long>, status array<string>, fingerprint array<string>, alert array<string>"  # a key's rows of a trigger are one
 _STATE = "status string, recorded string, known string, last long, told boolean"
 
 
@@ -25,6 +26,18 @@ def alert_of(status: str, fingerprint: str | None, before: str | None, known: st
     return "nothing"
 
 
+def _packed() -> Column:
+    """An event's at, id, status and fingerprint as one text, for Spark hands each row to Python field by field: numbers, the status's length (-1: null), the status, = and the fingerprint (nothing: null)."""
+    return F.concat(F.col("at"), F.lit(" "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.char_length("status"), F.lit(-1)), F.lit(" "), F.coalesce("status", F.lit("")), F.coalesce(F.concat(F.lit("="), "fingerprint"), F.lit("")))
+
+
+def unpacked(event: str) -> tuple[int, int | None, str | None, str | None]:
+    """at, id, status, fingerprint."""
+    at, id, n, rest = event.split(" ", 3)
+    n = int(n)
+    return int(at), int(id) if id else None, rest[:n] if n >= 0 else None, rest[max(n, 0) + 1 :] if len(rest) > max(n, 0) else None
+
+
 def _recorder(silent: int | None) -> StatefulProcessor:
     """A processor of one key's events; silent: milliseconds without an event after which a row says so. Made here, so that workers get it by value."""
 
@@ -37,13 +50,16 @@ def _recorder(silent: int | None) -> StatefulProcessor:
             first, state = not self.held.exists(), self.held.get()
             before, recorded, known, last, told = state if state else (None, None, None, None, False)
             due = None if last is None or told else last // 1000 + (silent or 0)
-            for r in sorted(rows, key=lambda r: (r.at, r.id)):
-                if silent is not None and last is not None and not told and r.at - last > silent * 1000:
-                    yield Row(key=key[0], id=None, at=last + silent * 1000, status="silent", fingerprint=None, alert="silent")
-                if first or r.status != before or (r.fingerprint is not None and r.fingerprint != recorded):
-                    yield Row(key=key[0], id=r.id, at=r.at, status=r.status, fingerprint=r.fingerprint, alert=alert_of(r.status, r.fingerprint, before, known))
-                    recorded = r.fingerprint
-                before, known, first, last, told = r.status, known if r.fingerprint is None else r.fingerprint, False, r.at, False
+            out = []
+            for at, id, status, fingerprint in sorted((unpacked(r.event) for r in rows), key=lambda r: r[:2]):
+                if silent is not None and last is not None and not told and at - last > silent * 1000:
+                    out.append((None, last + silent * 1000, "silent", None, "silent"))
+                if first or status != before or (fingerprint is not None and fingerprint != recorded):
+                    out.append((id, at, status, fingerprint, alert_of(status, fingerprint, before, known)))
+                    recorded = fingerprint
+                before, known, first, last, told = status, known if fingerprint is None else fingerprint, False, at, False
+            if out:
+                yield Row(key=key[0], **dict(zip(_FIELDS, map(list, zip(*out)))))
             self.held.update((before, recorded, known, last, told))
             if silent is not None:
                 if due is not None:
@@ -54,7 +70,7 @@ def _recorder(silent: int | None) -> StatefulProcessor:
             before, recorded, known, last, told = self.held.get()
             if not told:
                 self.held.update((before, recorded, known, last, True))
-                yield Row(key=key[0], id=None, at=last + silent * 1000, status="silent", fingerprint=None, alert="silent")
+                yield Row(key=key[0], id=[None], at=[last + silent * 1000], status=["silent"], fingerprint=[None], alert=["silent"])
 
         def close(self) -> None:
             pass
@@ -72,9 +88,11 @@ def recorded_on_change(events: DataFrame, silent: str | None = None, delay: str
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = events if silent is None else events.withWatermark("ts", delay)
-    narrow = timed.select("key", "id", F.unix_micros("ts").alias("at"), "status", "fingerprint", *([] if silent is None else ["ts"]))
+    timed = timed.select("key", "id", F.unix_micros("ts").alias("at"), "status", "fingerprint", *([] if silent is None else ["ts"]))
+    narrow = timed.select("key", _packed().alias("event"), *([] if silent is None else ["ts"]))
     wait = None if silent is None else spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {silent})").first()[0]
     made = narrow.groupBy("key").transformWithState(_recorder(wait), _OUT, "append", "none" if silent is None else "eventTime")
+    made = made.select("key", F.inline(F.arrays_zip(*_FIELDS)))
     return made.select("key", "id", F.timestamp_micros("at").alias("ts"), "status", "fingerprint", "alert")
 
 
