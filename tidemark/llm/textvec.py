@@ -117,6 +117,21 @@ class SpanHash:
             return mix((self.prefix[highs] - self.prefix[lows]) * self.back[lows])
 
 
+class AlignedHash:
+    """SpanHash's hashes for many texts at once (codes: positions by texts): of a span that lies at the same place in all."""
+
+    def __init__(self, codes: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.prefix = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _power(_P, codes.shape[0])[:, None], axis=0, out=self.prefix[1:])
+        self.back = _power(_P_INVERSE, codes.shape[0] + 1)
+
+    def __call__(self, lows: np.ndarray, high: int, n: int) -> np.ndarray:
+        """Of the first n texts; a row for each low."""
+        with np.errstate(over="ignore"):
+            return mix((self.prefix[high, :n] - self.prefix[lows, :n]) * self.back[lows, None])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes, so that the low ones can serve as bucket numbers."""
     with np.errstate(over="ignore"):
