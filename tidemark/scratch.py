@@ -26,10 +26,10 @@ def root(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tidemark-{app}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df and read it back: cuts the lineage."""
+def materialize(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write df, with the writer's options, and read it back: cuts the lineage."""
     path = f"{root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

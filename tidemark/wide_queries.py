@@ -28,10 +28,11 @@ def _words(text: str = "text"):
     SELECT doc_id, class, coalesce(links, 0) AS links FROM m LEFT JOIN n USING (class)""")
 def similar_documents(spark, d):
     """Each document with words, its class of equal word sets, and how many other classes are similar by 0.8 or more."""
-    docs = _t(spark, d, "documents").select("doc_id", F.array_sort(_words()).alias("w")).filter("size(w) > 0")
-    pairs = simjoin.similar_sets(docs, None, "doc_id", "doc_id", F.col("w"), 0.8)
+    sets = simjoin.token_sets(_t(spark, d, "documents"), "doc_id", F.array_remove(F.split(F.lower("text"), " "), ""))
+    pairs = simjoin.similar_pairs(sets, None, 0.8)
     links = pairs.select(F.explode(F.array("left_id", "right_id")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-    return simjoin.members(docs, "doc_id", "w").join(links, "class", "left").select("doc_id", "class", F.coalesce("links", F.lit(0)).alias("links"))
+    classes = simjoin.members(sets.select(F.col("key").alias("doc_id"), "value"), "doc_id", "value")
+    return classes.join(links, "class", "left").select("doc_id", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 @query(f"""WITH d AS (SELECT min(doc_id) AS doc, w FROM (SELECT doc_id, list_sort({_WORDS}) AS w FROM documents) GROUP BY w), b AS (SELECT min(item_id) AS item, w FROM (SELECT item_id, list_sort({_WORDS}) AS w FROM benchmark) GROUP BY w),
